@@ -12,11 +12,21 @@ from pyspark.sql import functions as F
 U = np.uint64
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its rows written to the cluster's shared checkpoint folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        have = sc._jsc.sc().getCheckpointDir()
+        found = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="folioscope-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="folioscope-"))
+        sc.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its rows written to the cluster's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -64,7 +74,3 @@ def in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     for shift in (34, 40, 46, 52):
         ok &= ((word >> ((h >> U(shift)) & U(63))) & U(1)).astype(bool)
     return ok
-
-
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -153,7 +153,7 @@ def digests(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """docs with the removed words cut out of text, the words left joined by one space; a text that loses no word is
-    returned as it is. All columns stay; n_removed words are told in __removed."""
+    returned as it is. All columns stay, and n_chars, if there, follows the text; __removed tells the words removed."""
     found = with_intervals(docs, ranges).withColumn("__removed", F.lit(0).cast("long"))
     names = found.columns
     text, begins, ends, count = (names.index(x) for x in ("text", "__begins", "__ends", "__removed"))
@@ -173,7 +173,10 @@ def remove(docs: DataFrame, ranges: DataFrame) -> DataFrame:
             cols[text], cols[count] = pa.array(texts, pa.string()), pa.array(removed, pa.int64())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return found.mapInArrow(run, found.schema).drop("__begins", "__ends")
+    done = found.mapInArrow(run, found.schema).drop("__begins", "__ends")
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return done
 
 
 def wanted_by(many: np.ndarray, hot: np.ndarray | None = None, is_hot: bool = False) -> Callable[[np.ndarray], np.ndarray]:
