@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Text bytes handled at once; a longer single text is handled alone.
-SLICE_BYTES = 2 << 20
+#: Text bytes and rows handled at once; a longer single text is handled alone.
+SLICE_BYTES, SLICE_ROWS = (1 << 20) - 1, 2048
 U = np.uint64
 NO_ID = np.iinfo(np.int64).max
 
@@ -95,14 +95,14 @@ def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Row ranges of the batches with SLICE_BYTES of text at most, or one row."""
+    """Row ranges of the batches with SLICE_BYTES of text at most, or one row; SLICE_ROWS at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, off = buffers(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE_BYTES, "right")) - 1)
+            to = min(max(at + 1, int(np.searchsorted(off, off[at] + SLICE_BYTES, "right")) - 1), at + SLICE_ROWS)
             yield batch.slice(at, to - at)
             at = to
 

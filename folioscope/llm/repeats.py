@@ -30,7 +30,7 @@ from folioscope.llm._words import NO_ID, Words, buffers, find_words, gram_hashes
 WINDOW = 50
 GRAM = 8
 #: A minimiser with more occurrences is compared window by window through a Spark aggregation, never in one task.
-HOT = 4096
+HOT = 1 << 16
 
 
 def keyed(docs: DataFrame) -> DataFrame:

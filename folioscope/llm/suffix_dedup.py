@@ -7,7 +7,7 @@ document exactly if some suffix of that document lies in the same run of the sor
 prefix reaches the window's end) and agrees to the left back to the window's start. Since equal windows have the same
 minimiser at the same place, this finds every repeated window: the result is the one defined in repeats.py.
 
-The suffixes of a minimiser with more than 4,096 occurrences don't meet in one task: their windows are compared by a
+The suffixes of a minimiser with more than repeats.HOT occurrences don't meet in one task: their windows are compared by a
 Spark aggregation of window hashes, which gives the same result.
 """
 
@@ -25,7 +25,7 @@ from folioscope.llm._words import buffers, find_words, ids, mix, slices, word_ha
 
 U = np.uint64
 #: Suffix rows that a task sorts at once, besides the rest of a minimiser's group.
-ROWS = 16384
+ROWS = 8192
 
 
 def sparse_suffixes(docs: DataFrame, wanted, window: int = R.WINDOW, gram: int = R.GRAM) -> DataFrame:
