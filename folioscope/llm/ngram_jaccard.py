@@ -9,9 +9,15 @@ shingle is searched in it by bisection. The order that tells short from long lis
 that are frequent in some batch of input come last, then the hash decides. Any common order gives the same links.
 
 Equal sets are one class from the start, so copies never meet in a list. A merged list of up to SHORT classes gives all
-its pairs of fitting size. A longer one, such as that of a large group of near copies, first gives only the pairs with a
-pivot; then the components of all links so far are found, and of each long list the pairs between different components
-are tested too. Thus no two linked sets stay in different components, and a group of g near copies costs about g tests.
+its pairs of fitting size. A longer one, such as that of a large group of near copies, gives only the pairs with a pivot
+at first. Before a pair is probed it must pass a bitmap test: a bit for each residue of the shingle hashes tells whether
+an odd number of them has it, so the sets differ in at least as many shingles as their bitmaps in bits. Then each class
+is probed against the most alike of its partners in other components, and the components of all links are found; after
+ROUNDS such rounds every pair left between different components is probed, those in long lists included. Thus no two
+linked sets stay in different components, and a group of g near copies costs a few g probes.
+
+A shingle is known by 52 bits of its hash: two different ones of a given pair of sets of a thousand are mistaken for each
+other with odds of about 2**-32.
 
 Defined cases: null, empty and blank texts have no shingles, and are their own component. Rows that repeat a doc_id are
 documents of their own with that id. A null doc_id sorts after all others, and stays null if nothing smaller is linked.
@@ -34,26 +40,63 @@ U = np.uint64
 SHINGLE = 5
 #: Least similarity in hundredths.
 LEAST = 75
+#: Of a shingle's hash; with the row's number, the key by which sets are sorted.
+BITS = 52
 #: Lists with more classes are joined through pivots first.
 SHORT = 64
+ROUNDS = 2
+#: Members of a long list that one task compares by bitmaps; a longer list's pairs come from a join.
+BLOCK = 8192
+#: Documents of a batch in which a shingle makes it frequent.
+OFTEN = 4
 #: Shingles put last in the common order, at most; it decides cost, not results.
 FREQUENT = 1 << 20
 
 
 def shingle_sets(text: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and hash of each distinct shingle, sorted by both, and the bounds of the rows."""
+    """Row and hash of each distinct shingle, sorted by both, and the bounds of the rows; SLICE_ROWS rows at most."""
     w = find_words(*buffers(text))
     h = word_hashes(w, lower=True)
     full = gram_starts(w, k)
     few = np.flatnonzero((w.counts > 0) & (w.counts < k))
     g = np.concatenate([gram_hashes(h, k)[full] if len(full) else np.zeros(0, np.uint64), sequence_hashes(h, w.first[few], w.first[few + 1]) if len(few) else np.zeros(0, np.uint64)])
-    row = np.concatenate([w.row[full], few])
-    by = np.lexsort((g, row))
-    g, row = g[by], row[by]
-    new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
-    g, row = g[new], row[new]
-    return row, g, np.searchsorted(row, np.arange(len(text) + 1))
+    key = np.concatenate([w.row[full], few]).astype(np.uint64) << U(BITS) | g >> U(64 - BITS)
+    key.sort()
+    if len(key):
+        key = key[np.append(True, key[1:] != key[:-1])]
+    row = (key >> U(BITS)).astype(np.int64)
+    return row, key & U((1 << BITS) - 1), np.searchsorted(row, np.arange(len(text) + 1))
+
+
+def bitmaps(row: np.ndarray, g: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Of each set, which residues an odd number of its hashes has. The number of residues is a power of two, at least
+    twice the set's size, so that a larger bitmap folds to a smaller one."""
+    n = np.diff(first)
+    size = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    start = np.append(0, np.cumsum(size))
+    at = start[row] + (g & (size[row] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits((np.bincount(at, minlength=start[-1]) & 1).astype(bool), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((start // 8).astype(np.int32).tobytes()), pa.py_buffer(bits.tobytes())])
+
+
+def least_difference(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Bits in which the bitmaps differ, the larger folded to the smaller."""
+    (da, oa), (db, ob) = _bytes(a), _bytes(b)
+    la, lb = np.diff(oa), np.diff(ob)
+    out = np.zeros(len(la), np.int64)
+    for x, y in {*zip(la.tolist(), lb.tolist(), strict=True)}:
+        at = np.flatnonzero((la == x) & (lb == y))
+        p, q = (d[o[at][:, None] + np.arange(z)] for d, o, z in ((da, oa[:-1], x), (db, ob[:-1], y)))
+        z = min(x, y)
+        p, q = (np.bitwise_xor.reduce(v.reshape(len(at), -1, z), axis=1) for v in (p, q))
+        out[at] = np.bitwise_count(p ^ q).sum(1)
+    return out
+
+
+def _bytes(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    bufs = x.buffers()
+    off = np.frombuffer(bufs[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
+    return np.frombuffer(bufs[2], np.uint8), off
 
 
 def signatures(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,31 +111,31 @@ def signatures(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def described(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """For each document: doc_id, n (set size), s (signature), t (a second one). For each shingle frequent in a batch:
-    hot, n (documents of the batch that have it)."""
+    """For each document: doc_id, n (set size), s (signature), t (a second one), bits. For each shingle frequent in a
+    batch: hot, n (documents of the batch that have it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = []
             for part in slices(iter([batch])):
-                _, g, first = shingle_sets(part.column(1), k)
+                row, g, first = shingle_sets(part.column(1), k)
                 s, t = signatures(g, first)
                 seen.append(g)
-                yield _rows(doc_id=ids(part), n=np.diff(first), s=s, t=t)
+                yield _rows(bitmaps(row, g, first), doc_id=ids(part), n=np.diff(first), s=s, t=t)
             if seen:
                 g = np.sort(np.concatenate(seen))
                 head = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
                 n = np.diff(np.append(head, len(g)))
-                keep = n >= max(8, batch.num_rows // 256)
+                keep = n >= OFTEN
                 yield _rows(hot=g[head][keep], n=n[keep])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s long, t long, hot long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s long, t long, hot long, bits binary")
 
 
-def _rows(**cols: np.ndarray) -> pa.RecordBatch:
-    size = len(next(iter(cols.values())))
+def _rows(bits: pa.Array | None = None, **cols: np.ndarray) -> pa.RecordBatch:
+    size = len(cols["n"])
     made = [pa.array(cols[c].view(np.int64)) if c in cols else pa.nulls(size, pa.int64()) for c in ("doc_id", "n", "s", "t", "hot")]
-    return pa.RecordBatch.from_arrays(made, ["doc_id", "n", "s", "t", "hot"])
+    return pa.RecordBatch.from_arrays([*made, pa.nulls(size, pa.binary()) if bits is None else bits], ["doc_id", "n", "s", "t", "hot", "bits"])
 
 
 def short_lists(docs: DataFrame, frequent: np.ndarray, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
@@ -105,8 +148,9 @@ def short_lists(docs: DataFrame, frequent: np.ndarray, k: int = SHINGLE, least:
             n = np.diff(first)
             if len(frequent) and len(g):
                 last = frequent[np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)] == g
-                by = np.lexsort((g, last, row))
-                g = g[by]
+                key = row.astype(np.uint64) << U(BITS + 1) | last.astype(np.uint64) << U(BITS) | g
+                key.sort()
+                g = key & U((1 << BITS) - 1)
             take = n - (least * n + 99) // 100 + 1
             keep = np.arange(len(g)) - first[row] < take[row]
             row = row[keep]
@@ -199,57 +243,148 @@ def merged(postings: DataFrame, least: int = LEAST, short: int = SHORT) -> DataF
     return postings.repartition("h").sortWithinPartitions("h", "n", "s").mapInArrow(run, "a long, b long, h long, n long")
 
 
-def probed(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """The pairs (a, b) that link. Only texts of classes in a pair are moved, found by a bit filter of bounded size."""
-    pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("s"))
-    bits = blooms(ends, "s", bloom_words(docs.count()), used=F.lit(True))["used"]
+def alike(pairs: DataFrame, sketches: DataFrame, least: int = LEAST) -> DataFrame:
+    """(a, b, gap): the pairs that the bitmaps don't rule out, and the share of the shingles that differ at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            apart = least_difference(batch.column(4), batch.column(5))
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            # both = (n - apart) / 2 at most, either = n - both
+            keep = 100 * (n - apart) >= least * (n + apart)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).filter(pa.array(keep)) for i in (0, 1)), pa.array((apart / n)[keep])], ["a", "b", "gap"])
+
+    x, y = (sketches.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long, gap double")
+
+
+def across(members: DataFrame, nearest: bool, least: int = LEAST) -> DataFrame:
+    """(a, b, gap): pairs of one long list and different components that the bitmaps don't rule out; with nearest, of each
+    member only the most alike. members: h, s, n, root, bits."""
+
+    def judged(x: pa.Table) -> Iterator[pa.RecordBatch]:
+        s, n, root = (x[c].to_numpy() for c in ("s", "n", "root"))
+        data, off = _bytes(x["bits"].combine_chunks())
+        size = np.diff(off)
+        for i in range(0, len(s), 128):
+            j = int(np.searchsorted(n, 100 * n[min(i + 127, len(s) - 1)] // least, "right"))
+            z = int(size[i])  # rows are sorted by size; larger bitmaps fold to this one
+            maps = np.empty((j - i, z // 8), np.uint64)
+            for y in np.unique(size[i:j]):
+                at = i + np.flatnonzero(size[i:j] == y)
+                maps[at - i] = np.bitwise_xor.reduce(data[off[at][:, None] + np.arange(y)].reshape(len(at), -1, z), axis=1).view(np.uint64)
+            for k in range(i, min(i + 128, len(s))):
+                apart = np.bitwise_count(maps[k - i + 1 :] ^ maps[k - i]).sum(1).astype(np.int64)
+                total = n[k + 1 : j] + n[k]
+                ok = np.flatnonzero((root[k + 1 : j] != root[k]) & (100 * (total - apart) >= least * (total + apart)) & (100 * n[k] >= least * n[k + 1 : j]))
+                if not len(ok):
+                    continue
+                gap = apart[ok] / total[ok]
+                if nearest:
+                    best = int(gap.argmin())
+                    ok, gap = ok[best : best + 1], gap[best : best + 1]
+                other = s[k + 1 + ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, s[k])), pa.array(np.maximum(other, s[k])), pa.array(gap)], ["a", "b", "gap"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            h = held["h"].to_numpy()
+            heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            for a, b in zip(heads, heads[1:], strict=False):
+                yield from judged(held.slice(a, b - a))
+            held = held.slice(heads[-1])
+        if held is not None:
+            yield from judged(held)
+
+    return members.select("h", "s", "n", "root", "bits").repartition("h").sortWithinPartitions("h", "n", "s").mapInArrow(run, "a long, b long, gap double")
+
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def named_texts(docs: DataFrame, classes: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(s, text): a text of each class, found by a bit filter of bounded size (a few others pass it by chance)."""
+    bits = blooms(classes, "s", bloom_words(docs.count()), used=F.lit(True))["used"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             _, g, first = shingle_sets(part.column(0), k)
             s, _ = signatures(g, first)
             keep = in_bloom(bits, s) & (np.diff(first) > 0)
             yield pa.RecordBatch.from_arrays([pa.array(s[keep].view(np.int64)), part.column(0).filter(pa.array(keep))], ["s", "text"])
 
+    return docs.select("text").mapInArrow(run, "s long, text string").dropDuplicates(["s"])
+
+
+def probed(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, least: int = LEAST) -> DataFrame:
+    """The pairs (a, b) that link: every shingle of one set is searched in the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(iter([batch]), "x"):
-                (ra, ga, fa), (rb, gb, fb) = (shingle_sets(part.column(i), k) for i in (2, 3))
-                with np.errstate(over="ignore"):
-                    sought, inside = (np.sort(mix(g + r.astype(np.uint64) * U(0x9E3779B97F4A7C15))) if i else mix(g + r.astype(np.uint64) * U(0x9E3779B97F4A7C15)) for i, (r, g) in enumerate(((ra, ga), (rb, gb))))
-                at = np.searchsorted(inside, sought)
-                hit = inside[np.minimum(at, len(inside) - 1)] == sought
-                both = np.bincount(ra[hit], minlength=part.num_rows)
-                keep = 100 * both >= least * (np.diff(fa) + np.diff(fb) - both)
-                yield part.select([0, 1]).filter(pa.array(keep))
-
-    texts = docs.select("text").mapInArrow(named, "s long, text string").dropDuplicates(["s"])
+        salt = U(0x9E3779B97F4A7C15)
+        for part in slices(batches, "x"):
+            (ra, ga, fa), (rb, gb, fb) = (shingle_sets(part.column(i), k) for i in (2, 3))
+            with np.errstate(over="ignore"):
+                sought, inside = mix(ga + ra.astype(np.uint64) * salt), mix(gb + rb.astype(np.uint64) * salt)
+            inside.sort()
+            at = np.searchsorted(inside, sought)
+            hit = inside[np.minimum(at, len(inside) - 1)] == sought
+            both = np.bincount(ra[hit], minlength=part.num_rows)
+            keep = 100 * both >= least * (np.diff(fa) + np.diff(fb) - both)
+            yield part.select([0, 1]).filter(pa.array(keep))
+
     joined = pairs.join(texts.select(F.col("s").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("s").alias("a"), F.col("text").alias("x")), "a")
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def linked(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, short: int = SHORT) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, short: int = SHORT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, s, t) of the documents, and for each class with a link (node, root)."""
     rows = cut(described(docs, k))
     counts = rows.filter("hot IS NOT NULL").groupBy("hot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hot").limit(FREQUENT).toArrow()
     frequent = np.sort(counts["hot"].to_numpy().view(np.uint64)) if counts.num_rows else np.zeros(0, np.uint64)
+    sketches = rows.filter("hot IS NULL AND n > 0").groupBy("s").agg(F.min("n").alias("n"), F.first("bits").alias("bits"))
     lists = cut(merged(short_lists(docs, frequent, k, least), least, short))
-    pairs = lists.filter("b IS NOT NULL").select("a", "b").distinct()
-    found = cut(probed(pairs, docs, k, least))
-    roots = cut(components(found))
-    members = lists.filter("b IS NULL").select("h", F.col("a").alias("s"), "n")
-    if members.limit(1).count():
-        # of each long list, the pairs that cross components; those of the pivot's component aren't the seeking side
-        placed = cut(members.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s")))
-        main = placed.groupBy("h", "root").count().groupBy("h").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        seeking = placed.join(main, "h").filter("root != main").select("h", F.col("s").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-        more = placed.join(seeking, "h").filter((F.col("root") != F.col("rx")) & (100 * F.least("n", "nx") >= least * F.greatest("n", "nx")))
-        more = more.select(F.least("s", "x").alias("a"), F.greatest("s", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        other = cut(probed(more, docs, k, least))
-        if other.limit(1).count():
-            roots = components(found.unionByName(other))
-    return rows.filter("hot IS NULL").drop("hot"), roots
+    pairs = cut(alike(lists.filter("b IS NOT NULL").select("a", "b").distinct(), sketches, least))
+    members = cut(lists.filter("b IS NULL").select("h", F.col("a").alias("s")).join(sketches, "s"))
+    sizes = members.groupBy("h").count()
+    long = members.limit(1).count() > 0
+    longest = sizes.filter(F.col("count") > block)
+    huge = long and longest.limit(1).count() > 0
+    texts = cut(named_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("s")).unionByName(members.select("s")), k))
+    found = tested = None
+    roots = pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
+        apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+        open_ = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").filter(apart).select("a", "b", "gap")
+        if long and turn:
+            placed = members.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+            open_ = open_.unionByName(across(placed.join(longest, "h", "left_anti"), not last, least))
+            if last:
+                seeking = placed.join(longest, "h", "left_semi").select("h", F.col("s").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+                rest = placed.join(seeking, "h").filter((F.col("root") != F.col("rx")) & (F.col("n") <= F.col("nx")) & (100 * F.col("n") >= least * F.col("nx")))
+                open_ = open_.unionByName(alike(rest.select(F.least("s", "x").alias("a"), F.greatest("s", "x").alias("b")).distinct(), sketches, least))
+            open_ = open_.groupBy("a", "b").agg(F.min("gap").alias("gap"))
+        if tested is not None:
+            open_ = open_.join(tested, ["a", "b"], "left_anti")
+        if not last:
+            ways = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
+            open_ = ways.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
+        now = cut(open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not now.limit(1).count():
+            if not long or turn and not huge:
+                break
+            continue
+        links = cut(probed(now, texts, k, least))
+        tested = now if tested is None else tested.unionByName(now)
+        if links.limit(1).count():
+            found = links if found is None else found.unionByName(links)
+            roots = cut(components(found))
+    return rows.filter("hot IS NULL").select("doc_id", "n", "s", "t"), roots
 
 
 def similar_components(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, short: int = SHORT) -> DataFrame:
