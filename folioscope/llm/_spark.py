@@ -30,6 +30,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_small(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """cut, then in as many partitions as its rows need: a small result makes no hundreds of files in each later step."""
+    done = cut(df)
+    return done.coalesce(max(1, done.count() // rows))
+
+
+#: Rows that go to a Python worker at once, so that its memory doesn't depend on how long texts are in the mean.
+BATCH_ROWS = 1024
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have BATCH_ROWS rows at most."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def broadcast_if_small(df: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
     """df, marked for broadcast if its values, measured, are within the limit; Spark chooses the join otherwise. df is
     read twice, so it should be cheap or cut."""

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm._spark import small_batches
 from folioscope.llm._words import U, buffers, find_words, slices
 
 #: Hash buckets of trigrams, and what is added to each count.
@@ -72,7 +73,7 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "at", "n"])
 
-    counts = rows.select("text", "lang").mapInArrow(run, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    counts = small_batches(rows).select("text", "lang").mapInArrow(run, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts["lang"].to_pylist()))
     table = np.zeros((len(langs), BUCKETS))
     index = {x: i for i, x in enumerate(langs)}
@@ -156,7 +157,7 @@ def with_languages(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataF
             score = share[np.arange(len(lang)), best] if len(langs) else np.zeros(len(lang))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(np.clip(score.astype(np.float64), 0, 1)), pa.array(every, pa.string())], [*names, "__lang", "__score", "__langs"])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ T = ceil(0.75 max(x, y)) shingles. DivideSkip takes a set's x lists of the inver
 x - T + 1 short ones; a partner must occur in at least one short list. The short lists are merged (sorted by shingle
 hash in the shuffle, read in one pass), and the remaining lists are only probed: the other set is sorted, and each
 shingle is searched in it by bisection. The order that tells short from long lists is one for all documents: shingles
-that are frequent in some batch of input come last, then the hash decides. Any common order gives the same links.
+that are frequent in some stretch of the input come last, then the hash decides. Any common order gives the same links.
 
 Equal sets are one class from the start, so copies never meet in a list. A merged list of up to SHORT classes gives all
 its pairs of fitting size. A longer one, such as that of a large group of near copies, gives only the pairs with a pivot
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm._spark import blooms, bloom_words, cut, in_bloom
+from folioscope.llm._spark import blooms, bloom_words, cut, cut_small, in_bloom, small_batches
 from folioscope.llm._words import NO_ID, buffers, find_words, gram_hashes, gram_starts, ids, mix, sequence_hashes, slices, word_hashes
 from folioscope.llm.components import components
 
@@ -47,8 +47,8 @@ SHORT = 64
 ROUNDS = 2
 #: Members of a long list that one task compares by bitmaps; a longer list's pairs come from a join.
 BLOCK = 8192
-#: Documents of a batch in which a shingle makes it frequent.
-OFTEN = 4
+#: Shingles of consecutive documents counted at once, and the documents among them that make a shingle frequent.
+HELD, OFTEN = 1 << 22, 4
 #: Shingles put last in the common order, at most; it decides cost, not results.
 FREQUENT = 1 << 20
 
@@ -112,24 +112,27 @@ def signatures(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def described(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """For each document: doc_id, n (set size), s (signature), t (a second one), bits. For each shingle frequent in a
-    batch: hot, n (documents of the batch that have it)."""
+    stretch of documents: hot, n (documents of the stretch that have it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = []
-            for part in slices(iter([batch])):
-                row, g, first = shingle_sets(part.column(1), k)
-                s, t = signatures(g, first)
-                seen.append(g)
-                yield _rows(bitmaps(row, g, first), doc_id=ids(part), n=np.diff(first), s=s, t=t)
-            if seen:
-                g = np.sort(np.concatenate(seen))
-                head = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
-                n = np.diff(np.append(head, len(g)))
-                keep = n >= OFTEN
-                yield _rows(hot=g[head][keep], n=n[keep])
-
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s long, t long, hot long, bits binary")
+        def often() -> pa.RecordBatch:
+            g = np.sort(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
+            head = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+            n = np.diff(np.append(head, len(g)))
+            seen.clear()
+            return _rows(hot=g[head][n >= OFTEN], n=n[n >= OFTEN])
+
+        seen: list[np.ndarray] = []
+        for part in slices(batches):
+            row, g, first = shingle_sets(part.column(1), k)
+            s, t = signatures(g, first)
+            yield _rows(bitmaps(row, g, first), doc_id=ids(part), n=np.diff(first), s=s, t=t)
+            seen.append(g)
+            if sum(map(len, seen)) > HELD:
+                yield often()
+        yield often()
+
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s long, t long, hot long, bits binary")
 
 
 def _rows(bits: pa.Array | None = None, **cols: np.ndarray) -> pa.RecordBatch:
@@ -347,8 +350,8 @@ def linked(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, short: int = S
     frequent = np.sort(counts["hot"].to_numpy().view(np.uint64)) if counts.num_rows else np.zeros(0, np.uint64)
     sketches = rows.filter("hot IS NULL AND n > 0").groupBy("s").agg(F.min("n").alias("n"), F.first("bits").alias("bits"))
     lists = cut(merged(short_lists(docs, frequent, k, least), least, short))
-    pairs = cut(alike(lists.filter("b IS NOT NULL").select("a", "b").distinct(), sketches, least))
-    members = cut(lists.filter("b IS NULL").select("h", F.col("a").alias("s")).join(sketches, "s"))
+    pairs = cut_small(alike(lists.filter("b IS NOT NULL").select("a", "b").distinct(), sketches, least))
+    members = cut_small(lists.filter("b IS NULL").select("h", F.col("a").alias("s")).join(sketches, "s"))
     sizes = members.groupBy("h").count()
     long = members.limit(1).count() > 0
     longest = sizes.filter(F.col("count") > block)
@@ -374,16 +377,16 @@ def linked(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, short: int = S
         if not last:
             ways = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
             open_ = ways.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
-        now = cut(open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        now = cut_small(open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not now.limit(1).count():
             if not long or turn and not huge:
                 break
             continue
-        links = cut(probed(now, texts, k, least))
+        links = cut_small(probed(now, texts, k, least))
         tested = now if tested is None else tested.unionByName(now)
         if links.limit(1).count():
             found = links if found is None else found.unionByName(links)
-            roots = cut(components(found))
+            roots = cut_small(components(found))
     return rows.filter("hot IS NULL").select("doc_id", "n", "s", "t"), roots
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm._spark import broadcast_if_small
+from folioscope.llm._spark import broadcast_if_small, cut, small_batches
 from folioscope.llm._words import buffers, find_words, gram_hashes, gram_starts, mix, row_sums, slices, span_hashes, word_hashes
 
 U = np.uint64
@@ -101,7 +101,7 @@ def with_counts(docs: DataFrame) -> DataFrame:
             found = measured(part.column(names.index("text")))
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(np.asarray(found[c], np.int64)) for c in COUNTS)], [*names, *(f"__{c}" for c in COUNTS)])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
@@ -144,7 +144,7 @@ def medians(counted: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """docs, the counts, __base_failed and __kept."""
     counted = with_counts(docs)
-    middle = broadcast_if_small(medians(with_counts(docs.select("text", "lang", "source"))))
+    middle = broadcast_if_small(cut(medians(with_counts(docs.select("text", "lang", "source")))))
     joined = counted.join(middle, counted["lang"].eqNullSafe(middle["__lang"]) & counted["source"].eqNullSafe(middle["__source"]), "left").drop("__lang", "__source")
     odd = F.lit(False)
     for (m, b), (_, _, above, below, high, low) in zip(_buckets(), FENCES.values(), strict=True):

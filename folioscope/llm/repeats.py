@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm._spark import blooms, bloom_words, broadcast_if_small, cut, in_bloom
+from folioscope.llm._spark import blooms, bloom_words, broadcast_if_small, cut, in_bloom, small_batches
 from folioscope.llm._words import NO_ID, Words, buffers, find_words, gram_hashes, ids, leftmost_min, slices, word_hashes
 
 WINDOW = 50
@@ -35,7 +35,7 @@ HOT = 1 << 16
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of the text, which with doc_id names a row."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.hash("text").alias("tkey"))
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.hash("text").alias("tkey"))
 
 
 def occurrences(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -33,6 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.llm._spark import small_batches
+
 #: Place of the model unless another is given.
 MODEL = os.environ.get("FOLIOSCOPE_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Stretches whose paths a worker keeps.
@@ -242,7 +244,7 @@ def _with_column(docs: DataFrame, model: str, of: str, to: str, kind: str, made:
                 part = batch.slice(at, ROWS)
                 yield pa.RecordBatch.from_arrays([*part.columns, made(fst, part.column(names.index(of)))], [*names, to])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text", to: str = "ids") -> DataFrame:
@@ -274,7 +276,7 @@ def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 same = pc.equal(decode_column(fst, ids), part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off).astype(np.int64)), pa.array(fallback[off[1:]] - fallback[off[:-1]]), pa.array(sha, pa.string()), same], ["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

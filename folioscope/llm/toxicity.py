@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm._spark import cut
+from folioscope.llm._spark import cut, small_batches
 from folioscope.llm.language_id import held_out
 
 #: Labelled texts of each class that the lexicon is learned from, at most.
@@ -283,7 +283,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
             found = [m.score(machine, texts[i].as_py()) if machine else 0.0 for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*names, "__score"])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
