@@ -143,7 +143,8 @@ class Model:
     """Patterns, their weights, exception phrases, and the logistic curve of the normalised sum."""
 
     def __init__(self, patterns: list[str], weights: list[float], exceptions: set[str], slope: float, middle: float) -> None:
-        self.patterns, self.weights, self.exceptions, self.slope, self.middle = patterns, np.array(weights), exceptions, slope, middle
+        self.patterns, self.weights, self.slope, self.middle = patterns, np.array(weights), slope, middle
+        self.exceptions = {folded(x).strip() for x in exceptions}
 
     def scores(self, texts: list[str | None]) -> list[float]:
         if not self.patterns:
