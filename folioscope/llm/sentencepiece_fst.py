@@ -8,8 +8,8 @@ found by relaxing the arcs in order of position.
 
 For a unigram model that is all. A byte-pair model's segmentation is defined by merges, not by a sum of scores, so its
 lexicon is also composed with a compatibility acceptor: piece b may follow piece a only if merging the characters of ab
-gives a, b again. A segmentation all of whose neighbours are compatible is the one that merging gives, so at most one
-path per position survives, and the shortest path is right for both kinds.
+gives a, b again. A segmentation all of whose neighbours are compatible is the one that merging gives, so the composition
+has one path, which is the shortest; it is found depth first, without computing the costs.
 
 No piece has an escaped space after another character, so a shortest path passes through each boundary before a run of
 spaces; the paths of these stretches are found apart and kept in a bounded table per worker.
@@ -21,6 +21,7 @@ ids; the empty text has none. Lone bytes decode to U+FFFD, as in the library.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import re
 import struct
@@ -37,8 +38,8 @@ from folioscope.llm._spark import small_batches
 
 #: Place of the model unless another is given.
 MODEL = os.environ.get("FOLIOSCOPE_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-#: Stretches whose paths a worker keeps.
-KEPT = 1 << 19
+#: Stretches whose paths a worker keeps, and as many that it found before those; pairs of pieces as well.
+KEPT = 1 << 17
 #: Texts handled at once.
 ROWS = 256
 SPACE = "▁"
@@ -102,7 +103,10 @@ class Transducer:
         self.arcs = {p: (i, -scores[i]) for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
         if any(SPACE in p.lstrip(SPACE) for p in self.arcs):
             raise ValueError("a piece has a space after another character")
-        self.longest = max(map(len, self.arcs))
+        self.cost = {p: c for p, (_, c) in self.arcs.items()}
+        self.prefixes = {p[:n] for p in self.arcs for n in range(1, len(p))}
+        # pieces that merging their own characters gives
+        self.whole = {p for p in self.arcs if self.type == UNIGRAM or self.merged(p) == [p]}
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.dearest = max(c for _, c in self.arcs.values()) + 10.0
@@ -116,6 +120,7 @@ class Transducer:
                 self.output[i] = " ⁇ ".encode()
         self.compatible: dict[tuple[str, str], bool] = {}
         self.paths: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
         self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def normalised(self, text: str) -> str:
@@ -128,48 +133,92 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: the best-scored neighbour pair first, the leftmost of equals."""
+        cost, none = self.cost.get, math.inf
         parts = list(text)
-        while True:
-            best = min(((self.arcs[a + b][1], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.arcs), default=None)
-            if best is None:
-                return parts
-            i = best[1]
+        costs = [cost(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while costs:
+            least = min(costs)
+            if least == none:
+                break
+            i = costs.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i < len(costs):
+                costs[i] = cost(parts[i] + parts[i + 1], none)
+            if i:
+                costs[i - 1] = cost(parts[i - 1] + parts[i], none)
+        return parts
 
     def follows(self, a: str, b: str) -> bool:
         found = self.compatible.get((a, b))
         if found is None:
             if len(self.compatible) >= KEPT:
                 self.compatible.clear()
-            found = self.compatible[a, b] = self.merged(a + b) == [a, b]
+            found = self.compatible[a, b] = a + b not in self.whole and self.merged(a + b) == [a, b]
         return found
 
+    def arcs_from(self, text: str, start: int) -> list[str]:
+        """Pieces that can be read from a position, the shortest first; always the single character."""
+        weights, prefixes, n = self.cost, self.prefixes, len(text)
+        out, end = [text[start]], start + 2
+        while end <= n:
+            piece = text[start:end]
+            if piece in weights:
+                out.append(piece)
+            if piece not in prefixes:
+                break
+            end += 1
+        return out
+
+    def only_path(self, text: str) -> list[str]:
+        """The path of a byte-pair model, whose composition has one: the arcs are followed depth first, the longest first,
+        and no state (position and piece before it) twice."""
+        n, follows, whole = len(text), self.follows, self.whole
+        path: list[str] = []
+        at, open_, dead = 0, [self.arcs_from(text, 0)], set()
+        while True:
+            arcs = open_[-1]
+            while arcs:
+                piece = arcs.pop()
+                end = at + len(piece)
+                if (end, piece) in dead:
+                    continue
+                if follows(path[-1], piece) if path else len(piece) == 1 or piece in whole:
+                    path.append(piece)
+                    at = end
+                    if at == n:
+                        return path
+                    open_.append(self.arcs_from(text, at))
+                    break
+            else:
+                open_.pop()
+                dead.add((at, path[-1]))
+                at -= len(path.pop())
+
     def shortest_path(self, text: str) -> list[str]:
         """Pieces, or single characters without one, of the least-cost path over a normalised text."""
-        n, arcs, bpe = len(text), self.arcs, self.type == BPE
+        if self.type == BPE:
+            return self.only_path(text)
+        n, weights, prefixes = len(text), self.cost, self.prefixes
         cost: list[float | None] = [0.0] + [None] * n
         last: list[str] = [""] * (n + 1)
         for start in range(n):
             here = cost[start]
             if here is None:
                 continue
-            before = last[start]
-            for end in range(start + 1, min(n, start + self.longest) + 1):
+            for end in range(start + 1, n + 1):
                 piece = text[start:end]
-                arc = arcs.get(piece)
-                if arc is None:
-                    if end > start + 1:
+                weight = weights.get(piece)
+                if weight is None:
+                    if end == start + 1:
+                        weight = self.dearest
+                    elif piece in prefixes:
                         continue
-                    weight = self.dearest
-                else:
-                    weight = arc[1]
+                    else:
+                        break
                 now = cost[end]
                 if now is not None and now <= here + weight:
                     continue
-                if bpe and start and not self.follows(before, piece):
-                    continue
-                if bpe and not start and end > 1 and self.merged(piece) != [piece]:
-                    continue
                 cost[end], last[end] = here + weight, piece
         path, at = [], n
         while at:
@@ -191,15 +240,18 @@ class Transducer:
 
     def encoded(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        paths, out = self.paths, []
+        paths, earlier, out = self.paths, self.earlier, []
         for x in self.stretch.findall(self.normalised(text)):
             path = paths.get(x)
             if path is None:
-                if len(paths) >= KEPT:
-                    paths.clear()
-                got = self.ids(x)
-                path = struct.pack(f"<{len(got)}i", *got)
+                path = earlier.get(x)
+                if path is None:
+                    got = self.ids(x)
+                    path = struct.pack(f"<{len(got)}i", *got)
                 if len(x) <= 64:
+                    if len(paths) >= KEPT:
+                        earlier, paths = paths, {}
+                        self.paths, self.earlier = paths, earlier
                     paths[x] = path
             out.append(path)
         return b"".join(out)

@@ -181,7 +181,7 @@ def test_unigram_paths():
     """Of a unigram model, the path of greatest score."""
     fst = sentencepiece_fst.compiled(sentencepiece_fst.model_bytes(sentencepiece_fst.MODEL))
     small = object.__new__(sentencepiece_fst.Transducer)
-    small.__dict__.update(fst.__dict__ | {"type": sentencepiece_fst.UNIGRAM, "arcs": {"a": (0, 3.0), "b": (1, 3.0), "ab": (2, 4.0), "ba": (3, 1.0)}, "longest": 2, "dearest": 99.0})
+    small.__dict__.update(fst.__dict__ | {"type": sentencepiece_fst.UNIGRAM, "cost": {"a": 3.0, "b": 3.0, "ab": 4.0, "ba": 1.0}, "prefixes": {"a", "b"}, "dearest": 99.0})
     assert small.shortest_path("aba") == ["a", "ba"]
     assert small.shortest_path("abab") == ["a", "ba", "b"]
 
