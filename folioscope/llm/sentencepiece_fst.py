@@ -281,7 +281,9 @@ def encode_column(fst: Transducer, texts: pa.Array) -> pa.ListArray:
 
 
 def decode_column(fst: Transducer, ids: pa.ListArray) -> pa.Array:
-    return pa.array([None if x is None else fst.decoded(x) for x in ids.to_pylist()], pa.string())
+    off, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False).tolist()
+    null = ids.is_null().to_pylist()
+    return pa.array([None if z else fst.decoded(flat[a:b]) for z, a, b in zip(null, off[:-1], off[1:], strict=True)], pa.string())
 
 
 def _with_column(docs: DataFrame, model: str, of: str, to: str, kind: str, made: Callable[[Transducer, pa.Array], pa.Array]) -> DataFrame:
