@@ -90,7 +90,7 @@ def test_reduce_mentions(spark):
 
 @pytest.mark.parametrize(
     ("birth", "death", "want"),
-    [(None, None, True), ("x", "y", True), (None, "1924.0", True), (None, "1903", False), ("1903", None, True), ("1904", None, False), ("1924", None, False)],
+    [(None, None, True), ("x", "y", True), (None, "1924.0", True), (None, "1903", False), ("1903", None, True), ("1904", None, True), ("1905", None, False)],
 )
 def test_alive(spark, birth, death, want):
     df = spark.createDataFrame([(birth, death, dt.date(1924, 1, 1))], "birth string, death string, d date")
