@@ -95,8 +95,9 @@ def windows(docs: DataFrame, wanted: Callable[[np.ndarray], np.ndarray], window:
 
 def later_windows(found: DataFrame) -> DataFrame:
     """(doc_id, tkey, at) of the windows that also start in a document of smaller id. Counted in Spark: a hash's rows are
-    combined before the shuffle, and the join of the rows with the counts can be split where one hash is frequent."""
-    first = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h", "a")
+    combined before the shuffle. The counts are cut, since Spark splits a frequent hash's rows in the join only where both
+    sides come straight from a shuffle."""
+    first = cut(found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h", "a"))
     return found.join(first, "h").filter("doc_id > a").select("doc_id", "tkey", "at")
 
 
