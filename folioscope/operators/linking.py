@@ -9,16 +9,46 @@ from folioscope.functions import text as X
 from folioscope.operators.search import top
 
 
+def _pieces(length: Column, share: float) -> Column:
+    """Where to cut a word so that of any word within the share of edits, one piece at least is left whole: one piece more
+    than there can be edits. Structs of a piece's number, start, width, and the edits."""
+    edits = F.floor(length * (2 * share / (1 - share)) + 1e-9).cast("int")
+    edge = lambda i: F.floor(i * length / (edits + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(i.alias("i"), edge(i).alias("at"), (edge(i + 1) - edge(i)).alias("width"), edits.alias("edits")))
+
+
+def _piece(word: Column, length: Column, p: Column, at: Column) -> Column:
+    return F.struct(length.alias("length"), p["i"].alias("i"), F.substring(word, at + 1, p["width"]).alias("piece"))
+
+
+def alike(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """(a, b): words a of left and b of right whose ratio is least at least, case aside. Words meet by pieces: b is cut, and a
+    is looked through for each piece near its place, for each length that b can have. Nothing is broadcast, and no word
+    meets all others."""
+    share = 1 - (least - 0.5) / 100  # ratios are rounded
+    b = F.lower("b")
+    cut = right.select("b", F.explode(F.transform(_pieces(F.length(b), share), lambda p: _piece(b, F.length(b), p, p["at"]))).alias("key"))
+    a, n = F.lower("a"), F.length(F.lower("a"))
+
+    def places(m: Column, p: Column) -> Column:
+        first = F.greatest(p["at"] - p["edits"], F.lit(0))
+        last = F.greatest(first, F.least(p["at"] + p["edits"], n - p["width"]))
+        return F.transform(F.sequence(first, last), lambda at: _piece(a, m, p, at))
+
+    lengths = F.sequence(F.ceil(n * ((1 - share) / (1 + share)) - 1e-9).cast("int"), F.floor(n * ((1 + share) / (1 - share)) + 1e-9).cast("int"))
+    looked = F.flatten(F.transform(lengths, lambda m: F.flatten(F.transform(_pieces(m, share), lambda p: places(m, p)))))
+    met = left.select("a", F.explode(F.array_distinct(looked)).alias("key")).join(cut, "key").select("a", "b").distinct()
+    return met.filter(X.ratio(a, b) >= least)
+
+
 def reduce_mentions(names: DataFrame, name: str, least: int = 85) -> DataFrame:
     """Full names, and single words that no full name's last word resembles; each once."""
     clean = names.select(F.trim(name).alias(name)).filter(F.col(name) != "").distinct()
     many = F.size(F.split(F.col(name), X.SPACES)) > 1
-    last = clean.filter(many).select(X.last_word(F.col(name)).alias("__last")).distinct()
-    single = clean.filter(~many)
-    similar = X.ratio(F.lower(name), F.lower("__last")) >= least
-    # two words can only be that alike if their lengths are
-    near = F.abs(F.length(name) - F.length("__last")) <= (1 - least / 100) * (F.length(name) + F.length("__last"))
-    return clean.filter(many).unionByName(single.join(F.broadcast(last), near & similar, "left_anti"))
+    full, single = clean.filter(many), clean.filter(~many)
+    last = full.select(X.last_word(F.col(name)).alias("b")).distinct()
+    resembling = alike(single.select(F.col(name).alias("a")), last, least).select(F.col("a").alias(name))
+    return full.unionByName(single.join(resembling, name, "left_anti"))
 
 
 def candidates(mentions: DataFrame, entities: DataFrame, k: int = 8, least_score: float = 0.4, least_fuzzy: int = 75) -> DataFrame:

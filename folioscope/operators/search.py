@@ -1,5 +1,6 @@
-"""Search: nearest vectors, BM25, both fused, two levels, keywords. Queries are a stated set; they are broadcast, and the
-collection is read once, in its own partitions."""
+"""Search: nearest vectors, BM25, both fused, two levels, keywords. Queries are a stated set; if they are measured to be small,
+they and what has a few rows for each of them are broadcast, and the collection is read in its own partitions. Larger sets
+meet it in blocks, one pair of partitions a task, or by a shuffle."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 from folioscope.functions.vector import certainty, cosine
+from folioscope.operators.sizes import BROADCAST_BYTES, broadcast_if, fits
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -17,7 +19,8 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
 
 def near_vectors(queries: DataFrame, rows: DataFrame, row_key: str, least: float | None = None) -> DataFrame:
     """Every row scored for each query (columns qid, qvec); rows has vector. least bounds the certainty."""
-    scored = rows.join(F.broadcast(queries.select("qid", "qvec"))).withColumn("cos", F.round(cosine(F.col("qvec"), F.col("vector")), 6)).drop("qvec", "vector")
+    asked = queries.select("qid", "qvec")
+    scored = rows.join(broadcast_if(fits(asked), asked)).withColumn("cos", F.round(cosine(F.col("qvec"), F.col("vector")), 6)).drop("qvec", "vector")
     scored = scored.withColumn("certainty", F.round(certainty(F.col("cos")), 6))
     return scored if least is None else scored.filter(F.col("certainty") >= least)
 
@@ -26,32 +29,39 @@ def near_vector_topk(queries: DataFrame, rows: DataFrame, row_key: str, k: int =
     return top(near_vectors(queries, rows, row_key, least), ["qid"], [F.desc("cos"), F.col(row_key)], k)
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): an inverted index with the documents' lengths."""
+def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, length): an inverted index with the documents' lengths; of the terms in only, if it is given."""
     words = docs.select(key, X.terms(F.col(text)).alias("w"))
-    return words.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    each = words.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+    if only is not None:
+        each = each.join(only, "term", "left_semi")
+    return each.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, key, bm25) for documents with a term of the query (columns qid, query). Only the queries' terms leave the
-    index; corpus statistics are of all documents."""
+    """(qid, key, bm25) for documents with a term of the query (columns qid, query). Other terms than the queries' are gone
+    before anything is counted or shuffled; corpus statistics are of all documents."""
     asked = queries.select("qid", F.explode(F.array_distinct(X.terms(F.col("query")))).alias("term"))
-    used = postings(docs, key, text).join(F.broadcast(asked.select("term").distinct()), "term")
+    small = fits(asked)
+    used = postings(docs, key, text, broadcast_if(small, asked.select("term").distinct()))
     stats = docs.select(F.size(X.terms(F.col(text))).alias("n")).agg(F.count(F.lit(1)).alias("N"), F.avg("n").alias("avgdl"))
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "term").join(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
-    return used.join(F.broadcast(weights.drop("df", "N")), "term").groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("bm25"))
+    # weights has no more rows than asked, stats has one
+    return used.join(broadcast_if(small, weights.drop("df", "N")), "term").groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("bm25"))
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, key: str, alpha: float = 0.25) -> DataFrame:
+def fuse(vector: DataFrame, keyword: DataFrame, key: str, alpha: float = 0.25, queries: DataFrame | None = None) -> DataFrame:
     """(qid, key, score): alpha times the vector score plus the rest times the keyword score, each scaled to 0 to 1 by its
-    least and greatest for the query (1 if these are equal); a missing score is 0."""
+    least and greatest for the query (1 if these are equal); a missing score is 0. With the queries (column qid) given, their
+    bounds, one row each, can be broadcast."""
+    small = queries is not None and fits(queries.select("qid"), BROADCAST_BYTES // 4)
 
     def scaled(df: DataFrame, c: str) -> DataFrame:
         bounds = df.groupBy("qid").agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
         value = F.when(F.col("hi") > F.col("lo"), (F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
-        return df.join(F.broadcast(bounds), "qid").select("qid", key, value.alias(c))
+        return df.join(broadcast_if(small, bounds), "qid").select("qid", key, value.alias(c))
 
     both = scaled(vector, "cos").join(scaled(keyword, "bm25"), ["qid", key], "full")
     return both.select("qid", key, F.round(alpha * F.coalesce("cos", F.lit(0.0)) + (1 - alpha) * F.coalesce("bm25", F.lit(0.0)), 6).alias("score"))
@@ -65,7 +75,8 @@ def keyword(docs: DataFrame, text: str, words: str) -> DataFrame:
 def layered(queries: DataFrame, parents: DataFrame, children: DataFrame, parent: str, child: str, k_parents: int, k: int) -> DataFrame:
     """(qid, parent, child, cos, rank): the best children of each query's best parents. Both have vector, children also
     parent."""
+    small = fits(queries.select("qid"), BROADCAST_BYTES // (4 * k_parents))
     best = near_vector_topk(queries, parents, parent, k_parents).select("qid", parent)
-    pool = children.join(F.broadcast(best.select(parent).distinct()), parent, "left_semi")
-    scored = near_vectors(queries, pool, child).join(F.broadcast(best), ["qid", parent], "left_semi")
+    pool = children.join(broadcast_if(small, best.select(parent).distinct()), parent, "left_semi")
+    scored = near_vectors(queries, pool, child).join(broadcast_if(small, best), ["qid", parent], "left_semi")
     return top(scored, ["qid"], [F.desc("cos"), F.col(child)], k)

@@ -193,7 +193,7 @@ SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DE
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", V.hashed(X.terms(F.col("text"))).alias("vector"))
     asked = _questions(spark, sf_dir).select("qid", V.hashed(X.terms(F.col("query"))).alias("qvec"))
-    fused = search.fuse(search.near_vectors(asked, docs, "doc_id").select("qid", "doc_id", "cos"), _bm25(spark, sf_dir), "doc_id").withColumn("score", F.round("score", 4))
+    fused = search.fuse(search.near_vectors(asked, docs, "doc_id").select("qid", "doc_id", "cos"), _bm25(spark, sf_dir), "doc_id", queries=asked).withColumn("score", F.round("score", 4))
     return search.top(fused, ["qid"], [F.desc("score"), F.col("doc_id")], 3)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +90,61 @@ def test_reduce_mentions(spark):
     assert sorted(r["name"] for r in linking.reduce_mentions(df, "name").collect()) == ["Anna Meier", "Huber"]
 
 
+def plain_ratio(a: str, b: str) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j, prev=row, x=x: max(prev[j], left, prev[j - 1] + 1 if b[j - 1] == x else 0), initial=0))
+    return round(200 * row[-1] / (len(a) + len(b)))
+
+
+@pytest.mark.parametrize("least", [60, 85, 100])
+def test_alike_words_against_all_pairs(spark, least):
+    rng = random.Random(7)
+    words = {"".join(rng.choices("abc", k=rng.randint(1, 12))) for _ in range(150)} | {"abcdefghijk", "abcdefghijkxxxx", "Zoë", "zoé"}
+    left, right = sorted(words)[::2] + ["abcdefghijk", "ABCA"], sorted(words)[1::2] + ["abcdefghijkxxxx", "abca"]
+    a, b = (spark.createDataFrame([(w,) for w in x], f"{c} string").distinct() for x, c in ((left, "a"), (right, "b")))
+    got = {(r["a"], r["b"]) for r in linking.alike(a, b, least).collect()}
+    assert got == {(x, y) for x in left for y in right if plain_ratio(x.lower(), y.lower()) >= least}
+
+
+def test_alike_words_of_no_words(spark):
+    none = spark.createDataFrame([], "a string")
+    assert linking.alike(none, none.withColumnRenamed("a", "b"), 85).count() == 0
+    assert linking.reduce_mentions(spark.createDataFrame([(None,), ("",), ("Meier",)], "name string"), "name").collect() == [("Meier",)]
+
+
+def test_searches_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
+    rng = random.Random(3)
+    vector = lambda: [rng.random() for _ in range(4)]
+    asked = spark.createDataFrame([(i, vector()) for i in range(5)], "qid int, qvec array<double>")
+    parents = spark.createDataFrame([(i, vector()) for i in range(4)], "label int, vector array<double>")
+    rows = spark.createDataFrame([(i, i % 4, vector()) for i in range(40)], "id int, label int, vector array<double>")
+    docs = spark.createDataFrame([(1, "a b c a"), (2, "c d"), (3, None), (4, "")], "id int, t string")
+    words = spark.createDataFrame([(0, "a c"), (1, "d x"), (2, None)], "qid int, query string")
+
+    def found():
+        near, two = search.near_vector_topk(asked, rows, "id"), search.layered(asked, parents, rows, "label", "id", 2, 3)
+        key = search.bm25(words, docs, "id", "t")
+        fused = search.fuse(search.near_vectors(asked, rows, "id").select("qid", "id", "cos"), key, "id", queries=asked)
+        return [sorted(map(tuple, df.select("qid", "id", c).collect())) for df, c in ((near, "rank"), (two, "rank"), (key, "bm25"), (fused, "score"))]
+
+    small = found()
+    monkeypatch.setattr(search, "fits", lambda df, limit=0: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert found() == small
+        assert {(q, i) for q, i, _ in small[2]} == {(0, 1), (0, 2), (1, 2)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sizes(spark):
+    from folioscope.operators.sizes import fits
+
+    df = spark.createDataFrame([("x" * 1000, 1), (None, None)], "t string, n long")
+    assert fits(df, 2000) and not fits(df, 1000) and fits(df.limit(0), 0)
+
+
 @pytest.mark.parametrize(
     ("birth", "death", "want"),
     [(None, None, True), ("x", "y", True), (None, "1924.0", True), (None, "1903", False), ("1903", None, True), ("1904", None, True), ("1905", None, False)],
