@@ -11,8 +11,12 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 if a vector has no length."""
-    length = F.sqrt(dot(a, a) * dot(b, b))
+    return cosine_of(a, b, dot(a, a), dot(b, b))
+
+
+def cosine_of(a: Column, b: Column, aa: Column, bb: Column) -> Column:
+    """The cosine with both vectors' squares given; 0 if a vector has no length."""
+    length = F.sqrt(aa * bb)
     return F.when(length > 0, dot(a, b) / length).otherwise(0.0)
 
 
@@ -23,8 +27,9 @@ def certainty(similarity: Column) -> Column:
 def hashed(terms: Column, size: int = 16) -> Column:
     """A text's vector by feature hashing: how many terms fall into each of the buckets that md5 gives."""
     bucket = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(size))
-    buckets = F.transform(terms, bucket)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    count = lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double"))
+    # as an array's one element, the buckets are found once and not once for each i
+    return F.get(F.transform(F.array(F.transform(terms, bucket)), count), F.lit(0))
 
 
 def mean_vectors(df: DataFrame, by: list[str], vector: str, weight: Column | None = None) -> DataFrame:

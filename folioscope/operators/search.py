@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
-from folioscope.functions.vector import certainty, cosine
+from folioscope.functions.vector import certainty, cosine_of, dot
 from folioscope.operators.sizes import BROADCAST_BYTES, broadcast_if, fits
 
 
@@ -20,7 +20,10 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
 def near_vectors(queries: DataFrame, rows: DataFrame, row_key: str, least: float | None = None) -> DataFrame:
     """Every row scored for each query (columns qid, qvec); rows has vector. least bounds the certainty."""
     asked = queries.select("qid", "qvec")
-    scored = rows.join(broadcast_if(fits(asked), asked)).withColumn("cos", F.round(cosine(F.col("qvec"), F.col("vector")), 6)).drop("qvec", "vector")
+    small, q, v = fits(asked), F.col("qvec"), F.col("vector")
+    # squares are taken once a vector, not once a pair
+    both = rows.withColumn("__vv", dot(v, v)).join(broadcast_if(small, asked.withColumn("__qq", dot(q, q))))
+    scored = both.withColumn("cos", F.round(cosine_of(q, v, F.col("__qq"), F.col("__vv")), 6)).drop("qvec", "vector", "__qq", "__vv")
     scored = scored.withColumn("certainty", F.round(certainty(F.col("cos")), 6))
     return scored if least is None else scored.filter(F.col("certainty") >= least)
 
