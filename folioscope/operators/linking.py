@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +85,39 @@ def display_name(kind: Column, lang: str, names: dict[str, Column]) -> Column:
     return F.when(kind == "PER", names["name"]).when(kind == "ORG", org).otherwise(F.coalesce(names.get(lang, names["de"]), names["de"]))
 
 
+Judge = Callable[[list[dict[str, str]], str], list[dict[str, str]] | None]
+
+
+def plausible(candidates: DataFrame, texts: DataFrame, judge: Judge, calls: int = 4) -> DataFrame:
+    """Candidates (part, kind, url, description) that stay once a judge has read each part's text (part, text) with its people.
+
+    Of the people those with an accepted url stay, beside the part's organisations and places. A part without people isn't
+    asked about and keeps all. A judge that raises ValueError is called again, up to the calls in all; one that still does,
+    or that gives None, costs the part all its candidates. A missing or null text is empty; people without url go. A null
+    part is in none. The judge gets the distinct people of one part at a time, which candidate search bounds; candidates
+    meet the verdicts by part and are not gathered."""
+    people = candidates.filter((F.col("kind") == "PER") & F.col("part").isNotNull()).groupBy("part").agg(F.array_sort(F.collect_set(F.struct("url", "description"))).alias("people"))
+    asked = people.join(texts.filter(F.col("part").isNotNull()).groupBy("part").agg(F.min("text").alias("text")), "part", "left")
+
+    def answer(rows: list, text: str | None) -> list[str] | None:
+        for _ in range(calls):
+            try:
+                found = judge([{"url": r["url"] or "", "description": r["description"] or ""} for r in rows], text or "")
+            except ValueError:
+                continue
+            return None if found is None else [x["url"] for x in found if x.get("url")]
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"part": pdf["part"], "accepted": [answer(p, t) for p, t in zip(pdf["people"], pdf["text"], strict=True)]})
+
+    verdicts = asked.mapInPandas(run, f"part {dict(people.dtypes)['part']}, accepted array<string>").select(F.col("part").alias("__part"), F.col("accepted").alias("__accepted"), F.lit(True).alias("__asked"))
+    both = candidates.filter(F.col("part").isNotNull()).join(verdicts, F.col("part") == F.col("__part"), "left")
+    stays = F.col("__asked").isNull() | (F.col("__accepted").isNotNull() & ((F.col("kind") != "PER") | F.array_contains("__accepted", F.col("url"))))
+    return both.filter(stays).drop("__part", "__accepted", "__asked")
+
+
 # Predicates of links and what an entity's address must contain.
 HAS_PLACE, HAS_SUBJECT = "rico:hasPlace", "rico:hasSubject"
 

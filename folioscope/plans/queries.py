@@ -282,6 +282,24 @@ def link_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.link_triples(made, {"LOC": ":place:", "ORG": ":org:", "PER": ":person:"})
 
 
+@query(r"""WITH c AS (SELECT doc_id AS part, 'PER' AS kind, 'urn:person:' || doc_id AS url, CASE WHEN doc_id % 4 = 0 THEN 'the ' || source WHEN doc_id % 4 = 1 THEN source END AS description FROM documents WHERE doc_id % 4 != 3
+UNION ALL SELECT doc_id, 'ORG', 'urn:org:' || source, NULL FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'LOC', 'urn:place:' || lang, NULL FROM documents WHERE doc_id % 5 = 0),
+w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents)
+SELECT part, kind, url FROM c JOIN w ON part = doc_id WHERE kind != 'PER' OR list_has_any(w, regexp_extract_all(lower(coalesce(description, '')), '[\p{L}\p{N}_]+'))""")
+def plausible_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People whom the default judge accepts, beside the organisations and places of the same text."""
+    docs, d = table(spark, sf_dir, "documents"), F.col("doc_id")
+    known = lambda kind, url, told: F.struct(F.lit(kind).alias("kind"), url.alias("url"), told.cast("string").alias("description"))
+    told = F.when(d % 4 == 0, F.concat(F.lit("the "), "source")).when(d % 4 == 1, F.col("source"))
+    each = F.array(
+        F.when(d % 4 != 3, known("PER", F.concat(F.lit("urn:person:"), d), told)),
+        F.when(d % 3 == 0, known("ORG", F.concat(F.lit("urn:org:"), "source"), F.lit(None))),
+        F.when(d % 5 == 0, known("LOC", F.concat(F.lit("urn:place:"), "lang"), F.lit(None))),
+    )
+    found = docs.select(d.alias("part"), F.explode(F.array_compact(each)).alias("x")).select("part", "x.*")
+    return linking.plausible(found, docs.select(d.alias("part"), "text"), models.overlap_judge).select("part", "kind", "url")
+
+
 @query("""WITH c AS (SELECT doc_id, text AS content, lang, 'urn:doc:' || doc_id AS doc, 'urn:doc:' || doc_id || '/0' AS part FROM documents)
 SELECT 'urn:graph' AS graph, doc AS subject, 'rico:hasOrHadPart' AS predicate, part AS object, NULL::VARCHAR AS lang FROM c UNION ALL SELECT 'urn:graph', part, 'rdf:type', 'rico:RecordPart', NULL FROM c
 UNION ALL SELECT 'urn:graph', part, 'rico:textualValue', replace(replace(replace(replace(content, '/', ''), '{', ''), '}', ''), '\\', ''), lang FROM c""")
@@ -478,9 +496,18 @@ def language_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", vote("text").alias("voted"))
 
 
+def _base(spark: SparkSession, name: str) -> str:
+    """A new folder in the warehouse, which all executors share."""
+    import uuid
+
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+
+
 def _streamed(flow: DataFrame, name: str) -> DataFrame:
-    flow.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return flow.sparkSession.table(name)
+    """What the stream writes until its source is read; a file sink, so that no row passes through the driver."""
+    base = _base(flow.sparkSession, name)
+    flow.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return flow.sparkSession.read.schema(flow.schema).parquet(f"{base}/rows")
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -507,12 +534,10 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id AS doc_id, event_type FROM events")
 def stream_ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and ledger in the warehouse, which all executors share."""
-    import uuid
-
+    """Rows and ledger in the warehouse."""
     from folioscope.streaming import flows
 
-    base = f"{spark.conf.get('spark.sql.warehouse.dir')}/ingest-{uuid.uuid4().hex}"
+    base = _base(spark, "ingest")
     rows = _source(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "event_type")
     flows.ingest(rows, f"{base}/rows", f"{base}/ledger").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     done = spark.read.parquet(f"{base}/ledger").select("doc_id")

@@ -257,3 +257,36 @@ def test_default_models():
     assert models.vote_language(pd.Series(["der die und", "zzz", None])).tolist() == ["de", "other", "other"]
     assert models.capitalised_spans(pd.Series(["We met Anna Meier in Bern."])).iloc[0] == [{"text": "Anna Meier", "label": "PER"}, {"text": "Bern", "label": "LOC"}]
     assert models.overlap_judge([{"url": "u", "description": "federal judge"}, {"url": "", "description": "judge"}], "the judge") == [{"url": "u", "description": "federal judge"}]
+
+
+def test_plausible(spark):
+    rows = [
+        (1, "PER", "u1", "judge"), (1, "PER", "u2", None), (1, "PER", None, "judge"), (1, "ORG", "o", None),
+        (2, "LOC", "p", None), (3, "PER", "u1", "fails"), (3, "LOC", "p", None), (4, "PER", "u1", "none"), (4, "ORG", "o", None),
+        (5, "PER", "u9", "judge"), (None, "LOC", "p", None), (1, "ORG", "o", None),
+    ]
+    found = spark.createDataFrame(rows, "part long, kind string, url string, description string")
+    texts = spark.createDataFrame([(1, "the judge"), (1, "the judge"), (2, None), (3, "t"), (4, "t")], "part long, text string")
+
+    def judge(people, text):
+        told = {p["description"] for p in people}
+        if "fails" in told:
+            raise ValueError("no object")
+        return None if "none" in told else models.overlap_judge(people, text)
+
+    got = linking.plausible(found, texts, judge)
+    assert got.columns == found.columns
+    assert sorted((r["part"], r["kind"], r["url"]) for r in got.collect()) == [(1, "ORG", "o"), (1, "ORG", "o"), (1, "PER", "u1"), (2, "LOC", "p")]
+    # a judge that answers in time is heard
+    calls = []
+
+    def late(people, text):
+        calls.append(1)
+        if len(calls) < 4:
+            raise ValueError("not yet")
+        return people
+
+    one = found.filter("part = 5").coalesce(1)
+    assert [r["url"] for r in linking.plausible(one, texts, late).collect()] == ["u9"]
+    assert linking.plausible(one, texts, late, calls=1).count() == 0
+    assert linking.plausible(found.limit(0), texts, judge).count() == 0
