@@ -9,8 +9,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
+from folioscope.functions.models import Recogniser
 from folioscope.operators.search import top
 
+# Kinds of names that are linked.
+KINDS = ["PER", "ORG", "LOC"]
+
+
+def mentions(docs: DataFrame, key: str, text: str, lang: str, default: Recogniser, by_lang: dict[str, Recogniser] | None = None) -> DataFrame:
+    """(key, text, label): the names of the linked kinds in each row of docs, trimmed and each once, found by the recogniser of
+    its language, or the default one. One pass without a shuffle; null texts and languages go to the recogniser as they
+    are."""
+    known = by_lang or {}
+
+    def run(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        out: list = [[]] * len(texts)
+        which = langs.where(langs.isin(list(known)), "").to_numpy()
+        for name in set(which):
+            at = [i for i, x in enumerate(which) if x == name]
+            for i, names in zip(at, known.get(name, default)(texts.iloc[at]), strict=True):
+                out[i] = names
+        return pd.Series(out)
+
+    found = F.pandas_udf(run, "array<struct<text:string,label:string>>")
+    named = docs.select(F.col(key), found(text, lang).alias("x"))
+    once = F.array_distinct(F.transform("x", lambda x: F.struct(F.trim(x["text"]).alias("text"), x["label"].alias("label"))))
+    return named.select(key, F.explode(once).alias("x")).select(key, "x.*").filter(F.col("label").isin(KINDS) & (F.col("text") != ""))
+
 
 def _pieces(length: Column, share: float) -> Column:
     """Where to cut a word so that of any word within the share of edits, one piece at least is left whole: one piece more

@@ -468,8 +468,7 @@ def date_path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ner_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names found in each document by the default recogniser, with their kind."""
-    found = F.pandas_udf(models.capitalised_spans, "array<struct<text:string,label:string>>")
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(found("text")).alias("x")).select("doc_id", "x.*").filter(F.col("label").isin("PER", "ORG", "LOC"))
+    return linking.mentions(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", models.capitalised_spans)
 
 
 @query()

@@ -290,3 +290,15 @@ def test_plausible(spark):
     assert [r["url"] for r in linking.plausible(one, texts, late).collect()] == ["u9"]
     assert linking.plausible(one, texts, late, calls=1).count() == 0
     assert linking.plausible(found.limit(0), texts, judge).count() == 0
+
+
+def test_mentions_by_language(spark):
+    rows = [(1, " Ann Lee ", "de"), (2, "x", "fr"), (3, "y", None), (4, None, "en"), (5, "z", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def says(name, label="PER"):
+        return lambda texts: texts.map(lambda t: [{"text": f" {name} ", "label": label}] * 2 if t else [])
+
+    got = linking.mentions(docs, "doc_id", "text", "lang", says("other", "LOC"), {"de": says("german"), "fr": says("french", "MISC")})
+    assert sorted(map(tuple, got.collect())) == [(1, "german", "PER"), (3, "other", "LOC"), (5, "german", "PER")]
+    assert linking.mentions(docs.limit(0), "doc_id", "text", "lang", says("a")).count() == 0
