@@ -355,7 +355,6 @@ def linked(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, short: int = S
     sizes = members.groupBy("h").count()
     long = members.limit(1).count() > 0
     longest = sizes.filter(F.col("count") > block)
-    huge = long and longest.limit(1).count() > 0
     texts = cut(named_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("s")).unionByName(members.select("s")), k))
     found = tested = None
     roots = pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
@@ -379,9 +378,9 @@ def linked(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, short: int = S
             open_ = ways.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
         now = cut_small(open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not now.limit(1).count():
-            if not long or turn and not huge:
+            if not long:
                 break
-            continue
+            continue  # partners that aren't the nearest of a long list come in the last turn
         links = cut_small(probed(now, texts, k, least))
         tested = now if tested is None else tested.unionByName(now)
         if links.limit(1).count():

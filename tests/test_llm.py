@@ -1,0 +1,36 @@
+"""Training-data operators on small cases made for what they could miss."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+
+from folioscope.llm import ngram_jaccard as jaccard
+
+
+def hidden_link() -> dict[str, list[str]]:
+    """Word sets of 16: x and y link, z links with neither but looks nearer to both by bitmap, and has been probed with both
+    (short lists of a and of b). All lists that x and y share are long ones, with p as pivot."""
+    words = [f"w{i}" for i in range(4000)]
+    g = np.array([jaccard.shingle_sets(pa.array([w]), 1)[1][0] for w in words])
+    by = [words[i] for i in np.argsort(g)]
+    h = dict(zip(words, g.tolist(), strict=True))
+    (a, a2, b, b2), lists, rest = by[:4], by[4:7], by[7:]
+    for at in range(0, 1000, 30):
+        c = rest[at : at + 11]
+        free = [w for w in rest if w not in c]
+        z = [next(w for w in free if h[w] % 64 == h[v] % 64) for v in c[-2:]]
+        sets = {"x": [a, a2, *lists, *c], "y": [b, b2, *lists, *c], "z": [a, b, *lists, *c[:-2], *z], "p": [*lists, *[w for w in free if w not in z][at + 200 : at + 213]]}
+        _, found, first = jaccard.shingle_sets(pa.array([" ".join(v) for v in sets.values()]), 1)
+        s = dict(zip(sets, jaccard.signatures(found, first)[0].view(np.int64).tolist(), strict=True))
+        order = sorted(sets, key=s.get)
+        if len(set(z)) == 2 and order[0] == "p" and order[1] != "z":
+            return sets
+    raise AssertionError("no order of signatures fits")
+
+
+def test_a_link_behind_a_failed_nearest_pair(spark):
+    sets = hidden_link()
+    docs = spark.createDataFrame([(i, " ".join(v)) for i, v in enumerate(sets.values())], "doc_id long, text string").repartition(4, "doc_id")
+    found = {r.doc_id: r.component_id for r in jaccard.similar_components(docs, k=1, short=2).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 3}
