@@ -7,8 +7,9 @@ have it. Patterns are chosen greedily, the one that explains most toxic texts no
 are a hit's word with the word before or after it that training texts show to be harmless; a hit inside one doesn't
 count. The sum of weights, normalised by the logarithm of the text's length, becomes a score by a logistic fit.
 
-Labels are learned from rows whose crc32(doc_id as text) mod 3 is not 1, from TRAINING labelled texts of each class at
-most (those of least crc32 of the id; a classifier's fit may take a bounded sample). Every text is scored whole.
+Labels are learned from rows whose crc32(doc_id as text) mod 3 is not 1, from TRAINING different labelled texts of each
+class at most (those of least crc32 of the id; a classifier's fit may take a bounded sample). Texts that are equal when
+folded are one. Every text is scored whole.
 
 Defined cases: null and empty texts have no hit and get the score of no hit; null labels aren't learned from; a doc_id
 with several labels is toxic if any says so; without labels of both classes the lexicon is empty and scores are 0.
@@ -16,6 +17,7 @@ with several labels is toxic if any says so; without labels of both classes the
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm._spark import cut, small_batches
+from folioscope.llm._spark import broadcast_if_small, cut, small_batches
 from folioscope.llm.language_id import held_out
 
 #: Labelled texts of each class that the lexicon is learned from, at most.
@@ -158,13 +160,28 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, self.slope * (x - self.middle)))))
 
 
+def text_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): key is a hash of the folded text, gaps taken as one, so that copies have one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [hashlib.blake2b(" ".join(folded(t or "").split()).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], ["doc_id", "key", "text"])
+
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, text string")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> DataFrame:
-    """(text, toxic) of the labelled texts learned from; of those that begin alike one, since copies prove nothing."""
-    usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(3, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    order = F.crc32(F.col("doc_id").cast("string"))
-    some = usable.filter("toxic = 1").orderBy(order, "doc_id").limit(most).unionByName(usable.filter("toxic = 0").orderBy(order, "doc_id").limit(most))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("text", F.col("toxic").cast("boolean").alias("toxic"))
-    return cut(texts.groupBy("toxic", F.substring_index(F.trim("text"), " ", 3).alias("start")).agg(F.min("text").alias("text")).select("text", "toxic"))
+    """(text, toxic) of the labelled texts learned from; of texts of a class that are equal when folded one, since copies
+    prove nothing. Copies are dropped before the limit."""
+    usable = cut(labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(3, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")))
+    order = F.struct(F.crc32(F.col("doc_id").cast("string")), "doc_id")
+    keys = text_keys(docs).select("doc_id", "key").join(broadcast_if_small(usable), "doc_id")
+    firsts = cut(keys.groupBy("toxic", "key").agg(F.min(order).alias("first")).select("toxic", "key", "first", F.col("first.doc_id").alias("doc_id")))
+    some = cut(firsts.filter("toxic = 1").orderBy("first").limit(most).unionByName(firsts.filter("toxic = 0").orderBy("first").limit(most)).select("doc_id", "key", "toxic"))
+    found = docs.join(F.broadcast(some.select(F.col("doc_id").alias("__id"))), F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+    texts = text_keys(found).join(F.broadcast(some), ["doc_id", "key"])
+    return cut(texts.groupBy("toxic", "key").agg(F.min("text").alias("text")).select("text", F.col("toxic").cast("boolean").alias("toxic")))
 
 
 def fit(rows: DataFrame) -> Model:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 
 from folioscope.llm import ngram_jaccard as jaccard
+from folioscope.llm import toxicity
 
 
 def hidden_link() -> dict[str, list[str]]:
@@ -34,3 +37,20 @@ def test_a_link_behind_a_failed_nearest_pair(spark):
     docs = spark.createDataFrame([(i, " ".join(v)) for i, v in enumerate(sets.values())], "doc_id long, text string").repartition(4, "doc_id")
     found = {r.doc_id: r.component_id for r in jaccard.similar_components(docs, k=1, short=2).collect()}
     assert found == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def learned(n: int) -> list[int]:
+    """Ids of rows that aren't held out."""
+    return [i for i in range(3 * n + 20) if zlib.crc32(str(i).encode()) % 3 != 1][:n]
+
+
+def test_texts_that_begin_alike_are_all_learned_from(spark):
+    rows = [("scum", 1), ("vermin", 1), ("filth", 1), ("tea", 0), ("cake", 0), ("bread", 0)]
+    texts = [(f"User wrote on Monday {w} again", y) for w, y in rows] + [("USER wrote on  Monday scum again", 1), (None, 0)]
+    ids = learned(len(texts))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, texts, strict=True)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, texts, strict=True)], "doc_id long, toxic int")
+    found = [(toxicity.folded(r.text or "").split(), r.toxic) for r in toxicity.training_rows(docs, labels).collect()]
+    want = [(toxicity.folded(t or "").split(), y == 1) for t, y in texts[:6] + texts[7:]]
+    assert sorted(found) == sorted(want)
+    assert len(toxicity.training_rows(docs, labels, 2).collect()) == 4
