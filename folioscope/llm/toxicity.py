@@ -17,7 +17,9 @@ with several labels is toxic if any says so; without labels of both classes the
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import heapq
 import math
 import re
 import unicodedata
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm._spark import broadcast_if_small, cut, small_batches
@@ -34,10 +36,12 @@ from folioscope.llm.language_id import held_out
 
 #: Labelled texts of each class that the lexicon is learned from, at most.
 TRAINING = 4000
-#: Least toxic texts and least share of toxic texts (as counted) of a pattern; patterns at most.
+#: Least toxic texts and least share of toxic texts (as counted) of a pattern; patterns that only add to those of covered
+#: texts, at most.
 SUPPORT, PRECISION, PATTERNS = 3, 0.9, 2000
-#: Least share of the toxic texts that a pattern must be in, beyond SUPPORT.
-SHARE = 0.01
+#: Least likelihood ratio (twice its logarithm) of a pattern's toxic and clean texts against the classes' shares: odds of
+#: about 1 in 10,000 by chance. It depends on the balance of the classes, not on their size.
+EVIDENCE = 15.1
 #: Patterns that a toxic text may have before it counts as explained.
 DEMAND = 6
 #: Lengths of word starts that can be patterns.
@@ -186,8 +190,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> D
 
 def fit(rows: DataFrame) -> Model:
     """A model from rows of text and toxic, of which there are few (see TRAINING). Counting is done in Spark."""
-    counted = pattern_counts(rows).filter((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
-    table = counted.orderBy(F.desc("toxic"), F.desc(F.length("pattern")), "pattern").limit(50 * PATTERNS).toArrow()
+    sizes = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("toxic"), 1))).head()
+    counted = pattern_counts(rows).filter((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))) & (evidence(sizes[1] / max(1, sizes[0])) >= EVIDENCE))
+    table = counted.orderBy(F.desc("toxic"), F.desc(F.length("pattern")), "pattern").toArrow()
     candidates = table["pattern"].to_pylist()
     clean = dict(zip(candidates, table["clean"].to_pylist(), strict=True))
     toxic = dict(zip(candidates, table["toxic"].to_pylist(), strict=True))
@@ -208,24 +213,52 @@ def fit(rows: DataFrame) -> Model:
     return _calibrated(rows, chosen, weights, exceptions)
 
 
+def evidence(share: float) -> Column:
+    """Twice the logarithm of the likelihood ratio of a pattern's counts against the share of toxic texts among all."""
+
+    def part(n: Column, expected: float) -> Column:
+        return F.when(n > 0, n * F.log(n / ((F.col("toxic") + F.col("clean")) * F.lit(max(expected, 1e-12))))).otherwise(0.0)
+
+    return 2 * (part(F.col("toxic"), share) + part(F.col("clean"), 1 - share))
+
+
 def _cover(texts: list[frozenset[str]], clean: dict[str, int]) -> list[str]:
     """Patterns chosen greedily by the texts that still need one, each of which takes DEMAND; of equals the one with fewer
-    clean texts, then the longer. What a pattern finds isn't counted again for a start or continuation of it."""
+    clean texts, then the longer. What a pattern finds isn't counted again for a start or continuation of it. A pattern
+    must add to SUPPORT texts, or to one that has none yet, so that no text with a candidate is left without."""
     where: dict[str, set[int]] = defaultdict(set)
     for i, ps in enumerate(texts):
         for p in ps:
             where[p].add(i)
     left = [DEMAND] * len(texts)
-    enough = max(SUPPORT, math.ceil(SHARE * len(texts)))
+    words: dict[str, list[str]] = defaultdict(list)
+    for p in where:
+        words[p.strip()].append(p)
+    sorted_words = sorted(words)
+    rank = {p: i for i, p in enumerate(sorted(where, key=lambda p: (len(p), p), reverse=True))}
+    # gains only fall, so the first entry that is still right is the best
+    entry = lambda p: (5 * clean[p] - len(where[p]), -len(where[p]), rank[p], p)
+    heap = [entry(p) for p in where]
+    heapq.heapify(heap)
     chosen: list[str] = []
-    while where and len(chosen) < PATTERNS:
-        best = max(where, key=lambda p: (len(where[p]) - 5 * clean[p], len(where[p]), len(p), p))
+    while heap:
+        was = heapq.heappop(heap)
+        best = was[-1]
+        if was != entry(best):
+            heapq.heappush(heap, entry(best))
+            continue
+        new = any(left[i] == DEMAND for i in where[best])
+        if not new and (len(where[best]) < SUPPORT or len(chosen) >= PATTERNS):
+            continue
         gained = where.pop(best)
-        if len(gained) < enough:
-            break
         chosen.append(best)
         word = best.strip()
-        for q in [q for q in where if q.strip().startswith(word) or word.startswith(q.strip())]:
+        alike = [word[:n] for n in range(1, len(word))]
+        for w in sorted_words[bisect.bisect_left(sorted_words, word) :]:
+            if not w.startswith(word):
+                break
+            alike.append(w)
+        for q in [q for w in alike for q in words.get(w, ()) if q in where]:
             where[q] -= gained
         for i in gained:
             left[i] -= 1
@@ -233,7 +266,6 @@ def _cover(texts: list[frozenset[str]], clean: dict[str, int]) -> list[str]:
                 for p in texts[i]:
                     if p in where:
                         where[p].discard(i)
-        where = defaultdict(set, {p: s for p, s in where.items() if len(s) >= enough})
     return chosen
 
 

@@ -54,3 +54,17 @@ def test_texts_that_begin_alike_are_all_learned_from(spark):
     want = [(toxicity.folded(t or "").split(), y == 1) for t, y in texts[:6] + texts[7:]]
     assert sorted(found) == sorted(want)
     assert len(toxicity.training_rows(docs, labels, 2).collect()) == 4
+
+
+def test_a_rare_toxic_word_is_learned_however_many_labels_there_are(spark):
+    common = [(f"you are an idiot number{i}", True) for i in range(2480)] + [(f"good morning number{i}", False) for i in range(2500)]
+    rare = [(f"listen gribble number{i}", True) for i in range(2480, 2500)]
+    model = toxicity.fit(spark.createDataFrame(common + rare, "text string, toxic boolean"))
+    rude, fine = model.scores(["that gribble there", "that kettle there"])
+    assert rude > fine
+
+
+def test_every_toxic_text_with_a_candidate_is_covered():
+    texts = [frozenset({" aaa ", " bbb "}), *[frozenset({" aaa ", " ccc "})] * 5, frozenset({" zzz "})]
+    chosen = toxicity._cover(texts, dict.fromkeys((" aaa ", " bbb ", " ccc ", " zzz "), 0))
+    assert chosen == [" aaa ", " ccc ", " zzz "]
