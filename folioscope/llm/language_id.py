@@ -4,7 +4,7 @@ Each language is a smoothed distribution of byte trigrams (A-Z lower-cased, othe
 all training rows. A document's words are draws from a mixture of languages: expectation-maximisation estimates its
 proportions from the words' trigram likelihoods, and the set of languages is the one of greatest likelihood less a
 penalty of half the logarithm of the word count for each further language. Sets are nested: the languages of largest
-proportion, up to MOST.
+proportion, up to all; a document is done when no larger set can gain, as even a likelihood of one wouldn't pay the penalty.
 
 Training uses text and lang of rows whose crc32(doc_id as text) mod 4 is not 2. Defined cases: rows with a null doc_id
 aren't held out and aren't trained on; null or letterless texts are `und` with score 0; without any training row every
@@ -25,8 +25,8 @@ from folioscope.llm._words import U, buffers, find_words, slices
 
 #: Hash buckets of trigrams, and what is added to each count.
 BUCKETS, SMOOTH = 1 << 16, 0.5
-#: Languages of one document at most; rounds of estimation for all languages and for each smaller set.
-MOST, ROUNDS, FEWER = 4, 10, 5
+#: Rounds of estimation for all languages and for each smaller set.
+ROUNDS, FEWER = 10, 5
 
 GAP = np.ones(256, bool)
 GAP[97:123] = GAP[65:91] = False
@@ -119,16 +119,25 @@ def proportions(data: np.ndarray, offsets: np.ndarray, logs: np.ndarray) -> np.n
     if k > 1:
         full, _ = _estimate(like, row, heads, np.full((len(rows), k), 1 / k, np.float32), ROUNDS)
         order = np.argsort(-full, 1, kind="stable")
-        for size in range(2, min(k, MOST) + 1):
-            share = np.zeros_like(full)
-            at = order[:, :size]
-            np.put_along_axis(share, at, np.maximum(np.take_along_axis(full, at, 1), 1e-4), 1)
+        for size in range(2, k + 1):
+            # a word's likelihood is one at most here, so rest less the penalties bounds what this and larger sets can reach
+            open_ = np.flatnonzero(rest - (size - 1) * penalty > score)
+            if not len(open_):
+                break
+            n = w.counts[rows][open_]
+            starts = np.append(0, np.cumsum(n)[:-1])
+            inner = np.repeat(np.arange(len(open_)), n)
+            some = like[np.repeat(heads[open_] - starts, n) + np.arange(len(inner))]
+            share = np.zeros((len(open_), k), np.float32)
+            at = order[open_, :size]
+            np.put_along_axis(share, at, np.maximum(np.take_along_axis(full[open_], at, 1), 1e-4), 1)
             share /= share.sum(1, keepdims=True)
-            floor = like if size == k else np.maximum(like, 1e-30)
-            share, logp = _estimate(floor, row, heads, share, FEWER)
-            now = np.add.reduceat(logp.astype(np.float64), heads) + rest - (size - 1) * penalty
-            better = now > score
-            chosen[better], score = share[better], np.where(better, now, score)
+            floor = some if size == k else np.maximum(some, 1e-30)
+            share, logp = _estimate(floor, inner, starts, share, FEWER)
+            now = np.add.reduceat(logp.astype(np.float64), starts) + rest[open_] - (size - 1) * penalty[open_]
+            better = now > score[open_]
+            chosen[open_[better]] = share[better]
+            score[open_[better]] = now[better]
     out[rows] = chosen
     return out
 

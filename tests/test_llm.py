@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from folioscope.llm import language_id
 from folioscope.llm import ngram_jaccard as jaccard
 from folioscope.llm import toxicity
 
@@ -68,3 +69,12 @@ def test_every_toxic_text_with_a_candidate_is_covered():
     texts = [frozenset({" aaa ", " bbb "}), *[frozenset({" aaa ", " ccc "})] * 5, frozenset({" zzz "})]
     chosen = toxicity._cover(texts, dict.fromkeys((" aaa ", " bbb ", " ccc ", " zzz "), 0))
     assert chosen == [" aaa ", " ccc ", " zzz "]
+
+
+def test_a_text_in_six_languages_keeps_them_all(spark):
+    words = {c * 2: " ".join(c * n for n in range(3, 23)) for c in "abcdef"}
+    langs, logs = language_id.fit(spark.createDataFrame([(t, c) for c, t in words.items()], "text string, lang string"))
+    texts = pa.array([" ".join(words.values()), words["aa"], f"{words['bb']} {words['cc']}"])
+    share = language_id.proportions(*language_id.buffers(texts), logs)
+    assert [[c for c, x in zip(langs, s, strict=True) if x > 0.01] for s in share] == [langs, ["aa"], ["bb", "cc"]]
+    assert np.allclose(share[0], 1 / 6, atol=0.02)
