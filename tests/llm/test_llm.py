@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,14 +107,61 @@ def brute_components() -> list[tuple]:
     return sorted(((i, len(s), best[root[k]] if s else i) for k, (i, s) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("short", "block"), [(64, 8192), (2, 8192), (2, 3)])
-def test_components(docs, short, block, monkeypatch):
-    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
-    monkeypatch.setattr(ngram_jaccard.linked, "__defaults__", (5, 75, short, block))
-    got = ngram_jaccard.similar_components(docs, short=short).collect()
+@pytest.mark.parametrize(("short", "load"), [(64, 1 << 21), (2, 1 << 21), (2, 3000), (1, 900)])
+def test_components(docs, short, load):
+    """Whole units, and units dealt into parts."""
+    got = ngram_jaccard.similar_components(docs, short=short, load=load).collect()
     assert sorted(map(tuple, got), key=str) == brute_components()
 
 
+@pytest.mark.parametrize("load", [1 << 21, 60_000])
+def test_many_near_copies(spark, load):
+    """3,000 near copies, among them chains of small steps: the forest has fewer edges than members, and is right."""
+    r = random.Random(11)
+    base, rows = words(60, 21), []
+    for i in range(3000):
+        w = list(base)
+        for _ in range(r.randrange(1 + i % 6)):
+            w[r.randrange(60)] = f"y{r.randrange(50)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.similar_components(docs, load=load).collect()}
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(56)) for _, t in rows]
+    gram = {g: i for i, g in enumerate({g for s in sets for g in s})}
+    table = np.zeros((3000, len(gram)), np.float32)
+    for i, s in enumerate(sets):
+        table[i, [gram[g] for g in s]] = 1
+    both, n = table @ table.T, table.sum(1)
+    near = 100 * both >= 75 * (n[:, None] + n - both)
+    root = np.arange(3000)
+    while True:
+        now = np.array([root[near[i]].min() for i in range(3000)])
+        if (now == root).all():
+            break
+        root = now
+    assert [got[i] for i in range(3000)] == root.tolist()
+    assert 1 < len(set(root.tolist())) < 2000
+
+
+def test_divide_skip():
+    """Partners by the index against plain intersections."""
+    r = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([r.choice(60, 30, False), r.choice(1000, 5, False) + 100])).astype(np.uint64) for _ in range(80)]
+    sets += [np.unique(np.append(s[:-2], np.uint64(5000 + i))) for i, s in enumerate(sets[:40])]
+    first = np.append(0, np.cumsum([len(s) for s in sets]))
+    index = ngram_jaccard.Index(np.concatenate(sets), first, 60)
+    for q, s in enumerate(sets):
+        want = [i for i, t in enumerate(sets) if i != q and 100 * len(np.intersect1d(s, t)) >= 60 * len(np.union1d(s, t))]
+        assert index.partners(q, np.arange(len(sets)) != q).tolist() == want
+
+
+def test_clashing_names(spark):
+    """Columns named as those inside the operator pass through."""
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (3, None, 5, 6)], "doc_id long, text string, s long, node long").withColumn("u", F.lit(0)).withColumn("part", F.lit("x"))
+    kept = ngram_jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 def test_keep_one(docs, empty):
     kept = ngram_jaccard.keep_one(docs)
     assert kept.columns == docs.columns
