@@ -1,18 +1,20 @@
 """Quality rules with adaptive thresholds.
 
 Base rules are the same for all documents. The others compare a document's measures with those usual in its language and
-source: each measure (in parts per million) goes into a DDSketch, a quantile sketch whose buckets grow by 2 %, so that
-merging sketches is adding counts, in any order, with one result. Spark adds the counts by (lang, source, measure,
-bucket), which holds a few hundred rows a group however large the group; thresholds come from cumulated counts, and the
-documents are filtered by joining them.
+source. Each measure goes into a DDSketch, a quantile sketch whose buckets grow by 2 %, so that merging sketches is adding
+counts, in any order, with one result. Spark adds the counts by (lang, source, measure, bucket), a few hundred rows a group
+however large the group; the sketches of a language and of all documents are merged from those of the groups. Documents
+are filtered by joining the thresholds.
 
-A document is rejected by a measure if its bucket is above that of the group's median by more than a factor (FENCES),
-or below it by one, unless the measure is within what is harmless in any group (its floor). The sketches take all
-documents that pass the base rules, so a group of junk of that kind can't move them; a group whose every document is odd
-is judged by the floors alone.
+A group's fences are its quartiles, moved outwards by SPREAD times their distance. Where the quartiles coincide, the distance
+is the least step that the measure can take in a document of the group's median size (one symbol, one line), read from
+sketches of the sizes. Fences can't be wider than CEILING times those of the language, so that a source of junk doesn't
+justify itself. A group with fewer than FEW documents is judged by its language, and a language with fewer by all. The sketches
+take all documents that pass the base rules.
 
 Defined cases: a null text has no words and fails the base rules. Null lang or source are groups of their own. Repeated
-rows are judged, and counted, each. Columns with other names are passed through by keep_good.
+rows are judged, and counted, each. A value at its fence is kept. Columns with other names are passed through by keep_good
+(those starting with two underscores are reserved). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -118,45 +120,90 @@ def _steps(factor: float) -> int:
     return round(float(np.log(factor) / np.log(GROWTH)))
 
 
-#: Measure: numerator, denominator, allowed factor above and below the median (None: no bound), floor in parts per
-#: million below which (or, for a lower bound, above which) a value is harmless anywhere.
-FENCES: dict[str, tuple[str, str, float | None, float | None, int, int]] = {
-    "symbols": ("n_symbols", "word_chars", 4.0, None, 40_000, 0),
-    "dup_lines": ("n_dup_lines", "n_lines", 4.0, None, 600_000, 0),
-    "word_length": ("word_chars", "n_words", 2.5, 2.5, 12_000_000, 2_500_000),
+#: Quartile distances by which a fence lies outside the quartiles; documents that a group needs for fences of its own; how
+#: much wider than its language's they can be.
+SPREAD, FEW, CEILING = 5, 50, 4
+#: Measure: numerator, denominator (in parts per million), and the size that decides the least step of the measure (None: a
+#: fiftieth of the median, the width of a bucket).
+MEASURES: dict[str, tuple[str, str, str | None]] = {
+    "symbols": ("n_symbols", "word_chars", "word_chars"),
+    "dup_lines": ("n_dup_lines", "n_lines", "n_lines"),
+    "word_length": ("word_chars", "n_words", None),
 }
-
-
-def _buckets() -> list[tuple[str, Column]]:
-    return [(m, bucket(F.col(f"__{a}"), F.col(f"__{b}"))) for m, (a, b, *_) in FENCES.items()]
-
-
-def medians(counted: DataFrame) -> DataFrame:
-    """(__lang, __source, and of each measure the median's bucket) over documents that pass the base rules."""
-    rows = counted.filter(~base_failed()).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.explode(F.array(*(F.struct(F.lit(m).alias("m"), b.alias("b")) for m, b in _buckets()))).alias("e"))
-    sketch = rows.groupBy("__lang", "__source", "e.m", "e.b").agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy("__lang", "__source", "m")
-    up_to = sketch.withColumn("c", F.sum("n").over(group.orderBy("b"))).withColumn("all", F.sum("n").over(group))
-    middle = up_to.filter("2 * c >= all").groupBy("__lang", "__source").agg(*(F.min(F.when(F.col("m") == m, F.col("b"))).alias(f"__mid_{m}") for m in FENCES))
-    return middle
+#: Measures that can be too small, too.
+BOTH_SIDES = ("word_length",)
+
+
+def ppm(part: Column, whole: Column) -> Column:
+    return F.floor(part * 1_000_000 / F.greatest(whole, F.lit(1))).cast("long")
+
+
+def bucket(value: Column) -> Column:
+    """The DDSketch bucket of a number; -1 for nothing."""
+    return F.when(value < 1, F.lit(-1)).otherwise(F.ceil(F.log(value.cast("double")) / F.lit(float(np.log(GROWTH)))).cast("int"))
+
+
+def _values() -> dict[str, Column]:
+    """What the sketches take of a document: the measures, and the sizes."""
+    found = {m: ppm(F.col(f"__{a}"), F.col(f"__{b}")) for m, (a, b, _) in MEASURES.items()}
+    return found | {size: F.col(f"__{size}") for _, _, size in MEASURES.values() if size}
+
+
+def sketches(counted: DataFrame) -> DataFrame:
+    """(lang, source, m, b, n): the sketch of each measure over the documents of a group that pass the base rules."""
+    each = F.array(*(F.struct(F.lit(m).alias("m"), bucket(v).alias("b")) for m, v in _values().items()))
+    rows = counted.filter(~base_failed()).select("lang", "source", F.explode(each).alias("e"))
+    return rows.groupBy("lang", "source", "e.m", "e.b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fences(sketch: DataFrame, by: list[str], mark: str) -> DataFrame:
+    """(by, mark_n, and of each measure mark_lo_m and mark_hi_m) of merged sketches."""
+    group = Window.partitionBy(*by, "m")
+    merged = sketch.groupBy(*by, "m", "b").agg(F.sum("n").alias("n"))
+    upto = merged.withColumn("c", F.sum("n").over(group.orderBy("b"))).withColumn("all", F.sum("n").over(group))
+    value = F.when(F.col("b") < 0, F.lit(0)).otherwise(F.floor(F.pow(F.lit(GROWTH), F.col("b")))).cast("long")
+    q = lambda m, k: F.min(F.when((F.col("m") == m) & (4 * F.col("c") >= k * F.col("all")), value))
+    names = [*MEASURES, *(size for _, _, size in MEASURES.values() if size)]
+    wide = upto.groupBy(*by).agg(F.max("all").alias(f"{mark}_n"), *(q(m, k).alias(f"{m}_{k}") for m in names for k in (1, 2, 3)))
+    out = []
+    for m, (_, _, size) in MEASURES.items():
+        step = F.floor(F.lit(1_000_000) / F.greatest(F.col(f"{size}_2"), F.lit(1))) if size else F.floor(F.col(f"{m}_2") / 50)
+        apart = SPREAD * F.greatest(F.col(f"{m}_3") - F.col(f"{m}_1"), step.cast("long"))
+        out += [(F.col(f"{m}_1") - apart).alias(f"{mark}_lo_{m}"), (F.col(f"{m}_3") + apart).alias(f"{mark}_hi_{m}")]
+    return wide.select(*by, f"{mark}_n", *out)
+
+
+def thresholds(counted: DataFrame) -> DataFrame:
+    """(__lang, __source, and of each measure __lo_m and __hi_m) of each group."""
+    sketch = cut(sketches(counted))
+    own, lang, every = fences(sketch, ["lang", "source"], "g"), fences(sketch, ["lang"], "l"), fences(sketch, [], "a")
+    lang = lang.withColumnRenamed("lang", "__l")
+    both = own.join(lang, own["lang"].eqNullSafe(lang["__l"])).join(F.broadcast(every))
+    out = []
+    for m in MEASURES:
+        for side in ("lo", "hi"):
+            above = F.when(F.col("l_n") >= FEW, F.col(f"l_{side}_{m}")).otherwise(F.col(f"a_{side}_{m}"))
+            mine = F.when(F.col("g_n") >= FEW, F.col(f"g_{side}_{m}")).otherwise(above)
+            out.append((F.least(mine, CEILING * above) if side == "hi" else F.greatest(mine, F.floor(above / CEILING))).alias(f"__{side}_{m}"))
+    return both.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *out)
+
+
+def verdicts(counted: DataFrame, limits: DataFrame) -> DataFrame:
+    """counted (lang, source, counts) with __base_failed and __kept."""
+    limits = broadcast_if_small(cut(limits))
+    joined = counted.join(limits, counted["lang"].eqNullSafe(limits["__lang"]) & counted["source"].eqNullSafe(limits["__source"]), "left").drop("__lang", "__source")
+    odd, values = F.lit(False), _values()
+    for m in MEASURES:
+        odd = odd | (values[m] > F.col(f"__hi_{m}"))
+        if m in BOTH_SIDES:
+            odd = odd | (values[m] < F.col(f"__lo_{m}"))
+    failed = base_failed()
+    return joined.withColumn("__base_failed", failed).withColumn("__kept", ~failed & ~F.coalesce(odd, F.lit(False)))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """docs, the counts, __base_failed and __kept."""
-    counted = with_counts(docs)
-    middle = broadcast_if_small(cut(medians(with_counts(docs.select("text", "lang", "source")))))
-    joined = counted.join(middle, counted["lang"].eqNullSafe(middle["__lang"]) & counted["source"].eqNullSafe(middle["__source"]), "left").drop("__lang", "__source")
-    odd = F.lit(False)
-    for (m, b), (_, _, above, below, high, low) in zip(_buckets(), FENCES.values(), strict=True):
-        mid = F.col(f"__mid_{m}")
-        top = F.ceil(F.log(F.lit(float(high))) / F.lit(float(np.log(GROWTH)))).cast("int")
-        if above:
-            odd = odd | (b > F.greatest(mid + _steps(above), top))
-        if below:
-            bottom = F.ceil(F.log(F.lit(float(low))) / F.lit(float(np.log(GROWTH)))).cast("int")
-            odd = odd | (b < F.least(mid - _steps(below), bottom))
-    failed = base_failed()
-    return joined.withColumn("__base_failed", failed).withColumn("__kept", ~failed & ~F.coalesce(odd, F.lit(False)))
+    return verdicts(with_counts(docs), thresholds(with_counts(docs.select("text", "lang", "source"))))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -166,39 +213,60 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return judged(docs).select("doc_id", *(F.col(f"__{c}").alias(c) for c in COUNTS[:5]), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    counted = cut(with_counts(docs).drop("text"))
+    return verdicts(counted, thresholds(counted)).select("doc_id", *(F.col(f"__{c}").alias(c) for c in COUNTS[:5]), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+
+
+def _sql_ppm(m: str) -> str:
+    part, whole, _ = MEASURES[m]
+    return f"floor({part} * 1000000 / greatest({whole}, 1))::BIGINT"
+
 
+def _sql_bucket(value: str) -> str:
+    return f"CASE WHEN {value} < 1 THEN -1 ELSE ceil(ln({value}) / ln({GROWTH}))::INT END"
 
-_L = f"ln({GROWTH})"
 
+def _sql_fences(name: str, by: str) -> str:
+    """The fences of the sketches merged by some columns."""
+    keys = by + ", " if by else ""
+    part = f"PARTITION BY {keys}m"
+    sizes = [size for _, _, size in MEASURES.values() if size]
+    quartiles = ", ".join(f"min(CASE WHEN m = '{m}' AND 4 * c >= {k} * n THEN CASE WHEN b < 0 THEN 0 ELSE floor(pow({GROWTH}, b)) END END)::BIGINT AS {m}_{k}" for m in (*MEASURES, *sizes) for k in (1, 2, 3))
+    out = []
+    for m, (_, _, size) in MEASURES.items():
+        step = f"floor(1000000 / greatest({size}_2, 1))::BIGINT" if size else f"floor({m}_2 / 50)::BIGINT"
+        out += [f"{m}_{q} {sign} {SPREAD} * greatest({m}_3 - {m}_1, {step}) AS {side}_{m}" for q, sign, side in ((1, "-", "lo"), (3, "+", "hi"))]
+    return f"""{name}_c AS (SELECT {keys}m, b, sum(sum(n)) OVER ({part} ORDER BY b) AS c, sum(sum(n)) OVER ({part}) AS n FROM v GROUP BY {keys}m, b),
+{name} AS MATERIALIZED (SELECT {keys}n, {", ".join(out)} FROM (SELECT {keys}max(n) AS n, {quartiles} FROM {name}_c {"GROUP BY " + by if by else ""}))"""
 
-def _sql_bucket(part: str, whole: str) -> str:
-    ppm = f"floor({part} * 1000000 / greatest({whole}, 1))"
-    return f"CASE WHEN {ppm} < 1 THEN -1 ELSE ceil(ln({ppm}) / {_L})::INT END"
 
+def _sql_limits() -> str:
+    out = []
+    for m in MEASURES:
+        for side in ("lo", "hi"):
+            above = f"CASE WHEN l.n >= {FEW} THEN l.{side}_{m} ELSE a.{side}_{m} END"
+            mine = f"CASE WHEN g.n >= {FEW} THEN g.{side}_{m} ELSE {above} END"
+            out.append((f"least({mine}, {CEILING} * ({above}))" if side == "hi" else f"greatest({mine}, floor(({above}) / {CEILING}))") + f" AS {side}_{m}")
+    return f"SELECT g.lang, g.source, {', '.join(out)} FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang, a"
 
-def _sql_odd() -> str:
-    tests = []
-    for m, (a, b, above, below, high, low) in FENCES.items():
-        mid = f"(SELECT mid FROM med WHERE med.lang IS NOT DISTINCT FROM c.lang AND med.source IS NOT DISTINCT FROM c.source AND m = '{m}')"
-        if above:
-            tests.append(f"{_sql_bucket(a, b)} > greatest({mid} + {_steps(above)}, ceil(ln({high}) / {_L}))")
-        if below:
-            tests.append(f"{_sql_bucket(a, b)} < least({mid} - {_steps(below)}, ceil(ln({low}) / {_L}))")
-    return " OR ".join(f"coalesce({t}, false)" for t in tests)
 
+_ODD = " OR ".join(f"{_sql_ppm(m)} > hi_{m}" + (f" OR {_sql_ppm(m)} < lo_{m}" if m in BOTH_SIDES else "") for m in MEASURES)
+_TAKEN = {**{m: _sql_ppm(m) for m in MEASURES}, **{size: size for _, _, size in MEASURES.values() if size}}
 
 OP2_SQL = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
-g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
-r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS k FROM g) WHERE k > 1) GROUP BY doc_id),
+g5 AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS k FROM g5) WHERE k > 1) GROUP BY doc_id),
 k AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines FROM d LEFT JOIN r USING (doc_id)),
 c AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM k),
-v AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS m, {_sql_bucket(a, b)} AS b FROM c WHERE NOT base_failed" for m, (a, b, *_) in FENCES.items())}),
-s AS (SELECT lang, source, m, b, sum(count(*)) OVER (PARTITION BY lang, source, m ORDER BY b) AS upto, sum(count(*)) OVER (PARTITION BY lang, source, m) AS n FROM v GROUP BY lang, source, m, b),
-med AS MATERIALIZED (SELECT lang, source, m, min(b) AS mid FROM s WHERE 2 * upto >= n GROUP BY lang, source, m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_sql_odd()}) AS kept FROM c
+v AS MATERIALIZED (SELECT lang, source, m, b, count(*) AS n FROM ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS m, {_sql_bucket(x)} AS b FROM c WHERE NOT base_failed" for m, x in _TAKEN.items())}) GROUP BY lang, source, m, b),
+{_sql_fences("g", "lang, source")},
+{_sql_fences("l", "lang")},
+{_sql_fences("a", "")},
+f AS MATERIALIZED ({_sql_limits()})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce({_ODD}, false) AS kept
+FROM c LEFT JOIN f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
 """
