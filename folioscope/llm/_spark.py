@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 
 import numpy as np
@@ -13,11 +14,14 @@ U = np.uint64
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir, or that which the session has set; one of our own only where none is set and all
+    runs in one process, as in tests. A cluster without one is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         have = sc._jsc.sc().getCheckpointDir()
+        if have.isEmpty() and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="folioscope-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
@@ -36,6 +40,19 @@ def cut_small(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
     return done.coalesce(max(1, done.count() // rows))
 
 
+def text_key(text: str) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a text, ka and kb: with doc_id they name a row, so that rows without id or of one id
+    aren't taken for each other."""
+    return F.xxhash64(F.col(text)).alias("ka"), F.xxhash64(F.lit(1), F.col(text)).alias("kb")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate rows, whatever store it is in."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows that go to a Python worker at once, so that its memory doesn't depend on how long texts are in the mean.
 BATCH_ROWS = 1024
 

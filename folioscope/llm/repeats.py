@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm._spark import blooms, bloom_words, broadcast_if_small, cut, in_bloom, small_batches
+from folioscope.llm._spark import blooms, bloom_words, broadcast_if_small, cut, in_bloom, small_batches, text_key
 from folioscope.llm._words import NO_ID, Words, buffers, find_words, gram_hashes, ids, leftmost_min, slices, word_hashes
 
 WINDOW = 50
@@ -34,8 +34,8 @@ HOT = 1 << 16
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text, which with doc_id names a row."""
-    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", F.hash("text").alias("tkey"))
+    """doc_id, text and 128 bits of hashes of the text, which with doc_id name a row."""
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", *text_key("text"))
 
 
 def occurrences(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +76,7 @@ def repeated_minimisers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
 
 
 def windows(docs: DataFrame, wanted: Callable[[np.ndarray], np.ndarray], window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(h, doc_id, tkey, at): hash and first word of each window whose minimiser is wanted."""
+    """(h, doc_id, ka, kb, at): hash and first word of each window whose minimiser is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -87,41 +87,46 @@ def windows(docs: DataFrame, wanted: Callable[[np.ndarray], np.ndarray], window:
             s = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
             row = w.row[s]
             h = gram_hashes(word_hashes(w), window)[s] if len(s) else np.zeros(0, np.uint64)
-            cols = [h.view(np.int64), ids(part)[row], part.column(2).to_numpy()[row], (s - w.first[row]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "doc_id", "tkey", "at"])
+            cols = [h.view(np.int64), ids(part)[row], part.column(2).to_numpy()[row], part.column(3).to_numpy()[row], (s - w.first[row]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "doc_id", "ka", "kb", "at"])
 
-    return keyed(docs).mapInArrow(run, "h long, doc_id long, tkey int, at int")
+    return keyed(docs).mapInArrow(run, "h long, doc_id long, ka long, kb long, at int")
 
 
 def later_windows(found: DataFrame) -> DataFrame:
-    """(doc_id, tkey, at) of the windows that also start in a document of smaller id. Counted in Spark: a hash's rows are
+    """(doc_id, ka, kb, at) of the windows that also start in a document of smaller id. Counted in Spark: a hash's rows are
     combined before the shuffle. The counts are cut, since Spark splits a frequent hash's rows in the join only where both
     sides come straight from a shuffle."""
     first = cut(found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h", "a"))
-    return found.join(first, "h").filter("doc_id > a").select("doc_id", "tkey", "at")
+    return found.join(first, "h").filter("doc_id > a").select("doc_id", "ka", "kb", "at")
 
 
 def intervals(starts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, tkey, begins, ends): maximal word ranges under the windows that start at the words listed; a list is no
-    longer than its document."""
+    """(doc_id, ka, kb, begins, ends): maximal word ranges under the windows that start at the words listed (at: a word or
+    an array). Rows that repeat a document list the same words, so a set of them is no longer than the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             begins, ends = [], []
-            for x in batch.column(2):
+            for x in batch.column(3):
                 at = np.unique(x.values.to_numpy())
                 gap = np.flatnonzero(np.diff(at) > window)
                 begins.append(at[np.append(0, gap + 1)])
                 ends.append(at[np.append(gap, len(at) - 1)] + window)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["doc_id", "tkey", "begins", "ends"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["doc_id", "ka", "kb", "begins", "ends"])
 
-    return starts.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("at")).alias("at") if dict(starts.dtypes)["at"].startswith("array") else F.collect_list("at").alias("at")).mapInArrow(run, "doc_id long, tkey int, begins array<int>, ends array<int>")
+    listed = F.collect_set("at")
+    if dict(starts.dtypes)["at"].startswith("array"):
+        listed = F.flatten(listed)
+    return starts.groupBy("doc_id", "ka", "kb").agg(listed.alias("at")).mapInArrow(run, "doc_id long, ka long, kb long, begins array<int>, ends array<int>")
 
 
 def with_intervals(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """docs, each with the ranges to remove from it (null: none)."""
-    ranges = broadcast_if_small(cut(ranges)).select(F.col("doc_id").alias("__id"), F.col("tkey").alias("__key"), F.col("begins").alias("__begins"), F.col("ends").alias("__ends"))
-    return docs.join(ranges, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == ranges["__id"]) & (F.hash(docs["text"]) == ranges["__key"]), "left").drop("__id", "__key")
+    ranges = broadcast_if_small(cut(ranges)).select(F.col("doc_id").alias("__id"), F.col("ka").alias("__ka"), F.col("kb").alias("__kb"), F.col("begins").alias("__begins"), F.col("ends").alias("__ends"))
+    ka, kb = text_key("text")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == ranges["__id"]) & (ka == ranges["__ka"]) & (kb == ranges["__kb"])
+    return docs.join(ranges, same, "left").drop("__id", "__ka", "__kb")
 
 
 def kept_words(text: str | None, begins: list[int] | None, ends: list[int] | None) -> tuple[int, list[bytes]]:

@@ -13,7 +13,7 @@ from folioscope.llm import repeats as R
 
 
 def removal_intervals(docs: DataFrame, window: int = R.WINDOW) -> DataFrame:
-    """(doc_id, tkey, begins, ends): for each document with any, the word ranges to remove."""
+    """(doc_id, ka, kb, begins, ends): for each document with any, the word ranges to remove."""
     many, _ = R.repeated_minimisers(docs, window)
     return R.intervals(R.later_windows(R.windows(docs, R.wanted_by(many), window)), window)
 

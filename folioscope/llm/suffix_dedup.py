@@ -29,7 +29,7 @@ ROWS = 8192
 
 
 def sparse_suffixes(docs: DataFrame, wanted, window: int = R.WINDOW, gram: int = R.GRAM) -> DataFrame:
-    """(m, doc_id, tkey, start, left, span, words): each wanted minimiser occurrence with the words of all windows that
+    """(m, doc_id, ka, kb, start, left, span, words): each wanted minimiser occurrence with the words of all windows that
     it stands for, from word start of the document; left of them before the suffix; span window starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,10 +41,10 @@ def sparse_suffixes(docs: DataFrame, wanted, window: int = R.WINDOW, gram: int =
             row = w.row[a] if len(a) else a
             raw = w.data.tobytes()
             words = [raw[x:y] for x, y in zip(w.starts[a].tolist(), w.ends[b + window - 1].tolist(), strict=True)]
-            cols = [m.view(np.int64), ids(part)[row], part.column(2).to_numpy()[row], (a - w.first[row]).astype(np.int32), (at - a).astype(np.int32), (b - a + 1).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(words, pa.binary())], ["m", "doc_id", "tkey", "start", "left", "span", "words"])
+            cols = [m.view(np.int64), ids(part)[row], part.column(2).to_numpy()[row], part.column(3).to_numpy()[row], (a - w.first[row]).astype(np.int32), (at - a).astype(np.int32), (b - a + 1).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(words, pa.binary())], ["m", "doc_id", "ka", "kb", "start", "left", "span", "words"])
 
-    return R.keyed(docs).mapInArrow(run, "m long, doc_id long, tkey int, start int, left int, span int, words binary")
+    return R.keyed(docs).mapInArrow(run, "m long, doc_id long, ka long, kb long, start int, left int, span int, words binary")
 
 
 def later_starts(rows: pa.Table, window: int, gram: int) -> list[np.ndarray]:
@@ -93,13 +93,13 @@ def later_starts(rows: pa.Table, window: int, gram: int) -> list[np.ndarray]:
 
 
 def compare_neighbours(suffixes: DataFrame, window: int = R.WINDOW, gram: int = R.GRAM) -> DataFrame:
-    """(doc_id, tkey, at array<int>): the repeated windows of each suffix row that has any."""
+    """(doc_id, ka, kb, at array<int>): the repeated windows of each suffix row that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(t: pa.Table) -> pa.RecordBatch:
             at = later_starts(t, window, gram)
             keep = np.flatnonzero([len(x) > 0 for x in at])
-            return pa.RecordBatch.from_arrays([pa.array(t["doc_id"].to_numpy()[keep]), pa.array(t["tkey"].to_numpy()[keep]), pa.array([at[i].astype(np.int32) for i in keep], pa.list_(pa.int32()))], ["doc_id", "tkey", "at"])
+            return pa.RecordBatch.from_arrays([*(pa.array(t[c].to_numpy()[keep]) for c in ("doc_id", "ka", "kb")), pa.array([at[i].astype(np.int32) for i in keep], pa.list_(pa.int32()))], ["doc_id", "ka", "kb", "at"])
 
         held: pa.Table | None = None
         for batch in batches:
@@ -116,11 +116,11 @@ def compare_neighbours(suffixes: DataFrame, window: int = R.WINDOW, gram: int =
         if held is not None and held.num_rows:
             yield judged(held)
 
-    return suffixes.repartition("m").sortWithinPartitions("m").mapInArrow(run, "doc_id long, tkey int, at array<int>")
+    return suffixes.repartition("m").sortWithinPartitions("m").mapInArrow(run, "doc_id long, ka long, kb long, at array<int>")
 
 
 def removal_intervals(docs: DataFrame, window: int = R.WINDOW, hot: int = R.HOT) -> DataFrame:
-    """(doc_id, tkey, begins, ends): for each document with any, the word ranges to remove."""
+    """(doc_id, ka, kb, begins, ends): for each document with any, the word ranges to remove."""
     many, frequent = R.repeated_minimisers(docs, window, hot=hot)
     found = compare_neighbours(sparse_suffixes(docs, R.wanted_by(many, frequent), window), window)
     if frequent.any():
