@@ -6,11 +6,13 @@ keeps its draws, so a changed weight moves rows only into or out of the subtree
 into a region of its own: only the root's choice is changed, so one more shard takes rows only into itself. The law is
 `key`: the key and the tree decide, whatever other rows there are.
 
-Slots number a shard's rows without gaps, by (doc_id, size, crc). Equal rows are counted first; ranks are summed within
-ranges of doc_id, and the ranges' sums are cumulated apart, so no task sorts a whole shard.
+Slots number a shard's rows without gaps, by a hash's bucket and then (doc_id, size, crc). Equal rows are counted first;
+there are so many buckets that one has about BUCKET different rows, whatever the ids are; ranks are summed within buckets,
+and the buckets' sums, one row each, are cumulated apart. So no task sorts a whole shard.
 
 Defined cases: null text has size 1 and the crc of the empty text; null doc_ids are one key. Repeated rows have one shard
-and a slot each.
+and a slot each. An empty table gives an empty result. with_shards passes other columns through, whatever their names (those
+starting with two underscores are reserved).
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from folioscope.llm._spark import cut
 
 Tree = list[list[list[float]]]  # regions of racks of shards' weights; shards are numbered in this order
 
-#: Ids of a range in which slots are ranked together.
-RANGE = 1 << 14
+#: Different rows, in the mean, of a bucket in which slots are ranked together.
+BUCKET = 1 << 13
 
 
 def grown_tree(shards: int, base: int = 16, rack: int = 4, racks: int = 2) -> Tree:
@@ -69,13 +71,15 @@ def with_shards(docs: DataFrame, tree: Tree, key: str = "doc_id", to: str = "sha
 def with_slots(rows: DataFrame) -> DataFrame:
     """rows of doc_id, size, text_crc32, shard and others that these decide, with a slot each."""
     names = rows.columns
-    same = cut(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).withColumn("__range", F.floor(F.coalesce("doc_id", F.lit(-1)) / RANGE)))
-    within = Window.partitionBy("shard", "__range").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    same = cut(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")))
+    buckets = 1 + same.count() // BUCKET
+    same = same.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)))
+    within = Window.partitionBy("shard", "__bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     ranked = same.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-    sums = same.groupBy(F.col("shard").alias("__shard"), F.col("__range").alias("__r")).agg(F.sum("__n").alias("__sum"))
-    earlier = Window.partitionBy("__shard").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("__shard", "__r", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
-    joined = ranked.join(starts, (ranked["shard"] == starts["__shard"]) & (ranked["__range"] == starts["__r"]))
+    sums = same.groupBy(F.col("shard").alias("__shard"), F.col("__bucket").alias("__b")).agg(F.sum("__n").alias("__sum"))
+    earlier = Window.partitionBy("__shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__shard", "__b", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__start"))
+    joined = ranked.join(starts, (ranked["shard"] == starts["__shard"]) & (ranked["__bucket"] == starts["__b"]))
     return joined.select(*names, (F.col("__start") + F.col("__before")).alias("__first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__i")).select(*names, (F.col("__first") + F.col("__i")).alias("slot"))
 
 
