@@ -36,9 +36,8 @@ from folioscope.llm.language_id import held_out
 
 #: Labelled texts of each class that the lexicon is learned from, at most.
 TRAINING = 4000
-#: Least toxic texts and least share of toxic texts (as counted) of a pattern; patterns that only add to those of covered
-#: texts, at most.
-SUPPORT, PRECISION, PATTERNS = 3, 0.9, 2000
+#: Least toxic texts and least share of toxic texts (as counted) of a pattern.
+SUPPORT, PRECISION = 3, 0.9
 #: Least likelihood ratio (twice its logarithm) of a pattern's toxic and clean texts against the classes' shares: odds of
 #: about 1 in 10,000 by chance. It depends on the balance of the classes, not on their size.
 EVIDENCE = 15.1
@@ -119,6 +118,18 @@ def automaton(patterns: list[str]):
     return found
 
 
+def around(text: str, start: int) -> tuple[str, str, str]:
+    """The word before, the word that starts there and the word after it, however wide the gaps; none is empty text."""
+    end = text.index(" ", start)
+    last = start - 1
+    while last >= 0 and text[last] == " ":
+        last -= 1
+    first = end
+    while first < len(text) and text[first] == " ":
+        first += 1
+    return text[text.rfind(" ", 0, last + 1) + 1 : last + 1], text[start:end], text[first : text.find(" ", first)] if first < len(text) else ""
+
+
 def hits(machine, text: str, exceptions: set[str]) -> list[tuple[int, int]]:
     """(pattern, start of the word) of each hit in a folded text that is in no exception phrase; of hits in one word, the
     longest pattern's."""
@@ -130,11 +141,8 @@ def hits(machine, text: str, exceptions: set[str]) -> list[tuple[int, int]]:
     out = []
     for start, (_, i) in best.items():
         if exceptions:
-            end = text.index(" ", start)
-            word = text[start:end]
-            before = text[:start].rstrip().rpartition(" ")[2] if start < 64 else text[start - 64 : start].rstrip().rpartition(" ")[2]
-            after = text[end : end + 64].split(maxsplit=1)
-            if word in exceptions or f"{before} {word}" in exceptions or (after and f"{word} {after[0]}" in exceptions):
+            before, word, after = around(text, start)
+            if word in exceptions or f"{before} {word}" in exceptions or f"{word} {after}" in exceptions:
                 continue
         out.append((i, start))
     return out
@@ -248,7 +256,7 @@ def _cover(texts: list[frozenset[str]], clean: dict[str, int]) -> list[str]:
             heapq.heappush(heap, entry(best))
             continue
         new = any(left[i] == DEMAND for i in where[best])
-        if not new and (len(where[best]) < SUPPORT or len(chosen) >= PATTERNS):
+        if not new and len(where[best]) < SUPPORT:
             continue
         gained = where.pop(best)
         chosen.append(best)
@@ -270,7 +278,8 @@ def _cover(texts: list[frozenset[str]], clean: dict[str, int]) -> list[str]:
 
 
 def _exceptions(rows: DataFrame, patterns: list[str]) -> set[str]:
-    """Words with hits, and pairs of such a word and its neighbour, found in clean texts and in none that is toxic."""
+    """Words with hits, and pairs of such a word and its neighbour, found in clean texts and in none that is toxic: three a
+    hit in the bounded sample at most."""
     if not patterns:
         return set()
 
@@ -281,15 +290,14 @@ def _exceptions(rows: DataFrame, patterns: list[str]) -> set[str]:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 f = folded(text or "")
                 for _, start in hits(machine, f, set()):
-                    end = f.index(" ", start)
-                    word, before, after = f[start:end], f[:start].rsplit(maxsplit=1)[-1:], f[end:].split(maxsplit=1)[:1]
-                    for p in {word, *(f"{b} {word}" for b in before), *(f"{word} {a}" for a in after)}:
+                    before, word, after = around(f, start)
+                    for p in {word, *([f"{before} {word}"] if before else []), *([f"{word} {after}"] if after else [])}:
                         phrases.append(p)
                         toxic.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(toxic, pa.bool_())], ["phrase", "toxic"])
 
     seen = rows.select("text", "toxic").mapInArrow(run, "phrase string, toxic boolean").groupBy("phrase").agg(F.max("toxic").alias("toxic"))
-    return set(seen.filter("NOT toxic").orderBy("phrase").limit(50 * PATTERNS).toArrow()["phrase"].to_pylist())
+    return set(seen.filter("NOT toxic").select("phrase").toArrow()["phrase"].to_pylist())
 
 
 def _calibrated(rows: DataFrame, patterns: list[str], weights: list[float], exceptions: set[str]) -> Model:
