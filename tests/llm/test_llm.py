@@ -77,6 +77,17 @@ def test_repeats(docs, how):
     assert sorted(map(tuple, got), key=str) == brute_removed()
 
 
+def test_rows_without_id_are_told_apart(spark):
+    """Texts of null id whose 32-bit hashes are equal: one repeats a passage, one doesn't."""
+    passage = " ".join(words(55, 6))
+    a = spark.range(300_000).select(F.concat(F.lit(passage + " x"), "id").alias("a")).select("a", F.hash("a").alias("h"))
+    b = spark.range(300_000).select(F.concat(F.lit(" ".join(words(55, 7, 5000)) + " y"), "id").alias("b")).select("b", F.hash("b").alias("h"))
+    pair = a.join(b, "h").head()
+    docs = spark.createDataFrame([(1, passage), (None, pair["a"]), (None, pair["b"]), (None, pair["a"])], "doc_id long, text string")
+    for how in (substring_dedup, suffix_dedup):
+        assert sorted(r["n_removed"] for r in repeats.digests(docs, how.removal_intervals(docs)).collect()) == [0, 0, 55, 55]
+
+
 def test_cut_texts(docs, empty):
     out = suffix_dedup.dedup_suffixes(docs)
     assert out.columns == docs.columns
@@ -190,6 +201,78 @@ def test_quality_counts(spark):
     assert (r["__n_words"], r["__word_chars"], r["__n_symbols"], r["__n_dup_lines"], r["__n_repeat_words"], r["__n_lines"]) == (18, 18, 3, 1, 10, 4)
 
 
+def signs(n: int) -> str:
+    return "".join(f" #k{i}" for i in range(n))
+
+
+def fence_rows() -> list[tuple]:
+    """60 documents a group: in `plain` no symbols, in `code` 12 to 18 in 100 letters; a little group, and one with nulls."""
+    rows, n = [], 0
+    for source, symbols in (("plain", 0), ("code", 12), (None, 0), ("few", 30)):
+        for i in range(60 if source != "few" else 5):
+            w = [f"{x}{n:03d}" for x in words(40, 100 + n, 5000)]
+            rows.append((n, " ".join(w) + signs(symbols + i % 6 if symbols else 0), "en", source))
+            n += 1
+    rows += [(1000, " ".join(f"{x}000" for x in words(40, 1, 5000)) + signs(12), "en", "plain"), (1001, " ".join(f"{x}000" for x in words(40, 2, 5000)) + signs(16), "en", "code"), (1002, None, None, None)]
+    return rows
+
+
+def brute_fences(rows: list[tuple]) -> dict[int, bool]:
+    """The rules by sorted lists of the bucketed values."""
+    import math
+
+    measured = {}
+    for i, t, lang, source in rows:
+        w = split(t)
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        again = {p for k, g in enumerate(grams) if grams.count(g) > 1 for p in range(k, k + 5)}
+        lines = [x for x in (t or "").split("\n") if split(x)]
+        chars, symbols = sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or "")
+        m = {"symbols": symbols * 10**6 // max(chars, 1), "dup_lines": (len(lines) - len(set(lines))) * 10**6 // max(len(lines), 1), "word_length": chars * 10**6 // max(len(w), 1), "word_chars": chars, "n_lines": len(lines)}
+        measured[i] = (lang, source, len(w) < 10 or 100 * len(again) > 20 * len(w), m)
+
+    def limits(test) -> tuple[int, dict]:
+        some = [m for lang, source, bad, m in measured.values() if not bad and test(lang, source)]
+        if not some:
+            return 0, {}
+        q = {}
+        for m in some[0]:
+            v = sorted(0 if x[m] < 1 else math.floor(1.02 ** math.ceil(math.log(x[m]) / math.log(1.02))) for x in some)
+            q[m] = [v[math.ceil(k * len(v) / 4) - 1] for k in (1, 2, 3)]
+        step = {"symbols": 10**6 // max(q["word_chars"][1], 1), "dup_lines": 10**6 // max(q["n_lines"][1], 1), "word_length": q["word_length"][1] // 50}
+        return len(some), {m: (q[m][0] - 5 * max(q[m][2] - q[m][0], s), q[m][2] + 5 * max(q[m][2] - q[m][0], s)) for m, s in step.items()}
+
+    out = {}
+    for i, (lang, source, bad, m) in measured.items():
+        own, by_lang, every = limits(lambda a, b: (a, b) == (lang, source)), limits(lambda a, b: a == lang), limits(lambda a, b: True)  # noqa: B023
+        above = by_lang if by_lang[0] >= 50 else every
+        mine = own if own[0] >= 50 else above
+        fine = lambda x: max(mine[1][x][0], above[1][x][0] // 4) <= m[x] if x == "word_length" else True  # noqa: B023, E731
+        out[i] = not bad and all(m[x] <= min(mine[1][x][1], 4 * above[1][x][1]) and fine(x) for x in ("symbols", "dup_lines", "word_length"))
+    return out
+
+
+def test_fences_follow_their_group(spark):
+    """Against brute force: 12 symbols are odd among plain texts and usual among code; a group's change moves its verdicts."""
+    rows = fence_rows()
+    make = lambda r: quality_rules.judged(spark.createDataFrame(r, "doc_id long, text string, lang string, source string").repartition(4))
+    got = {r["doc_id"]: r["__kept"] for r in make(rows).collect()}
+    assert got == brute_fences(rows) and not got[1000] and got[1001] and got[0] and not got[1002]
+    limits = {r["__source"]: r["__hi_symbols"] for r in quality_rules.thresholds(quality_rules.with_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    assert limits["plain"] < limits["code"]
+    moved = [(i, t.replace("#", "h") if s == "code" and i < 1000 else t, lang, s) for i, t, lang, s in rows if t]
+    now = {r["doc_id"]: r["__kept"] for r in make(moved).collect()}
+    assert now == brute_fences(moved) and got[1001] and not now[1001]
+
+
+def test_sketches_merge(spark):
+    """Sketches of parts, added, are the sketch of all."""
+    df = quality_rules.with_counts(spark.createDataFrame(fence_rows(), "doc_id long, text string, lang string, source string"))
+    parts = [quality_rules.sketches(df.filter(F.col("doc_id") % 3 == i)) for i in range(3)]
+    added = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("lang", "source", "m", "b").agg(F.sum("n").alias("n"))
+    assert sorted(map(str, added.collect())) == sorted(map(str, quality_rules.sketches(df).collect()))
+
+
 def test_sharding(spark, docs, empty):
     ids = spark.range(5000).select(F.col("id").alias("doc_id"))
     both = sharding.with_shards(sharding.with_shards(ids, sharding.grown_tree(16)), sharding.grown_tree(17), to="grown")
@@ -211,6 +294,37 @@ def test_slots(spark, docs, tmp_path):
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=str) == want
 
 
+def test_slots_of_scattered_ids(spark, empty, monkeypatch):
+    """Ids 2**40 apart, and nulls: ranks are taken in buckets of a few rows."""
+    monkeypatch.setattr(sharding, "BUCKET", 50)
+    rows = spark.range(3000).select(F.when(F.col("id") % 7 > 0, F.col("id") * (1 << 40)).alias("doc_id"), (F.col("id") % 11).alias("size"), F.col("id").alias("text_crc32"), (F.col("id") % 2).cast("int").alias("shard"))
+    got = sharding.with_slots(rows).collect()
+    for shard in (0, 1):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(1500))
+    assert sharding.with_slots(rows.limit(0)).count() == 0
+
+
+def test_draws(spark):
+    """The shard of each key by plain draws down the tree."""
+    import math
+
+    tree = [[[1.0, 2.0], [3.0]], [[0.5]]]
+    uniform = lambda *path: spark.range(1).select(F.xxhash64(*path)).head()[0]
+
+    def least(key: int, level: str, path: list[int], weights: list[float]) -> int:
+        draw = [-math.log((((uniform(F.lit(key).cast("long"), F.lit(level), *map(F.lit, path), F.lit(i)) & ((1 << 64) - 1)) >> 11) + 0.5) / (1 << 53)) / w for i, w in enumerate(weights)]
+        return draw.index(min(draw))
+
+    want = {}
+    for key in range(12):
+        r = least(key, "region", [], [sum(map(sum, x)) for x in tree])
+        k = least(key, "rack", [r], [sum(x) for x in tree[r]])
+        want[key] = [[[0, 1], [2]], [[3]]][r][k][least(key, "shard", [r, k], tree[r][k])]
+    rows = sharding.with_shards(spark.range(12).select(F.col("id").alias("doc_id")), tree).collect()
+    assert {r["doc_id"]: r["shard"] for r in rows} == want
+
+
 def test_sentencepiece(spark, docs):
     sentencepiece = pytest.importorskip("sentencepiece")
     model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.MODEL)
