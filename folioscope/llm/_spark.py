@@ -65,15 +65,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def broadcast_if_small(df: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
-    """df, marked for broadcast if its values, measured, are within the limit; Spark chooses the join otherwise. df is
-    read twice, so it should be cheap or cut."""
+def is_small(df: DataFrame, limit_bytes: int = 32 << 20) -> bool:
+    """Whether df's values, measured, are within the limit. This reads df, so it should be cheap or cut."""
     size: Column = F.lit(0)
     for field in df.schema:
         width = F.length(F.to_json(F.struct(F.col(f"`{field.name}`")))) if field.dataType.typeName() in ("array", "string", "binary", "struct", "map") else F.lit(8)
         size = size + F.coalesce(width, F.lit(0))
-    measured = df.agg(F.sum(size.cast("long"))).head()[0] or 0
-    return F.broadcast(df) if measured <= limit_bytes else df
+    return (df.agg(F.sum(size.cast("long"))).head()[0] or 0) <= limit_bytes
+
+
+def broadcast_if_small(df: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
+    """df, marked for broadcast if it is small; Spark chooses the join otherwise."""
+    return F.broadcast(df) if is_small(df, limit_bytes) else df
 
 
 def bloom_words(rows: int) -> int:
