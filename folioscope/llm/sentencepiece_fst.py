@@ -1,27 +1,29 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled once into three parts that are composed with each input: a normaliser (white-space escapes and
-the dummy prefix), the piece lexicon, whose arcs read a piece's characters and write its id at the cost of its negated
-score, and the byte fallback, whose arcs read one character that no piece has and write its bytes. A path through the
-composition is a segmentation; the encoding is the path of least total cost (the tropical semiring's sum, the minimum),
-found by relaxing the arcs in order of position.
-
-For a unigram model that is all. A byte-pair model's segmentation is defined by merges, not by a sum of scores, so its
-lexicon is also composed with a compatibility acceptor: piece b may follow piece a only if merging the characters of ab
-gives a, b again. A segmentation all of whose neighbours are compatible is the one that merging gives, so the composition
-has one path, which is the shortest; it is found depth first, without computing the costs.
-
-No piece has an escaped space after another character, so a shortest path passes through each boundary before a run of
-spaces; the paths of these stretches are found apart and kept in a bounded table per worker.
-
-Only the identity normaliser is compiled; a model with a character map is refused. Defined cases: null text gives null
-ids; the empty text has none. Lone bytes decode to U+FFFD, as in the library.
+A model file is compiled once into parts that are composed with each input:
+
+- the normaliser, a transducer that reads the longest entry of the model's character map and writes its replacement, drops
+  or folds spaces, puts a space before the text and escapes spaces;
+- the lexicon, a trie whose states are prefixes of pieces; an arc into a state of a piece writes its id at the cost of its
+  negated score;
+- the byte fallback, whose arcs read one character that is no piece and write its bytes, at a cost above that of any piece.
+
+A path through the composition is a segmentation; the encoding is the path of least total cost: states are relaxed in order
+of position, sums of costs along paths and minima over paths (the tropical semiring). For a unigram model a state is a
+position (of equally cheap paths, which the library tells apart by rounding, any is taken). A byte-pair model's segmentation is defined by merges, not by a sum of scores, so its lexicon is also composed
+with an acceptor of compatible neighbours, whose state is the last piece: piece b may follow piece a only if merging the
+characters of ab gives a, b again. A segmentation all of whose neighbours are compatible is the one that merging gives.
+
+Where two characters meet that are neighbours in no piece, such as a letter and a space, every path passes. A batch is cut
+there, and each distinct stretch is looked for once; a worker keeps a bounded table of paths.
+
+Defined cases: null text gives null ids; the empty text has none. Lone bytes decode to U+FFFD, as in the library. Only models
+with user-defined pieces are refused. A column of the name asked for is replaced; all others are passed through.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import os
 import re
 import struct
@@ -35,14 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm._spark import small_batches
+from folioscope.llm._words import buffers, slices
 
 #: Place of the model unless another is given.
 MODEL = os.environ.get("FOLIOSCOPE_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Stretches whose paths a worker keeps, and as many that it found before those; pairs of pieces as well.
 KEPT = 1 << 17
-#: Texts handled at once.
-ROWS = 256
 SPACE = "▁"
+#: Numbers of pairs of pieces, and of the acceptor's first state.
+PAIR, START = 1 << 22, (1 << 22) - 1
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -77,6 +80,32 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The entries of a model's character map: a double-array trie of what is read, then the texts that are written."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob[4 : 4 + size], "<u4"), blob[4 + size :]
+    offset = (units >> 10) << ((units & (1 << 9)) >> 6)
+    label = units & np.uint32(0x800000FF)
+    leaf = (units >> 8) & 1
+    letters = np.arange(1, 256)
+    found: dict[str, str] = {}
+    open_ = [(int(offset[0]), b"")]
+    while open_:
+        at, read = open_.pop()
+        places = at ^ letters
+        inside = places < len(units)
+        places, heads = places[inside], letters[inside]
+        for place, c in zip(places[label[places] == heads].tolist(), heads[label[places] == heads].tolist(), strict=True):
+            below = place ^ int(offset[place])
+            if leaf[place]:
+                start = int(units[below]) & 0x7FFFFFFF
+                found[(read + bytes([c])).decode()] = texts[start : texts.index(b"\0", start)].decode()
+            open_.append((below, read + bytes([c])))
+    return found
+
+
 class Transducer:
     """A compiled model."""
 
@@ -85,6 +114,7 @@ class Transducer:
         self.kinds: list[int] = []
         scores: list[float] = []
         self.type, self.dummy, self.trim, self.escape = UNIGRAM, True, True, True
+        self.map: dict[str, str] = {}
         for field, value in _fields(model):
             if field == 1:
                 f = dict(_fields(value))
@@ -95,45 +125,85 @@ class Transducer:
                 self.type = dict(_fields(value)).get(3, UNIGRAM)
             elif field == 3:
                 f = dict(_fields(value))
-                if f.get(2):
-                    raise ValueError("a model with a character map can't be compiled")
+                self.map = character_map(f.get(2, b""))
                 self.dummy, self.trim, self.escape = (bool(f.get(k, 1)) for k in (3, 4, 5))
         if self.type not in (UNIGRAM, BPE) or USER in self.kinds:
             raise ValueError("only unigram and byte-pair models without user-defined pieces can be compiled")
-        self.arcs = {p: (i, -scores[i]) for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
-        if any(SPACE in p.lstrip(SPACE) for p in self.arcs):
-            raise ValueError("a piece has a space after another character")
-        self.cost = {p: c for p, (_, c) in self.arcs.items()}
-        self.prefixes = {p[:n] for p in self.arcs for n in range(1, len(p))}
+        self.id = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == NORMAL}
+        self.cost = {p: -scores[i] for p, i in self.id.items()}
+        self.longest = max(map(len, self.map), default=0)
+        self.mapped = {k[0] for k in self.map}
+        # the lexicon: of each state the arcs, and the piece that is read there (-1: none) with its cost
+        self.arcs: list[dict[str, int]] = [{}]
+        self.final: list[tuple[int, float]] = [(-1, 0.0)]
+        for p, weight in self.cost.items():
+            state = 0
+            for ch in p:
+                after = self.arcs[state].get(ch)
+                if after is None:
+                    after = self.arcs[state][ch] = len(self.arcs)
+                    self.arcs.append({})
+                    self.final.append((-1, 0.0))
+                state = after
+            self.final[state] = (self.id[p], weight)
+        # neighbours inside a piece, as bytes of normalised texts; where others meet, every path passes
+        self.joined = np.ones((256, 256), bool)
+        self.joined[:128, :128] = False
+        for p in self.id:
+            text = p.replace(SPACE, " ") if self.escape else p
+            for a, b in zip(text, text[1:], strict=False):
+                if a < "\x80" and b < "\x80":
+                    self.joined[ord(a), ord(b)] = True
         # pieces that merging their own characters gives
-        self.whole = {p for p in self.arcs if self.type == UNIGRAM or self.merged(p) == [p]}
+        self.whole = {p for p in self.id if self.type == UNIGRAM or self.merged(p) == [p]}
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
-        self.dearest = max(c for _, c in self.arcs.values()) + 10.0
-        self.output = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        self.dearest = max(self.cost.values(), default=0.0) + 10.0
+        output = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for i, k in enumerate(self.kinds):
             if k == BYTE:
-                self.output[i] = bytes([int(self.pieces[i][3:5], 16)])
+                output[i] = bytes([int(self.pieces[i][3:5], 16)])
             elif k == CONTROL:
-                self.output[i] = b""
+                output[i] = b""
             elif k == UNKNOWN:
-                self.output[i] = " ⁇ ".encode()
-        self.compatible: dict[tuple[str, str], bool] = {}
-        self.paths: dict[str, bytes] = {}
-        self.earlier: dict[str, bytes] = {}
-        self.stretch = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-    def normalised(self, text: str) -> str:
+                output[i] = " ⁇ ".encode()
+        self.output_at = np.append(0, np.cumsum([len(x) for x in output]))
+        self.output = np.frombuffer(b"".join(output), np.uint8)
+        self.compatible: dict[int, bool] = {}
+        self.paths: dict[str, np.ndarray] = {}
+        self.earlier: dict[str, np.ndarray] = {}
+
+    def mapped_text(self, text: str) -> str:
+        """The longest entry of the character map at each place is replaced."""
+        if not self.map or self.mapped.isdisjoint(text):
+            return text
+        out, at = [], 0
+        while at < len(text):
+            for n in range(min(self.longest, len(text) - at) if text[at] in self.mapped else 0, 0, -1):
+                to = self.map.get(text[at : at + n])
+                if to is not None:
+                    out.append(to)
+                    at += n
+                    break
+            else:
+                out.append(text[at])
+                at += 1
+        return "".join(out)
+
+    def normalised(self, texts: pa.Array) -> pa.Array:
+        """Normalised texts, in which a space stands for an escaped one; nulls are empty."""
+        texts = pc.fill_null(texts, "")
+        if self.map:
+            texts = pa.array([self.mapped_text(t) for t in texts.to_pylist()], texts.type)
         if self.trim:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        text = " " + text if self.dummy else text
-        return text.replace(" ", SPACE) if self.escape else text
+            texts = pc.utf8_trim(pc.replace_substring_regex(texts, " +", " "), " ")
+        if self.dummy:
+            texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar("", texts.type), texts, pa.scalar(" ", texts.type)))
+        return pc.replace_substring(texts, SPACE, " ") if self.escape else texts
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging gives: the best-scored neighbour pair first, the leftmost of equals."""
-        cost, none = self.cost.get, math.inf
+        cost, none = self.cost.get, float("inf")
         parts = list(text)
         costs = [cost(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while costs:
@@ -149,116 +219,137 @@ class Transducer:
                 costs[i - 1] = cost(parts[i - 1] + parts[i], none)
         return parts
 
-    def follows(self, a: str, b: str) -> bool:
-        found = self.compatible.get((a, b))
-        if found is None:
-            if len(self.compatible) >= KEPT:
-                self.compatible.clear()
-            found = self.compatible[a, b] = a + b not in self.whole and self.merged(a + b) == [a, b]
-        return found
+    def name(self, piece: int) -> str:
+        """Of a piece's id, or of a character without piece, which is numbered after all pieces."""
+        return self.pieces[piece] if piece < len(self.pieces) else chr(piece - len(self.pieces))
 
-    def arcs_from(self, text: str, start: int) -> list[str]:
-        """Pieces that can be read from a position, the shortest first; always the single character."""
-        weights, prefixes, n = self.cost, self.prefixes, len(text)
-        out, end = [text[start]], start + 2
-        while end <= n:
-            piece = text[start:end]
-            if piece in weights:
-                out.append(piece)
-            if piece not in prefixes:
-                break
-            end += 1
-        return out
+    def follows(self, key: int) -> bool:
+        """An arc of the acceptor, numbered PAIR * a + b: whether piece b can come after a, or first (a = START)."""
+        a, b = key // PAIR, self.name(key % PAIR)
+        if a == START:
+            found = len(b) == 1 or b in self.whole
+        else:
+            both = self.name(a) + b
+            found = both not in self.whole and self.merged(both) == [self.name(a), b]
+        if len(self.compatible) >= 2 * KEPT:
+            self.compatible.clear()
+        self.compatible[key] = found
+        return found
 
-    def only_path(self, text: str) -> list[str]:
-        """The path of a byte-pair model, whose composition has one: the arcs are followed depth first, the longest first,
-        and no state (position and piece before it) twice."""
-        n, follows, whole = len(text), self.follows, self.whole
-        path: list[str] = []
-        at, open_, dead = 0, [self.arcs_from(text, 0)], set()
-        while True:
-            arcs = open_[-1]
-            while arcs:
-                piece = arcs.pop()
-                end = at + len(piece)
-                if (end, piece) in dead:
-                    continue
-                if follows(path[-1], piece) if path else len(piece) == 1 or piece in whole:
-                    path.append(piece)
-                    at = end
-                    if at == n:
-                        return path
-                    open_.append(self.arcs_from(text, at))
-                    break
-            else:
-                open_.pop()
-                dead.add((at, path[-1]))
-                at -= len(path.pop())
-
-    def shortest_path(self, text: str) -> list[str]:
-        """Pieces, or single characters without one, of the least-cost path over a normalised text."""
-        if self.type == BPE:
-            return self.only_path(text)
-        n, weights, prefixes = len(text), self.cost, self.prefixes
-        cost: list[float | None] = [0.0] + [None] * n
-        last: list[str] = [""] * (n + 1)
-        for start in range(n):
-            here = cost[start]
-            if here is None:
+    def shortest_path(self, text: str) -> list[int]:
+        """Pieces, and numbers of single characters without one, of the least-cost path over a normalised text. A state of
+        the composition is a position and a state of the acceptor, which is the last piece (of a unigram model: always the
+        start); it holds the least cost of reaching it and whence."""
+        n, pairs, none = len(text), self.type == BPE, len(self.pieces)
+        states: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        states[0].append((START, 0.0))
+        back: dict[tuple[int, int], tuple[int, int, int]] = {}
+        arcs, final, known, follows, dearest = self.arcs, self.final, self.compatible.get, self.follows, self.dearest
+        for at in range(n):
+            here = states[at]
+            if not here:
                 continue
-            for end in range(start + 1, n + 1):
-                piece = text[start:end]
-                weight = weights.get(piece)
-                if weight is None:
-                    if end == start + 1:
-                        weight = self.dearest
-                    elif piece in prefixes:
-                        continue
-                    else:
+            state, end = 0, at
+            while end < n:
+                state = arcs[state].get(text[end])
+                end += 1
+                if state is None:
+                    if end > at + 1:
                         break
-                now = cost[end]
-                if now is not None and now <= here + weight:
-                    continue
-                cost[end], last[end] = here + weight, piece
-        path, at = [], n
+                    piece, weight = none + ord(text[at]), dearest
+                else:
+                    piece, weight = final[state]
+                    if piece < 0:
+                        if end > at + 1:
+                            continue
+                        piece, weight = none + ord(text[at]), dearest
+                if pairs:
+                    whence = -1
+                    for last, cost in here:
+                        key = PAIR * last + piece
+                        fits = known(key)
+                        if fits is None:
+                            fits = follows(key)
+                        if fits and (whence < 0 or cost < least):
+                            least, whence = cost, last
+                    if whence >= 0:
+                        states[end].append((piece, least + weight))
+                        back[end, piece] = (at, whence, piece)
+                else:
+                    total, there = here[0][1] + weight, states[end]
+                    if not there or total < there[0][1]:
+                        states[end] = [(START, total)]
+                        back[end, START] = (at, START, piece)
+                if state is None:
+                    break
+        at, last = n, min(states[n], key=lambda x: x[1])[0]
+        path = []
         while at:
-            path.append(last[at])
-            at -= len(last[at])
+            at, last, piece = back[at, last]
+            path.append(piece)
         return path[::-1]
 
     def ids(self, text: str) -> list[int]:
+        """Of a normalised text."""
         out: list[int] = []
         for piece in self.shortest_path(text):
-            arc = self.arcs.get(piece)
-            if arc:
-                out.append(arc[0])
+            if piece < len(self.pieces):
+                out.append(piece)
             elif self.bytes:
-                out += [self.bytes[b] for b in piece.encode()]
+                out += [self.bytes[b] for b in self.name(piece).encode()]
             else:
                 out.append(self.unknown)
         return out
 
-    def encoded(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers."""
-        paths, earlier, out = self.paths, self.earlier, []
-        for x in self.stretch.findall(self.normalised(text)):
-            path = paths.get(x)
-            if path is None:
-                path = earlier.get(x)
-                if path is None:
-                    got = self.ids(x)
-                    path = struct.pack(f"<{len(got)}i", *got)
-                if len(x) <= 64:
-                    if len(paths) >= KEPT:
-                        earlier, paths = paths, {}
-                        self.paths, self.earlier = paths, earlier
-                    paths[x] = path
-            out.append(path)
-        return b"".join(out)
-
-    def decoded(self, ids: list[int]) -> str:
-        out = b"".join(map(self.output.__getitem__, ids)).decode(errors="replace")
-        return out[1:] if self.dummy and out.startswith(" ") else out
+    def path(self, stretch: str) -> np.ndarray:
+        """The ids of a stretch with spaces for escaped ones, kept if it is short."""
+        found = self.paths.get(stretch)
+        if found is None:
+            found = self.earlier.get(stretch)
+            if found is None:
+                found = np.array(self.ids(stretch.replace(" ", SPACE) if self.escape else stretch), np.int32)
+            if len(stretch) <= 64:
+                if len(self.paths) >= KEPT:
+                    self.earlier, self.paths = self.paths, {}
+                self.paths[stretch] = found
+        return found
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the bounds of each text's."""
+        data, off = buffers(self.normalised(texts))
+        head = np.zeros(len(data), bool)
+        head[1:] = ~self.joined[data[:-1], data[1:]]
+        head[off[:-1][np.diff(off) > 0]] = True
+        starts = np.flatnonzero(head)
+        cuts = np.append(starts, len(data)).astype(np.int32)
+        stretches = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
+        paths = [self.path(x) for x in stretches.dictionary.to_pylist()]
+        size = np.array([len(p) for p in paths], np.int64)
+        first = np.append(0, np.cumsum(size))
+        which = stretches.indices.to_numpy()
+        flat = np.concatenate([*paths, np.zeros(0, np.int32)])[ranges(first[which], size[which])]
+        ends = np.append(0, np.cumsum(size[which]))
+        return flat.astype(np.int32), ends[np.searchsorted(starts, off)]
+
+    def decoded(self, flat: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The bytes of each text."""
+        size = np.diff(self.output_at)[flat]
+        data = self.output[ranges(self.output_at[flat], size)].tobytes()
+        ends = np.append(0, np.cumsum(size))[bounds]
+        out = [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        if not self.dummy:
+            return out
+        # the space before the text is that of a piece, not one around the mark of an unknown one
+        silent = np.diff(self.output_at)[flat] == 0
+        first = np.minimum(bounds[:-1] + [int((~silent[a:b]).argmax()) if b > a and silent[a] else 0 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], len(flat) - 1)
+        own = flat[first] != self.unknown if len(flat) else np.zeros(len(out), bool)
+        return [x[1:] if y and x.startswith(b" ") else x for x, y in zip(out, own.tolist(), strict=True)]
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @lru_cache(maxsize=2)
@@ -273,30 +364,29 @@ def model_bytes(path: str) -> bytes:
 
 
 def encode_column(fst: Transducer, texts: pa.Array) -> pa.ListArray:
-    packed = [None if t is None else fst.encoded(t) for t in texts.to_pylist()]
-    size = np.array([0 if p is None else len(p) // 4 for p in packed], np.int64)
-    flat = pa.array(np.frombuffer(b"".join(p or b"" for p in packed), "<i4"))
-    off = pa.array(np.append(0, np.cumsum(size)).astype(np.int32), mask=np.append([p is None for p in packed], False))
-    return pa.ListArray.from_arrays(off, flat)
+    flat, bounds = fst.encoded(texts)
+    null = np.append(texts.is_null().to_numpy(zero_copy_only=False), False)
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32), mask=null), pa.array(flat))
 
 
 def decode_column(fst: Transducer, ids: pa.ListArray) -> pa.Array:
-    off, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False).tolist()
-    null = ids.is_null().to_pylist()
-    return pa.array([None if z else fst.decoded(flat[a:b]) for z, a, b in zip(null, off[:-1], off[1:], strict=True)], pa.string())
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    size = np.where(null, 0, pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+    found = fst.decoded(ids.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(size)))
+    return pa.array([None if z else x.decode(errors="replace") for z, x in zip(null, found, strict=True)], pa.string())
 
 
 def _with_column(docs: DataFrame, model: str, of: str, to: str, kind: str, made: Callable[[Transducer, pa.Array], pa.Array]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
     names = docs.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{to}` {kind}"])
+    kept = [i for i, c in enumerate(names) if c != to]
+    schema = ", ".join([*(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in kept), f"`{to}` {kind}"])
+    text = docs.schema[of].dataType.typeName() == "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = compiled(shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                yield pa.RecordBatch.from_arrays([*part.columns, made(fst, part.column(names.index(of)))], [*names, to])
+        for part in slices(batches, of) if text else batches:
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), made(fst, part.column(names.index(of)))], [*(names[i] for i in kept), to])
 
     return small_batches(docs).mapInArrow(run, schema)
 
@@ -319,16 +409,17 @@ def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = compiled(shared.value)
         low, high = (min(fst.bytes.values()), max(fst.bytes.values())) if fst.bytes else (0, -1)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                ids = encode_column(fst, part.column(1))
-                off, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-                null = part.column(1).is_null().to_numpy(zero_copy_only=False)
-                fallback = np.append(0, np.cumsum((flat >= low) & (flat <= high)))
-                sha = [None if z else hashlib.sha256(flat[a:b].tobytes()).hexdigest() for z, a, b in zip(null, off[:-1], off[1:], strict=True)]
-                same = pc.equal(decode_column(fst, ids), part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off).astype(np.int64)), pa.array(fallback[off[1:]] - fallback[off[:-1]]), pa.array(sha, pa.string()), same], ["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip"])
+        for part in slices(batches):
+            texts = part.column(1)
+            flat, bounds = fst.encoded(texts)
+            null = texts.is_null().to_numpy(zero_copy_only=False)
+            fallback = np.append(0, np.cumsum((flat >= low) & (flat <= high)))
+            data, at = memoryview(flat.astype("<i4").tobytes()), (4 * bounds).tolist()
+            sha = [None if z else hashlib.sha256(data[a:b]).hexdigest() for z, a, b in zip(null, at[:-1], at[1:], strict=True)]
+            raw, off = buffers(texts)
+            given, off = raw.tobytes(), off.tolist()
+            same = [None if z else x == given[a:b] for z, x, a, b in zip(null, fst.decoded(flat, bounds), off[:-1], off[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(np.diff(fallback[bounds]).astype(np.int64)), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip"])
 
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean")
 
