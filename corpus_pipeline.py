@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm._spark import shared_folder
+from folioscope.llm._spark import delete_folder, shared_folder
 from folioscope.llm.decontamination import drop_contaminated
 from folioscope.llm.ngram_jaccard import keep_one
 from folioscope.llm.quality_rules import keep_good
@@ -53,7 +53,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
+    """All stages over documents; each but the last is written to the shared folder and read again, and gone once the next
+    one is written. What the last stage reads stays, since the result is read from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
@@ -61,4 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                delete_folder(spark, f"{folder}/{i - 1}")
     return docs
