@@ -4,8 +4,7 @@ A model file is compiled once into parts that are composed with each input:
 
 - the normaliser, a transducer that reads the longest entry of the model's character map and writes its replacement, drops
   or folds spaces, puts a space before the text and escapes spaces;
-- the lexicon, a trie whose states are prefixes of pieces; an arc into a state of a piece writes its id at the cost of its
-  negated score;
+- the lexicon, a trie of pieces; an arc that completes a piece writes its id at the cost of its negated score;
 - the byte fallback, whose arcs read one character that is no piece and write its bytes, at a cost above that of any piece.
 
 A path through the composition is a segmentation; the encoding is the path of least total cost: states are relaxed in order
@@ -27,8 +26,10 @@ import hashlib
 import os
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,9 @@ MODEL = os.environ.get("FOLIOSCOPE_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_
 #: Stretches whose paths a worker keeps, and as many that it found before those; pairs of pieces as well.
 KEPT = 1 << 17
 SPACE = "▁"
-#: Numbers of pairs of pieces, and of the acceptor's first state.
-PAIR, START = 1 << 22, (1 << 22) - 1
+#: Number of the acceptor's first state.
+START = -1
+COST = itemgetter(1)
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
@@ -133,19 +135,14 @@ class Transducer:
         self.cost = {p: -scores[i] for p, i in self.id.items()}
         self.longest = max(map(len, self.map), default=0)
         self.mapped = {k[0] for k in self.map}
-        # the lexicon: of each state the arcs, and the piece that is read there (-1: none) with its cost
-        self.arcs: list[dict[str, int]] = [{}]
-        self.final: list[tuple[int, float]] = [(-1, 0.0)]
-        for p, weight in self.cost.items():
-            state = 0
-            for ch in p:
-                after = self.arcs[state].get(ch)
-                if after is None:
-                    after = self.arcs[state][ch] = len(self.arcs)
-                    self.arcs.append({})
-                    self.final.append((-1, 0.0))
-                state = after
-            self.final[state] = (self.id[p], weight)
+        # the lexicon, read from the end of a piece: of each state the arcs by character, to the state after it and to the
+        # piece that is read there (-1: none) with its cost
+        self.lexicon: dict[str, tuple[dict, int, float]] = {}
+        for p, weight in sorted(self.cost.items(), key=lambda x: len(x[0]), reverse=True):
+            arcs = self.lexicon
+            for ch in p[:0:-1]:
+                arcs = arcs.setdefault(ch, ({}, -1, 0.0))[0]
+            arcs[p[0]] = (arcs[p[0]][0] if p[0] in arcs else {}, self.id[p], weight)
         # neighbours inside a piece, as bytes of normalised texts; where others meet, every path passes
         self.joined = np.ones((256, 256), bool)
         self.joined[:128, :128] = False
@@ -169,9 +166,10 @@ class Transducer:
                 output[i] = " ⁇ ".encode()
         self.output_at = np.append(0, np.cumsum([len(x) for x in output]))
         self.output = np.frombuffer(b"".join(output), np.uint8)
-        self.compatible: dict[int, bool] = {}
-        self.paths: dict[str, np.ndarray] = {}
-        self.earlier: dict[str, np.ndarray] = {}
+        self.after: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self.pairs = 0
+        self.paths: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def mapped_text(self, text: str) -> str:
         """The longest entry of the character map at each place is replaced."""
@@ -223,77 +221,84 @@ class Transducer:
         """Of a piece's id, or of a character without piece, which is numbered after all pieces."""
         return self.pieces[piece] if piece < len(self.pieces) else chr(piece - len(self.pieces))
 
-    def follows(self, key: int) -> bool:
-        """An arc of the acceptor, numbered PAIR * a + b: whether piece b can come after a, or first (a = START)."""
-        a, b = key // PAIR, self.name(key % PAIR)
+    def follows(self, a: int, b: int) -> bool:
+        """An arc of the acceptor: whether piece b can come after a, or first (a = START)."""
+        second = self.name(b)
         if a == START:
-            found = len(b) == 1 or b in self.whole
+            found = len(second) == 1 or second in self.whole
         else:
-            both = self.name(a) + b
-            found = both not in self.whole and self.merged(both) == [self.name(a), b]
-        if len(self.compatible) >= 2 * KEPT:
-            self.compatible.clear()
-        self.compatible[key] = found
+            first = self.name(a)
+            found = first + second not in self.whole and self.merged(first + second) == [first, second]
+        self.pairs += 1
+        if self.pairs > 2 * KEPT:
+            self.pairs = 0
+            for known in self.after.values():
+                known.clear()
+        self.after[a][b] = found
         return found
 
-    def shortest_path(self, text: str) -> list[int]:
-        """Pieces, and numbers of single characters without one, of the least-cost path over a normalised text. A state of
-        the composition is a position and a state of the acceptor, which is the last piece (of a unigram model: always the
-        start); it holds the least cost of reaching it and whence."""
-        n, pairs, none = len(text), self.type == BPE, len(self.pieces)
-        states: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        states[0].append((START, 0.0))
-        back: dict[tuple[int, int], tuple[int, int, int]] = {}
-        arcs, final, known, follows, dearest = self.arcs, self.final, self.compatible.get, self.follows, self.dearest
-        for at in range(n):
-            here = states[at]
-            if not here:
-                continue
-            state, end = 0, at
-            while end < n:
-                state = arcs[state].get(text[end])
-                end += 1
-                if state is None:
-                    if end > at + 1:
-                        break
-                    piece, weight = none + ord(text[at]), dearest
-                else:
-                    piece, weight = final[state]
-                    if piece < 0:
-                        if end > at + 1:
-                            continue
+    def shortest_paths(self, texts: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each text with the pieces, and numbers of single characters without one, of the least-cost path over it. texts are
+        sorted and normalised.
+
+        A state of the composition is a position and a state of the acceptor, which is the last piece (of a unigram model:
+        always the start). It is held as (piece, least cost of reaching it, state before it, what the acceptor knows). The
+        states at a position depend on the text before it only, so those of a prefix shared with the text before stay."""
+        pairs, none, dearest, root = self.type == BPE, len(self.pieces), self.dearest, self.lexicon
+        states: list[list[tuple]] = [[(START, 0.0, None, self.after[START])]]
+        before = ""
+        for text in texts:
+            shared, n = 0, min(len(text), len(before))
+            while shared < n and text[shared] == before[shared]:
+                shared += 1
+            del states[shared + 1 :]
+            for end in range(shared + 1, len(text) + 1):
+                here, arcs, at = [], root, end
+                while at:
+                    at -= 1
+                    arc = arcs.get(text[at])
+                    if arc is None:
+                        if at < end - 1:
+                            break
                         piece, weight = none + ord(text[at]), dearest
-                if pairs:
-                    whence = -1
-                    for last, cost in here:
-                        key = PAIR * last + piece
-                        fits = known(key)
-                        if fits is None:
-                            fits = follows(key)
-                        if fits and (whence < 0 or cost < least):
-                            least, whence = cost, last
-                    if whence >= 0:
-                        states[end].append((piece, least + weight))
-                        back[end, piece] = (at, whence, piece)
-                else:
-                    total, there = here[0][1] + weight, states[end]
-                    if not there or total < there[0][1]:
-                        states[end] = [(START, total)]
-                        back[end, START] = (at, START, piece)
-                if state is None:
-                    break
-        at, last = n, min(states[n], key=lambda x: x[1])[0]
-        path = []
-        while at:
-            at, last, piece = back[at, last]
-            path.append(piece)
-        return path[::-1]
-
-    def ids(self, text: str) -> list[int]:
-        """Of a normalised text."""
+                    else:
+                        arcs, piece, weight = arc
+                        if piece < 0:
+                            if at < end - 1:
+                                continue
+                            piece, weight = none + ord(text[at]), dearest
+                    low = None
+                    for state in states[at]:
+                        if pairs:
+                            fits = state[3].get(piece)
+                            if fits is None:
+                                fits = self.follows(state[0], piece)
+                            if not fits:
+                                continue
+                        if low is None or state[1] < low[1]:
+                            low = state
+                    if low is not None:
+                        here.append((piece, low[1] + weight, low, self.after[piece] if pairs else None))
+                    if arc is None:
+                        break
+                if not pairs:
+                    here = [min(here, key=COST)]
+                states.append(here)
+            state, path = min(states[len(text)], key=COST), []
+            while state[2] is not None:
+                path.append(state[0])
+                state = state[2]
+            yield text, path[::-1]
+            before = text
+
+    def ids(self, path: list[int]) -> list[int]:
+        """The ids that a path writes."""
+        none = len(self.pieces)
+        if not path or max(path) < none:
+            return path
         out: list[int] = []
-        for piece in self.shortest_path(text):
-            if piece < len(self.pieces):
+        for piece in path:
+            if piece < none:
                 out.append(piece)
             elif self.bytes:
                 out += [self.bytes[b] for b in self.name(piece).encode()]
@@ -301,18 +306,18 @@ class Transducer:
                 out.append(self.unknown)
         return out
 
-    def path(self, stretch: str) -> np.ndarray:
-        """The ids of a stretch with spaces for escaped ones, kept if it is short."""
-        found = self.paths.get(stretch)
-        if found is None:
-            found = self.earlier.get(stretch)
-            if found is None:
-                found = np.array(self.ids(stretch.replace(" ", SPACE) if self.escape else stretch), np.int32)
-            if len(stretch) <= 64:
+    def paths_of(self, stretches: list[str]) -> list[bytes]:
+        """The ids of stretches with spaces for escaped ones, as 32-bit numbers; those of short ones are kept."""
+        found = {x: y for x in stretches if (y := self.paths.get(x) or self.earlier.get(x))}
+        new = {x.replace(" ", SPACE) if self.escape else x: x for x in stretches if x not in found}
+        for text, path in self.shortest_paths(sorted(new)):
+            found[new[text]] = struct.pack(f"{len(ids := self.ids(path))}i", *ids)
+        for x, y in found.items():
+            if len(x) <= 64:
                 if len(self.paths) >= KEPT:
                     self.earlier, self.paths = self.paths, {}
-                self.paths[stretch] = found
-        return found
+                self.paths[x] = y
+        return [found[x] for x in stretches]
 
     def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the bounds of each text's."""
@@ -323,13 +328,13 @@ class Transducer:
         starts = np.flatnonzero(head)
         cuts = np.append(starts, len(data)).astype(np.int32)
         stretches = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
-        paths = [self.path(x) for x in stretches.dictionary.to_pylist()]
-        size = np.array([len(p) for p in paths], np.int64)
+        paths = self.paths_of(stretches.dictionary.to_pylist())
+        size = np.array([len(p) for p in paths], np.int64) // 4
         first = np.append(0, np.cumsum(size))
         which = stretches.indices.to_numpy()
-        flat = np.concatenate([*paths, np.zeros(0, np.int32)])[ranges(first[which], size[which])]
+        flat = np.frombuffer(b"".join(paths), np.int32)[ranges(first[which], size[which])]
         ends = np.append(0, np.cumsum(size[which]))
-        return flat.astype(np.int32), ends[np.searchsorted(starts, off)]
+        return flat, ends[np.searchsorted(starts, off)]
 
     def decoded(self, flat: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         """The bytes of each text."""
