@@ -36,7 +36,7 @@ def hash_embedder(size: int = 32, task: str = "") -> Embedder:
             for word in re.findall(r"\w+", (text or "").lower()):
                 d = hashlib.md5(f"{task}:{word}".encode()).digest()
                 v[d[0] % size] += 1 if d[1] & 1 else -1
-            out.append((v / max(np.linalg.norm(v), 1e-9)).astype("float32").tolist())
+            out.append((v / max(np.linalg.norm(v), 1e-9)).tolist())
         return pd.Series(out)
 
     return run
@@ -55,17 +55,6 @@ def token_matrix(text: str, size: int = 32) -> tuple[list[str], np.ndarray]:
     return words, near
 
 
-def vote_language(texts: pd.Series) -> pd.Series:
-    """The language with most frequent words in the text, `other` without any; ties go to the first name."""
-
-    def one(text: str | None) -> str:
-        words = set(re.findall(r"\w+", (text or "").lower()))
-        score, name = max((len(words.intersection(v)), k) for k, v in sorted(STOP_WORDS.items(), reverse=True))
-        return name if score else "other"
-
-    return texts.map(one)
-
-
 def capitalised_spans(texts: pd.Series) -> pd.Series:
     """(text, label) of runs of capitalised words inside sentences: two or more words a person, one a place."""
 

@@ -1,35 +1,31 @@
-"""SQL names of the scalar functions, a vector-mean aggregate and a chunker table function."""
+"""SQL names of the scalar functions, a vector-mean aggregate and a chunker table function. All but the aggregate are SQL
+functions, which the optimizer sees through."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+_DOT = "aggregate(zip_with({0}, {1}, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+_SQUARES = f"({_DOT.format('a', 'a')} * {_DOT.format('b', 'b')})"
+_WORDS = r"array_remove(split(coalesce(text, ''), '[ \t\n\r\f]+'), '')"
 
-def register(spark: SparkSession) -> None:
-    """After this, SQL can call vector_cosine(a, b), vector_mean(v) and token_windows(text, limit, overlap)."""
 
-    @F.pandas_udf("double")
-    def vector_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = np.stack(a.to_numpy()).astype(float), np.stack(b.to_numpy()).astype(float)
-        length = np.sqrt((x * x).sum(1) * (y * y).sum(1))
-        return pd.Series(np.where(length > 0, (x * y).sum(1) / np.maximum(length, 1e-300), 0.0))
+def register(spark: SparkSession) -> None:
+    """After this, SQL can call vector_cosine(a, b), vector_mean(v) and token_windows(text, limit, overlap). A limit that doesn't
+    exceed the overlap is an error."""
 
     @F.pandas_udf("array<double>")
     def vector_mean(v: pd.Series) -> list[float]:
         return np.stack(v.to_numpy()).astype(float).mean(0).tolist()
 
-    @F.udtf(returnType="k int, start int, stop int, content string")
-    class Windows:
-        def eval(self, text: str, limit: int, overlap: int) -> Iterator[tuple[int, int, int, str]]:
-            words = (text or "").split()
-            for k, start in enumerate(range(0, max(len(words) - overlap, 1) if words else 0, limit - overlap)):
-                yield k, start, min(start + limit, len(words)), " ".join(words[start : start + limit])
-
-    spark.udf.register("vector_cosine", vector_cosine)
     spark.udf.register("vector_mean", vector_mean)
-    spark.udtf.register("token_windows", Windows)
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION vector_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE
+      RETURN CASE WHEN {_SQUARES} > 0 THEN {_DOT.format('a', 'b')} / sqrt({_SQUARES}) ELSE 0D END""")
+    words = _WORDS.replace("\\", "\\\\")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION token_windows(text STRING, size INT, overlap INT) RETURNS TABLE (k INT, start INT, stop INT, content STRING)
+      RETURN SELECT k, k * (size - overlap), least(k * (size - overlap) + size, n), array_join(slice(w, k * (size - overlap) + 1, size), ' ')
+      FROM (SELECT w, n, explode(sequence(0, greatest(0, CAST(ceil((n - size) / IF(size > overlap, size - overlap, raise_error('the limit must exceed the overlap'))) AS INT)))) AS k
+        FROM (SELECT {words} AS w, size({words}) AS n) WHERE n > 0)""")

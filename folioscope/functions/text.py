@@ -91,6 +91,29 @@ def balanced_object(text: Column) -> Column:
     return F.when(found["end"] > 0, F.substring(text, found["open"], found["end"] - found["open"] + 1))
 
 
+def outer_object(text: Column) -> Column:
+    """From the first opening to the last closing brace; null without both."""
+    return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+def between(text: Column, start: Column, stop: Column) -> Column:
+    """The characters from start up to stop, counted from 0."""
+    return F.substring(text, start + 1, F.greatest(stop - start, F.lit(0)))
+
+
+def passage(text: Column) -> Column:
+    """A text as the input of a passage encoder."""
+    return F.concat(F.lit("Passage: "), text)
+
+
+def language_vote(text: Column, words: dict[str, list[str]]) -> Column:
+    """The language with most of its frequent words in the text, `other` without any; ties go to the first name."""
+    seen = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    votes = F.array(*(F.struct(F.size(F.array_intersect(seen, F.array(*map(F.lit, v)))).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("name")) for i, (k, v) in enumerate(sorted(words.items()))))
+    best = F.array_max(votes)
+    return F.when(best["n"] > 0, best["name"]).otherwise("other")
+
+
 def clean_json(text: Column) -> Column:
     """A model's almost-JSON made parsable: quotes, invisible characters, trailing commas, Python's names of constants."""
     text = F.translate(text, CURLY + " " + INVISIBLE, STRAIGHT + " ")

@@ -32,6 +32,12 @@ def hashed(terms: Column, size: int = 16) -> Column:
     return F.get(F.transform(F.array(F.transform(terms, bucket)), count), F.lit(0))
 
 
+def pooled(tokens: Column, size: int = 16, limit: int = 8192) -> Column:
+    """A text's vector by mean pooling: of its first limit tokens, hashed one by one; no token gives zeros."""
+    taken = F.slice(tokens, 1, limit)
+    return F.transform(hashed(F.transform(taken, F.lower), size), lambda x: x / F.greatest(F.size(taken), F.lit(1)))
+
+
 def mean_vectors(df: DataFrame, by: list[str], vector: str, weight: Column | None = None) -> DataFrame:
     """(by, dim, mean): the elementwise mean of a group's vectors, masked by a weight. Counts are at least 1e-9."""
     weight = F.lit(1.0) if weight is None else weight.cast("double")

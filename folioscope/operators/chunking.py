@@ -84,6 +84,42 @@ def merged_chunks(numbered: DataFrame, key: str, count: str, limit: int) -> Data
     return each.groupBy(key, F.col("x.to").alias("merged")).agg(F.sum("x.items.n").alias("n_tokens"), F.sum("x.items.size").alias("n_sentences"), F.min("x.items.chunk").alias("first_chunk"))
 
 
+def greedy_spans(items: Column, limit: int, threshold: float) -> Column:
+    """The chunks that greedy_numbers tells, as structs: first and last sentence, start and stop token. items: an ordered
+    array of structs with n and sim. A chunk is appended when it closes, so nothing is copied for every sentence."""
+    chunk = "struct<first:int,last:int,start:int,stop:int>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("start"), F.lit(0).alias("stop"), F.array().cast(f"array<{chunk}>").alias("out"))
+
+    def ended(s: Column) -> Column:
+        now = F.struct(s["first"].alias("first"), (s["at"] - 1).alias("last"), s["start"].alias("start"), s["stop"].alias("stop"))
+        return F.concat(s["out"], F.array(now))
+
+    def step(s: Column, x: Column) -> Column:
+        filled = s["at"] > s["first"]
+        close = filled & ((s["stop"] - s["start"] + x["n"] > limit) | F.coalesce(x["sim"] < threshold, F.lit(False)))
+        return F.struct(
+            (s["at"] + 1).alias("at"), F.when(close, s["at"]).otherwise(s["first"]).alias("first"), F.when(close, s["stop"]).otherwise(s["start"]).alias("start"),
+            (s["stop"] + x["n"]).alias("stop"), F.when(close, ended(s)).otherwise(s["out"]).alias("out"),
+        )
+
+    return F.aggregate(items, start, step, lambda s: F.when(s["at"] > 0, ended(s)).otherwise(s["out"]))
+
+
+def merge_spans(spans: Column, limit: int) -> Column:
+    """greedy_spans with chunks of one sentence joined to the one before where both have limit tokens at most."""
+    chunk = "struct<first:int,last:int,start:int,stop:int>"
+    start = F.struct(F.lit(None).cast(chunk).alias("now"), F.array().cast(f"array<{chunk}>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        now = s["now"]
+        join = now.isNotNull() & (x["first"] == x["last"]) & (x["stop"] - now["start"] <= limit)
+        both = F.struct(now["first"].alias("first"), x["last"].alias("last"), now["start"].alias("start"), x["stop"].alias("stop"))
+        done = F.when(join | now.isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(now)))
+        return F.struct(F.when(join, both).otherwise(x).alias("now"), done.alias("out"))
+
+    return F.aggregate(spans, start, step, lambda s: F.when(s["now"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["now"]))))
+
+
 def percentile_breaks(df: DataFrame, key: str, distance: str, share: float = 0.95) -> DataFrame:
     """df with __limit, the group's percentile of the distances, and __break where a distance exceeds it."""
     limits = df.groupBy(key).agg(F.percentile(distance, F.lit(share)).alias("__limit"))

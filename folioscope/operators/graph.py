@@ -30,9 +30,15 @@ def of_type(triples: DataFrame, kind: str) -> DataFrame:
     return triples.join(typed, "subject", "left_semi")
 
 
-def hop(triples: DataFrame, starts: DataFrame, start: str, predicate: str, to: str, optional: bool = False) -> DataFrame:
-    """starts with to, the objects that the predicate leads to; optional keeps rows without any."""
-    edges = triples.filter(F.col("predicate") == predicate).select(F.col("subject").alias(start), F.col("object").alias(to))
+def copy(triples: DataFrame, graph: str) -> DataFrame:
+    """All triples of a named graph."""
+    return triples.filter(F.col("graph") == graph)
+
+
+def hop(triples: DataFrame, starts: DataFrame, start: str, predicate: str, to: str, optional: bool = False, lang: str | None = None) -> DataFrame:
+    """starts with to, the objects that the predicate leads to, of a language if one is given; optional keeps rows without
+    any."""
+    edges = triples.filter((F.col("predicate") == predicate) & (F.lit(True) if lang is None else F.col("lang") == lang)).select(F.col("subject").alias(start), F.col("object").alias(to))
     return starts.join(edges, start, "left" if optional else "inner")
 
 

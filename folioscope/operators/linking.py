@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +12,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 from folioscope.functions.models import Recogniser
-from folioscope.operators.search import top
+from folioscope.operators.search import bm25, fuse, top
+
+_QUOTES = str.maketrans({**dict(zip(X.CURLY, X.STRAIGHT, strict=True)), **dict.fromkeys(X.INVISIBLE), " ": " "})
 
 # Kinds of names that are linked.
 KINDS = ["PER", "ORG", "LOC"]
@@ -91,12 +95,61 @@ def candidates(mentions: DataFrame, entities: DataFrame, k: int = 8, least_score
     return best.filter((F.col("score") > least_score) & (F.col("fuzzy") >= least_fuzzy)).select("mention", "id", "name", "score", "fuzzy")
 
 
-def alive(birth: Column, death: Column, date: Column, days: int = 7300) -> Column:
+def trigrams(name: Column) -> Column:
+    """The distinct runs of three characters of a lower-case name between spaces."""
+    padded = F.concat(F.lit(" "), F.lower(F.trim(name)), F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, 3)))
+
+
+def hybrid_candidates(mentions: DataFrame, entities: DataFrame, k: int = 8, alpha: float = 0.25) -> DataFrame:
+    """(mention, kind, id, score, rank): of each mention the k entities of its kind with the best fused score. mentions:
+    mention, kind; entities: id, kind, name. The vector side is the cosine of trigram sets, so that other spellings are
+    found; mentions and entities meet by shared trigrams in an inverted index, which all pairs above zero do. The keyword
+    side is BM25 over all names."""
+    qid = F.concat_ws("", "kind", "mention")
+    asked = mentions.select("mention", "kind").distinct().withColumn("qid", qid)
+    a = asked.select("qid", "kind", trigrams(F.col("mention")).alias("g")).select("qid", "kind", F.size("g").alias("na"), F.explode("g").alias("gram"))
+    b = entities.select("id", "kind", trigrams(F.col("name")).alias("g")).select("id", "kind", F.size("g").alias("nb"), F.explode("g").alias("gram"))
+    shared = a.join(b, ["kind", "gram"]).groupBy("qid", "id", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
+    near = shared.select("qid", "id", F.round(F.col("n") / F.sqrt(F.col("na") * F.col("nb")), 6).alias("cos"))
+    words = bm25(asked.select("qid", F.col("mention").alias("query")), entities, "id", "name").join(near.select("qid", "id"), ["qid", "id"], "left_semi")
+    fused = fuse(near, words, "id", alpha, asked).withColumn("score", F.round("score", 4))
+    return top(fused, ["qid"], [F.desc("score"), F.col("id")], k).join(asked, "qid").select("mention", "kind", "id", "score", "rank")
+
+
+def linked(mentions: DataFrame, entities: DataFrame, lang: str = "de", k: int = 8, least_score: float = 0.75, least_fuzzy: int = 80, days: int = 7300) -> DataFrame:
+    """(mention, kind, date, id, url, shown, names, score, fuzzy): hybrid_candidates, of which those stay whose displayed name is
+    enough like the mention, who were alive, if people, on the mention's date, and whose score is above the bound.
+    mentions: mention, kind, date; entities: id, kind, type, url, name, name_de, name_fr, name_it, birth, death."""
+    given = {x: F.col(f"name_{x}") for x in ("de", "fr", "it")}
+    local = F.when(F.col("type") == "District", F.col("name_de")).otherwise(display_name(F.col("kind"), lang, given | {"name": F.col("name")}))
+    names = F.when(F.col("kind") == "ORG", F.array(F.concat_ws(", ", "name_de", "name_fr"))).otherwise(F.array_compact(F.array(*(c for c in named(entities)))))
+    known = entities.select("id", "kind", local.alias("shown"), names.alias("names"), "url", "birth", "death")
+    searched = known.select("id", "kind", F.coalesce("shown", F.lit("")).alias("name"))
+    found = hybrid_candidates(mentions, searched, k).join(known, ["id", "kind"]).join(mentions, ["mention", "kind"])
+    found = found.withColumn("fuzzy", X.token_sort_ratio(F.lower("mention"), F.lower(F.coalesce("shown", F.lit("")))))
+    lived = (F.col("kind") != "PER") | alive("birth", "death", F.col("date"), days)
+    return found.filter((F.col("fuzzy") >= least_fuzzy) & lived & (F.col("score") > least_score)).select("mention", "kind", "date", "id", "url", "shown", "names", "score", "fuzzy")
+
+
+def named(df: DataFrame, part: str = "name") -> list[Column]:
+    """The columns whose name has part in it."""
+    return [F.col(f"`{c}`") for c in df.columns if part in c]
+
+
+def counts(links: DataFrame, document: str, part: str, kind: str = "kind") -> DataFrame:
+    """(document, part, kind, n): links of each kind by part, and by document (part null)."""
+    rows = links.groupBy(document, part, kind).agg(F.count(F.lit(1)).alias("n"))
+    return rows.unionByName(rows.groupBy(document, kind).agg(F.sum("n").alias("n")).withColumn(part, F.lit(None).cast(dict(rows.dtypes)[part])))
+
+
+def alive(birth: Column | str | None, death: Column | str, date: Column, days: int = 7300) -> Column:
     """Whether someone can be meant on a date: not if they died, on 1 January of the year given, more than the days before
-    it, nor if they were born less than the days before it. Years may end in .0; what is no year excludes nothing."""
+    it, nor if they were born less than the days before it (without birth: whenever they were born). Years may end in .0; what is no year excludes nothing."""
     day = lambda y: F.make_date(F.expr(f"try_cast(split_part({_sql(y)}, '.', 1) AS int)"), F.lit(1), F.lit(1))
     bound = F.date_sub(date, days)
-    return F.coalesce(day(death) >= bound, F.lit(True)) & F.coalesce(day(birth) <= bound, F.lit(True))
+    dead = F.coalesce(day(death) >= bound, F.lit(True))
+    return dead if birth is None else dead & F.coalesce(day(birth) <= bound, F.lit(True))
 
 
 def _sql(c: Column | str) -> str:
@@ -110,6 +163,40 @@ def display_name(kind: Column, lang: str, names: dict[str, Column]) -> Column:
     return F.when(kind == "PER", names["name"]).when(kind == "ORG", org).otherwise(F.coalesce(names.get(lang, names["de"]), names["de"]))
 
 
+def parsed_answer(raw: str | None) -> list[dict[str, str]] | None:
+    """The people of a model's raw answer: the first balanced object, cleaned, parsed, entries without url removed. Without
+    an object it is None; ValueError if the object can't be parsed or has no people."""
+    depth = start = 0
+    for at, ch in enumerate(raw or ""):
+        if ch == "{":
+            start = at if depth == 0 else start
+            depth += 1
+        elif ch == "}":
+            depth -= 1
+            if depth == 0:
+                break
+    else:
+        return None
+    text = raw[start : at + 1].translate(_QUOTES)
+    text = re.sub(r",(\s*[}\]])", r"\1", text)
+    for word, name in (("None", "null"), ("True", "true"), ("False", "false")):
+        text = re.sub(rf"\b{word}\b", name, text)
+    found = json.loads(text)
+    if not isinstance(found, dict) or not isinstance(found.get("people"), list):
+        raise ValueError("the answer has no people")
+    return [x for x in found["people"] if isinstance(x, dict) and x.get("url")]
+
+
+def asking(client: Callable[[str], str | None]) -> Judge:
+    """A judge that asks a language model: client takes a prompt and gives a raw answer. plausible calls it again where the
+    answer can't be parsed."""
+
+    def judge(candidates: list[dict[str, str]], text: str) -> list[dict[str, str]] | None:
+        return parsed_answer(client(json.dumps({"text": text, "people": candidates}, ensure_ascii=False)))
+
+    return judge
+
+
 Judge = Callable[[list[dict[str, str]], str], list[dict[str, str]] | None]
 
 

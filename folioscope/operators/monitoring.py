@@ -15,9 +15,9 @@ def parsed(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def transitions(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """The rows at which the value differs from the row before."""
+    """The rows at which the value differs from the row before; before the first there is null."""
     before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("__before", before).filter(~F.col("__before").eqNullSafe(F.col(value)) | F.col("__before").isNull()).drop("__before")
+    return rows.withColumn("__before", before).filter(~F.col("__before").eqNullSafe(F.col(value))).drop("__before")
 
 
 def nearest(left: DataFrame, right: DataFrame, by: str, ts: str, left_id: str, right_id: str) -> DataFrame:
@@ -28,7 +28,8 @@ def nearest(left: DataFrame, right: DataFrame, by: str, ts: str, left_id: str, r
     b = right.select(by, micros.alias("t"), F.lit(None).cast("bigint").alias("l"), F.struct(micros.alias("t"), F.col(right_id).cast("bigint").alias("r")).alias("m"))
     both = a.unionByName(b)
     order = Window.partitionBy(by).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(by).orderBy("t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # backwards from the end, so that this frame grows too, instead of being taken anew for each row
+    ahead = Window.partitionBy(by).orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     neg = F.struct(F.col("m.t").alias("t"), (-F.col("m.r")).alias("r"))
     found = both.withColumn("p", F.max(F.when(F.col("m").isNotNull(), neg)).over(order)).withColumn("n", F.min("m").over(ahead)).filter(F.col("l").isNotNull())
     before, after = F.col("t") - F.col("p.t"), F.col("n.t") - F.col("t")
@@ -42,6 +43,14 @@ def filled(rows: DataFrame, by: list[str], order: list[str], value: Column, to:
     return rows.withColumn(to, F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def stretches(rows: DataFrame, by: list[str], order: list[str], marker: Column) -> DataFrame:
+    """The rows with the marker, with the numbers first and last of the rows that they stand for: up to the next marker; last is
+    null for the last one."""
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    marked = rows.withColumn("first", number).filter(marker)
+    return marked.withColumn("last", F.lead("first").over(Window.partitionBy(*by).orderBy("first")) - 1)
+
+
 def report(docs: DataFrame, metrics: DataFrame, counts: DataFrame, key: str, order: str) -> DataFrame:
     """The first metric row of each document, with its token count if there is one; documents without metrics are left
     out."""

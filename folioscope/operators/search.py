@@ -4,6 +4,11 @@ meet it in blocks, one pair of partitions a task, or by a shuffle."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +22,11 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def sure(cos: Column) -> Column:
+    """The certainty of a cosine of six digits, to six digits: rounded as a decimal, so that halves go up."""
+    return F.round(certainty(cos).cast("decimal(18,8)"), 6).cast("double")
+
+
 def near_vectors(queries: DataFrame, rows: DataFrame, row_key: str, least: float | None = None) -> DataFrame:
     """Every row scored for each query (columns qid, qvec); rows has vector. least bounds the certainty."""
     asked = queries.select("qid", "qvec")
@@ -24,12 +34,40 @@ def near_vectors(queries: DataFrame, rows: DataFrame, row_key: str, least: float
     # squares are taken once a vector, not once a pair
     both = rows.withColumn("__vv", dot(v, v)).join(broadcast_if(small, asked.withColumn("__qq", dot(q, q))))
     scored = both.withColumn("cos", F.round(cosine_of(q, v, F.col("__qq"), F.col("__vv")), 6)).drop("qvec", "vector", "__qq", "__vv")
-    scored = scored.withColumn("certainty", F.round(certainty(F.col("cos")), 6))
+    scored = scored.withColumn("certainty", sure(F.col("cos")))
     return scored if least is None else scored.filter(F.col("certainty") >= least)
 
 
 def near_vector_topk(queries: DataFrame, rows: DataFrame, row_key: str, k: int = 3, least: float | None = None) -> DataFrame:
-    return top(near_vectors(queries, rows, row_key, least), ["qid"], [F.desc("cos"), F.col(row_key)], k)
+    """(qid, columns of rows but vector, cos, certainty, rank). Queries measured to be small are compared batch by batch, and
+    only the k nearest of a batch leave it; larger sets meet the rows pair by pair."""
+    if fits(queries.select("qid", "qvec")):
+        near = near_in_blocks(queries, rows, row_key, k).withColumn("certainty", sure(F.col("cos")))
+        near = near if least is None else near.filter(F.col("certainty") >= least)
+    else:
+        near = near_vectors(queries, rows, row_key, least)
+    return top(near, ["qid"], [F.desc("cos"), F.col(row_key)], k)
+
+
+def hybrid_topk(queries: DataFrame, rows: DataFrame, key: str, text: str, k: int = 3, alpha: float = 0.25) -> DataFrame:
+    """(qid, key, score, rank): the best rows by the fused score. queries: qid, query, qvec (measured to be small); rows: key,
+    text, vector.
+
+    Not every pair is written: one pass over batches finds each query's cosine bounds and its k nearest rows. A row without
+    a term of the query has the score of its cosine alone, which is no more than that of any row nearer, so it can be
+    among the best only if it is one of these. The others come from the inverted index, and get their cosines there."""
+    words = bm25(queries.select("qid", "query"), rows.select(key, text), key, text).persist()
+    near = near_in_blocks(queries, rows.select(key, "vector"), key, k, lowest=True).persist()
+    bounds = near.groupBy("qid").agg(F.min("cos").alias("lo"), F.max("cos").alias("hi"))
+    limits = words.groupBy("qid").agg(F.min("bm25").alias("lo_b"), F.max("bm25").alias("hi_b"))
+    best = top(near.filter(F.col(key).isNotNull()), ["qid"], [F.desc("cos"), F.col(key)], k).select("qid", key, "cos")
+    other = best.join(words.select("qid", key), ["qid", key], "left_anti").withColumn("bm25", F.lit(None).cast("double"))
+    met = cosines(queries, words.join(rows.select(key, "vector"), key).select("qid", key, "bm25", "vector"))
+    # a row for each query, of which there are few
+    both = met.unionByName(other).join(F.broadcast(bounds), "qid").join(F.broadcast(limits), "qid", "left")
+    scaled = lambda c, lo, hi: F.when(F.col(c).isNull(), 0.0).when(F.col(hi) > F.col(lo), (F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(1.0)
+    score = F.round(F.round(alpha * scaled("cos", "lo", "hi") + (1 - alpha) * scaled("bm25", "lo_b", "hi_b"), 6), 4)
+    return top(both.select("qid", key, score.alias("score")), ["qid"], [F.desc("score"), F.col(key)], k)
 
 
 def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
@@ -75,6 +113,103 @@ def keyword(docs: DataFrame, text: str, words: str) -> DataFrame:
     return docs.filter(F.contains(F.lower(text), F.lit(words.lower())))
 
 
+def fetch(df: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """The first rows by order: a report of bounded size. Spark keeps that many of each partition."""
+    return df.orderBy(*order).limit(limit)
+
+
+def chunks_of(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """chunks (chunk_id) with doc_id, the part of their name before the first stroke, of the documents (doc_id) given."""
+    return chunks.withColumn("doc_id", F.split_part("chunk_id", F.lit("/"), F.lit(1))).join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def asked(queries: DataFrame, query: str = "query") -> DataFrame:
+    """Queries that aren't blank."""
+    return queries.filter(F.trim(F.coalesce(F.col(query), F.lit(""))) != "")
+
+
+def page(queries: DataFrame, rows: DataFrame, key: str, text: str, least: float = 0.7, k: int = 5) -> DataFrame:
+    """(qid, key, cos, certainty, score, explain, rank): the search page's list. queries: qid, query, like, qvec; rows: key,
+    text, vector. Of the rows whose text has like, case aside, those with enough certainty, the nearest k; blank queries
+    have none. Words are looked for before vectors are compared."""
+    some = asked(queries).select("qid", "qvec", F.lower("like").alias("__like"))
+    found = rows.join(broadcast_if(fits(some), some), F.contains(F.lower(text), F.col("__like")))
+    q, v = F.col("qvec"), F.col("vector")
+    scored = found.select("qid", key, F.round(cosine_of(q, v, dot(q, q), dot(v, v)), 6).alias("cos"))
+    scored = scored.withColumn("certainty", sure(F.col("cos"))).filter(F.col("certainty") >= least)
+    best = top(scored, ["qid"], [F.desc("cos"), F.col(key)], k)
+    told = F.format_string("distance %.3f, certainty %.3f", 1 - F.col("cos"), F.col("certainty"))
+    return best.select("qid", key, "cos", "certainty", F.format_string("%.3f", "certainty").alias("score"), told.alias("explain"), "rank")
+
+
+def layered_hybrid(queries: DataFrame, parents: DataFrame, children: DataFrame, parent: str, child: str, text: str, k_parents: int = 10, k: int = 3, alpha: float = 0.25) -> DataFrame:
+    """(mode, qid, parent, child, score, rank): within each query's best parents, the nearest children (mode vector) and the
+    best by the fused score (mode hybrid). queries: qid, query, qvec; parents and children have vector, children also
+    parent and text. Children are filtered before they are scored; BM25's statistics are those of all children."""
+    small = fits(queries.select("qid"), BROADCAST_BYTES // (4 * k_parents))
+    best = near_vector_topk(queries, parents, parent, k_parents).select("qid", parent)
+    pool = children.join(broadcast_if(small, best), parent)
+    near = pool.join(broadcast_if(fits(queries.select("qid", "qvec")), queries.select("qid", "qvec")), "qid")
+    q, v = F.col("qvec"), F.col("vector")
+    near = near.select("qid", parent, child, F.round(cosine_of(q, v, dot(q, q), dot(v, v)), 6).alias("cos"))
+    words = bm25(queries.select("qid", "query"), children, child, text).join(near.select("qid", child), ["qid", child], "left_semi")
+    fused = fuse(near, words, child, alpha, queries).withColumn("score", F.round("score", 4)).join(near.select("qid", child, parent), ["qid", child])
+    of = lambda rows, mode: top(rows.select("qid", parent, child, "score"), ["qid"], [F.desc("score"), F.col(child)], k).withColumn("mode", F.lit(mode))
+    return of(near.withColumn("score", F.col("cos")), "vector").unionByName(of(fused, "hybrid"))
+
+
+def near_in_blocks(queries: DataFrame, rows: DataFrame, key: str, k: int, lowest: bool = False) -> DataFrame:
+    """(qid, columns of rows but vector, cos): of each Arrow batch of rows the k nearest of each query; queries are measured
+    to be small. One matrix product a batch. With lowest, also each query's least cosine in the batch, with null columns."""
+    stated = queries.select("qid", "qvec").filter(F.col("qvec").isNotNull()).toArrow()
+    qid = stated["qid"].combine_chunks()
+    q = np.array(stated["qvec"].to_pylist(), np.float64).reshape(len(qid), -1) if len(qid) else np.zeros((0, 0))
+    names = [key, *(c for c in rows.columns if c not in (key, "vector"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qq = np.sqrt((q * q).sum(1))
+        for batch in batches:
+            batch = batch.filter(batch.column(len(names)).is_valid())
+            if not batch.num_rows or not len(q):
+                continue
+            batch = batch.take(pc.sort_indices(batch, [(key, "ascending")]))  # ties go to the least key
+            v = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            length = np.outer(qq, np.sqrt((v * v).sum(1)))
+            cos = np.round(np.where(length > 0, q @ v.T / np.where(length > 0, length, 1), 0.0), 6)
+            best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+            which = np.repeat(np.arange(len(q)), best.shape[1])
+            taken = batch.select(names).take(pa.array(best.ravel()))
+            yield pa.RecordBatch.from_arrays([qid.take(pa.array(which)), *taken.columns, pa.array(np.take_along_axis(cos, best, 1).ravel())], ["qid", *names, "cos"])
+            if lowest:
+                yield pa.RecordBatch.from_arrays([qid, *(pa.nulls(len(qid), c.type) for c in taken.columns), pa.array(cos.min(1))], ["qid", *names, "cos"])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([f"qid {dict(queries.dtypes)['qid']}", *(f"`{c}` {kinds[c]}" for c in names), "cos double"])
+    return rows.select(*names, "vector").mapInArrow(run, schema)
+
+
+def cosines(queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (qid, ..., vector) with cos instead of vector; queries are measured to be small."""
+    stated = queries.select("qid", "qvec").toArrow()
+    of = {x: i for i, x in enumerate(stated["qid"].to_pylist())}
+    q = np.array(stated["qvec"].to_pylist(), np.float64).reshape(len(of), -1) if of else np.zeros((0, 0))
+    names = [c for c in pairs.columns if c != "vector"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.column(0).dictionary_encode()
+                a = q[np.array([of[x] for x in at.dictionary.to_pylist()])[at.indices.to_numpy()]]
+                v = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                length = np.sqrt((a * a).sum(1) * (v * v).sum(1))
+                cos = np.round(np.where(length > 0, (a * v).sum(1) / np.where(length > 0, length, 1), 0.0), 6)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cos)], [*names, "cos"])
+
+    kinds = dict(pairs.dtypes)
+    names = ["qid", *(c for c in names if c != "qid")]
+    return pairs.select(*names, "vector").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "cos double"]))
+
+
 def layered(queries: DataFrame, parents: DataFrame, children: DataFrame, parent: str, child: str, k_parents: int, k: int) -> DataFrame:
     """(qid, parent, child, cos, rank): the best children of each query's best parents. Both have vector, children also
     parent."""

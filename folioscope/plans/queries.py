@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import models
 from folioscope.functions import text as X
 from folioscope.functions import vector as V
-from folioscope.operators import chunking, graph, linking, maintenance, monitoring, search
+from folioscope.operators import chunking, graph, ingest, linking, maintenance, monitoring, search
 from folioscope.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,23 +46,23 @@ _TOKENS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[ \t\n\r\f]+')
 _TERMS = r"list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x != '')"
 
 
-@query(f"WITH {_SCORED} SELECT qid, vec_id, label, cos, round((1 + cos) / 2, 6) AS certainty, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 3")
+@query(f"WITH {_SCORED} SELECT qid, vec_id, label, cos, round(((1 + cos) / 2)::DECIMAL(18, 8), 6)::DOUBLE AS certainty, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 3")
 def near_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.near_vector_topk(*vectors(spark, sf_dir), "vec_id")
 
 
-@query(f"WITH {_SCORED} SELECT qid, vec_id, label, cos, round((1 + cos) / 2, 6) AS certainty FROM s WHERE round((1 + cos) / 2, 6) >= 0.7")
+@query(f"WITH {_SCORED} SELECT qid, vec_id, label, cos, round(((1 + cos) / 2)::DECIMAL(18, 8), 6)::DOUBLE AS certainty FROM s WHERE round(((1 + cos) / 2)::DECIMAL(18, 8), 6)::DOUBLE >= 0.7")
 def near_vector_certainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.near_vectors(*vectors(spark, sf_dir), "vec_id", least=0.7)
 
 
-@query(f"WITH {_SCORED} SELECT qid, vec_id, label, cos, round((1 + cos) / 2, 6) AS certainty, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id)::INT AS rank FROM s WHERE label IN (1, 3, 5) QUALIFY rank <= 5")
+@query(f"WITH {_SCORED} SELECT qid, vec_id, label, cos, round(((1 + cos) / 2)::DECIMAL(18, 8), 6)::DOUBLE AS certainty, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id)::INT AS rank FROM s WHERE label IN (1, 3, 5) QUALIFY rank <= 5")
 def near_vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, rows = vectors(spark, sf_dir)
     return search.near_vector_topk(asked, rows.filter(F.col("label").isin(1, 3, 5)), "vec_id", 5)
 
 
-@query(f"WITH {_SCORED} SELECT qid, count(*) AS n, format('{{:.3f}}', max(cos)) AS best, format('{{:.3f}}', min(cos)) AS least FROM s WHERE round((1 + cos) / 2, 6) > 0.6 GROUP BY qid")
+@query(f"WITH {_SCORED} SELECT qid, count(*) AS n, format('{{:.3f}}', max(cos)) AS best, format('{{:.3f}}', min(cos)) AS least FROM s WHERE round(((1 + cos) / 2)::DECIMAL(18, 8), 6)::DOUBLE > 0.6 GROUP BY qid")
 def certainty_threshold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.near_vectors(*vectors(spark, sf_dir), "vec_id").filter("certainty > 0.6")
     return found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.format_string("%.3f", F.max("cos")).alias("best"), F.format_string("%.3f", F.min("cos")).alias("least"))
@@ -191,10 +191,9 @@ ks AS (SELECT qid, doc_id, CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN (b
 h AS (SELECT qid, doc_id, round(0.25 * coalesce(x, 0) + 0.75 * coalesce(y, 0), 4) AS score FROM cs FULL JOIN ks USING (qid, doc_id))
 SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM h QUALIFY rank <= 3""")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", V.hashed(X.terms(F.col("text"))).alias("vector"))
-    asked = _questions(spark, sf_dir).select("qid", V.hashed(X.terms(F.col("query"))).alias("qvec"))
-    fused = search.fuse(search.near_vectors(asked, docs, "doc_id").select("qid", "doc_id", "cos"), _bm25(spark, sf_dir), "doc_id", queries=asked).withColumn("score", F.round("score", 4))
-    return search.top(fused, ["qid"], [F.desc("score"), F.col("doc_id")], 3)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", V.hashed(X.terms(F.col("text"))).alias("vector"))
+    asked = _questions(spark, sf_dir).select("qid", "query", V.hashed(X.terms(F.col("query"))).alias("qvec"))
+    return search.hybrid_topk(asked, docs, "doc_id", "text")
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE lower(text) LIKE '%ing of%'")
@@ -460,7 +459,7 @@ def llm_json_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, year(o_orderdate)::INT AS year, strftime(o_orderdate, '%m') AS month, strftime(o_orderdate, '%Y/%m/%Y-%m-%d.txt') AS path FROM orders WHERE year(o_orderdate) BETWEEN 1993 AND 1997""")
 def date_path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("o_orderdate", "dd.MM.yyyy")
-    date = F.to_date(day, "dd.MM.yyyy")
+    date = F.try_to_date(day, "dd.MM.yyyy")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.year(date).alias("year"), F.lpad(F.month(date).cast("string"), 2, "0").alias("month"), F.date_format(date, "yyyy/MM/yyyy-MM-dd'.txt'").alias("path"))
     return rows.filter(F.col("year").between(1993, 1997))
 
@@ -471,35 +470,43 @@ def ner_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.mentions(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", models.capitalised_spans)
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i, len(w) AS n FROM (SELECT doc_id, {_TOKENS.format('text')} AS w FROM documents)),
+h AS (SELECT doc_id, i, n, ('0x' || substr(md5(lower(t)), 1, 2))::INT % 32 AS dim, CASE WHEN ('0x' || substr(md5(lower(t)), 3, 2))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END AS x FROM t),
+p AS (SELECT doc_id, i // 256 AS k, dim, x FROM h UNION ALL SELECT doc_id, (i + 1) // 256, dim, x / 2 FROM h WHERE i + 1 < n UNION ALL SELECT doc_id, (i - 1) // 256, dim, x / 2 FROM h WHERE i > 0),
+c AS (SELECT doc_id, i // 256 AS k, count(*) AS size FROM h GROUP BY doc_id, k)
+SELECT doc_id, k::INT AS chunk_order, dim::INT AS dim, round(sum(x) / any_value(size), 6)::DOUBLE AS x FROM p JOIN c USING (doc_id, k) GROUP BY doc_id, k, dim HAVING sum(x) != 0""")
 def late_chunk_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of 256 tokens with the mean of their part of the document's token matrix."""
-    import pandas as pd
+    """Chunks of 256 tokens with the mean of their part of the document's token matrix, whose rows hold some of their
+    neighbours'; dimensions that aren't zero."""
+    rows = ingest.late_chunks(table(spark, sf_dir, "documents"), 256, models.token_matrix)
+    return rows.select("doc_id", "chunk_order", F.posexplode("vector").alias("dim", "x")).filter("x != 0").withColumn("x", F.round("x", 6))
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                words, matrix = models.token_matrix(text)
-                for k, at in enumerate(range(0, len(words), 256)):
-                    out.append((doc, f"{doc}/{k}", k, " ".join(words[at : at + 256]), matrix[at : at + 256].mean(0).astype("float32").tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "chunk_id", "chunk_order", "content", "vector"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_id string, chunk_order int, content string, vector array<float>")
+@query("""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark), h AS (SELECT item_id, md5('retrieval.query:' || w) AS h FROM w),
+s AS (SELECT item_id, ('0x' || substr(h, 1, 2))::INT % 32 AS dim, sum(CASE WHEN ('0x' || substr(h, 3, 2))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM h GROUP BY item_id, dim)
+SELECT item_id, dim::INT AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS x FROM s WHERE x != 0""")
+def task_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries' vectors from the default model for a task; dimensions that aren't zero."""
+    rows = ingest.embedded(table(spark, sf_dir, "benchmark"), "text", "v", models.hash_embedder(32, "retrieval.query"))
+    return rows.select("item_id", F.posexplode("v").alias("dim", "x")).filter("x != 0").withColumn("x", F.round("x", 6))
 
 
-@query()
+_VOTES = ", ".join(f"len(list_intersect(w, [{', '.join(repr(x) for x in v)}])) AS {k}" for k, v in sorted(models.STOP_WORDS.items()))
+
+
+@query(rf"""SELECT doc_id, lang, CASE WHEN greatest(de, en, es, fr, it) = 0 THEN 'other' {" ".join(f"WHEN {k} = greatest(de, en, es, fr, it) THEN '{k}'" for k in sorted(models.STOP_WORDS))} END AS voted
+FROM (SELECT doc_id, lang, {_VOTES} FROM (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+')) AS w FROM documents))""".replace("\\\\", "\\"))
 def language_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default language model's vote for each document."""
-    vote = F.pandas_udf(models.vote_language, "string")
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", vote("text").alias("voted"))
+    """The vote of frequent words for each document's language."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", X.language_vote(F.col("text"), models.STOP_WORDS).alias("voted"))
 
 
 def _base(spark: SparkSession, name: str) -> str:
-    """A new folder in the warehouse, which all executors share."""
+    """A new folder beside the checkpoints, or else in the warehouse; executors share both."""
     import uuid
 
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
 def _streamed(flow: DataFrame, name: str) -> DataFrame:
@@ -520,15 +527,17 @@ def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.streaming import flows
 
-    return _streamed(flows.transitions(_source(spark, sf_dir, "events").select("user_id", "ts", "event_type"), "user_id", "ts", "event_type"), "stream_transitions")
+    rows = _source(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return _streamed(flows.transitions(rows, "user_id", ["ts", "event_id"], "event_type"), "stream_transitions").select("user_id", "ts", "event_type")
 
 
-@query()
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioscope.streaming import flows
 
     rows = _source(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    return _streamed(flows.deduplicated(rows, ["user_id", "event_type"], "ts"), "stream_dedup")
+    # all rows come in one batch, so each pair of keys is kept once; which of its rows that is isn't told
+    return _streamed(flows.deduplicated(rows, ["user_id", "event_type"], "ts"), "stream_dedup").select("user_id", "event_type")
 
 
 @query("SELECT event_id AS doc_id, event_type FROM events")

@@ -38,6 +38,33 @@ PLACES = {
 }
 
 
+def persons(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of people, by position: number, lemma, complement, years of birth and death, url, marks of uncertainty, description,
+    author, translator; shorter rows are filled up with empty texts. The name is complement and lemma."""
+    columns = "identifier, lemma, complement, birthyear, deathyear, url, birth_mark, death_mark, description, author, translator"
+    rows = csv(spark, path, ", ".join(f"{c.strip()} string" for c in columns.split(",")))
+    rows = rows.select(*(F.coalesce(c, F.lit("")).alias(c) for c in rows.columns))
+    name = F.concat_ws(" ", "complement", "lemma")
+    return rows.select(name.alias("name"), "complement", "lemma", "description", "birthyear", "deathyear", F.expr("try_cast(identifier AS int)").alias("identifier"), "url", (F.col("birth_mark") != "").alias("birth_uncertainty"), (F.col("death_mark") != "").alias("death_uncertainty"), "author", "translator")
+
+
+def organizations(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV of organisations, by position: url, German name, French name; type is the file's stem."""
+    rows = csv(spark, path, "url string, name_de string, name_fr string")
+    return rows.select("name_de", "name_fr", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("type"), "url")
+
+
+def padded(row: Column, size: int = 8) -> Column:
+    """A row's cells, filled up with empty texts."""
+    cells = F.coalesce(row, F.array().cast("array<string>"))
+    return F.concat(cells, F.array_repeat(F.lit(""), F.greatest(F.lit(size) - F.size(cells), F.lit(0))))
+
+
+def years(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """Rows of a dataset in folders year=/month=; other years' folders aren't read."""
+    return spark.read.parquet(path).filter(F.col("year").between(first, last))
+
+
 def gazetteer(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A places file in the places schema; type is the file's stem."""
     columns, taken = PLACES[kind]

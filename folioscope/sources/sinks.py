@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from folioscope.operators.graph import n_quads
@@ -22,6 +22,12 @@ def quads(triples: DataFrame, path: str) -> None:
     n_quads(triples).write.mode("overwrite").text(path)
 
 
+def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """df, and its metrics (aggregates, such as counts and sums), which are there once an action on it has ended."""
+    seen = Observation()
+    return df.observe(seen, *(c.alias(k) for k, c in metrics.items())), seen
+
+
 def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """With one header a file; appending adds files."""
     df.write.mode(mode).option("header", True).csv(path)

@@ -251,10 +251,11 @@ def test_registered_functions(spark):
     assert spark.sql("SELECT * FROM token_windows('a b c d e', 3, 1)").count() == 2
 
 
-def test_default_models():
+def test_default_models(spark):
     import pandas as pd
 
-    assert models.vote_language(pd.Series(["der die und", "zzz", None])).tolist() == ["de", "other", "other"]
+    votes = spark.createDataFrame([("der die und",), ("zzz",), (None,), ("la",)], "t string").select(X.language_vote(F.col("t"), models.STOP_WORDS).alias("x"))
+    assert [r["x"] for r in votes.collect()] == ["de", "other", "other", "es"]
     assert models.capitalised_spans(pd.Series(["We met Anna Meier in Bern."])).iloc[0] == [{"text": "Anna Meier", "label": "PER"}, {"text": "Bern", "label": "LOC"}]
     assert models.overlap_judge([{"url": "u", "description": "federal judge"}, {"url": "", "description": "judge"}], "the judge") == [{"url": "u", "description": "federal judge"}]
 
