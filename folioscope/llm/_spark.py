@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 import tempfile
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,25 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that gives its first table's columns back: those with names kept for use inside (two underscores in front)
+    get others meanwhile."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names, other = docs.columns, {}
+        for c in names:
+            if c.startswith("__"):
+                to = f"kept{c}"
+                while to in names or to in other.values():
+                    to += "_"
+                other[c] = to
+        out = operator(docs.withColumnsRenamed(other) if other else docs, *args, **kwargs)
+        return out.withColumnsRenamed({v: k for k, v in other.items()}) if other else out
+
+    return run
+
+
 #: Rows that go to a Python worker at once, so that its memory doesn't depend on how long texts are in the mean.
 BATCH_ROWS = 1024
 

@@ -27,7 +27,7 @@ given pair of sets of a thousand are mistaken for each other with odds of about
 
 Defined cases: null, empty and blank texts have no shingles, and are their own component. Rows that repeat a doc_id are
 documents of their own with that id. A null doc_id sorts after all others, and stays null if nothing smaller is linked.
-Columns other than doc_id and text are passed through by keep_one, whatever their names but __gone. An empty table gives none.
+Columns other than doc_id and text are passed through by keep_one, whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm._spark import blooms, bloom_words, broadcast_if_small, cut, cut_small, in_bloom, small_batches
+from folioscope.llm._spark import blooms, bloom_words, broadcast_if_small, cut, cut_small, in_bloom, shielded, small_batches, text_key
 from folioscope.llm._words import NO_ID, buffers, find_words, gram_hashes, gram_starts, ids, mix, sequence_hashes, slices, word_hashes
 from folioscope.llm.components import components
 
@@ -122,7 +122,7 @@ def signatures(g: np.ndarray, first: np.ndarray, salt: int = 0) -> tuple[np.ndar
 
 
 def described(docs: DataFrame, k: int = SHINGLE, salt: int = 0) -> DataFrame:
-    """For each document: doc_id, n (set size), s (signature), t (a second one), bits. For each shingle frequent in a
+    """For each document: doc_id, ka and kb (of its text), n (set size), s (signature), t (a second one), bits. For each shingle frequent in a
     stretch of documents: hot, n (documents of the stretch that have it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +137,20 @@ def described(docs: DataFrame, k: int = SHINGLE, salt: int = 0) -> DataFrame:
         for part in slices(batches):
             row, g, first = shingle_sets(part.column(1), k)
             s, t = signatures(g, first, salt)
-            yield _rows(bitmaps(row, g, first), doc_id=ids(part), n=np.diff(first), s=s, t=t)
+            yield _rows(bitmaps(row, g, first), doc_id=ids(part), ka=part.column(2).to_numpy(), kb=part.column(3).to_numpy(), n=np.diff(first), s=s, t=t)
             seen.append(g)
             if sum(map(len, seen)) > HELD:
                 yield often()
         yield often()
 
-    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s long, t long, hot long, bits binary")
+    return small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text", *text_key("text")).mapInArrow(run, "doc_id long, ka long, kb long, n long, s long, t long, hot long, bits binary")
 
 
 def _rows(bits: pa.Array | None = None, **cols: np.ndarray) -> pa.RecordBatch:
     size = len(cols["n"])
-    made = [pa.array(cols[c].view(np.int64)) if c in cols else pa.nulls(size, pa.int64()) for c in ("doc_id", "n", "s", "t", "hot")]
-    return pa.RecordBatch.from_arrays([*made, pa.nulls(size, pa.binary()) if bits is None else bits], ["doc_id", "n", "s", "t", "hot", "bits"])
+    names = ["doc_id", "ka", "kb", "n", "s", "t", "hot"]
+    made = [pa.array(cols[c].view(np.int64)) if c in cols else pa.nulls(size, pa.int64()) for c in names]
+    return pa.RecordBatch.from_arrays([*made, pa.nulls(size, pa.binary()) if bits is None else bits], [*names, "bits"])
 
 
 def short_lists(docs: DataFrame, frequent: np.ndarray, k: int = SHINGLE, least: int = LEAST, salt: int = 0) -> DataFrame:
@@ -449,7 +450,7 @@ def across_parts(units: DataFrame, heavy: DataFrame, roots: DataFrame, load: int
 
 
 def linked(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, short: int = SHORT, load: int = LOAD) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n, s) of the documents, and for each class with a link (node, root)."""
+    """Rows (doc_id, ka, kb, n, s) of the documents, and for each class with a link (node, root)."""
     salt = 0
     while True:
         rows = cut(described(docs, k, salt))
@@ -470,29 +471,33 @@ def linked(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, short: int = S
     if not heavy.isEmpty():
         links = links.unionByName(cut_small(searched(across_parts(units, heavy, roots, load), texts, False, k, least)))
         roots = cut_small(components(links))
-    return rows.filter("hot IS NULL").select("doc_id", "n", "s"), roots
+    return rows.filter("hot IS NULL").select("doc_id", "ka", "kb", "n", "s"), roots
 
 
 def similar_components(docs: DataFrame, k: int = SHINGLE, least: int = LEAST, short: int = SHORT, load: int = LOAD) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs."""
+    """doc_id, n_shingles, component_id of each row of docs, and ka and kb, which with doc_id name it."""
     rows, roots = linked(docs, k, least, short, load)
     classes = rows.filter("n > 0").groupBy("s").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, classes["s"] == roots["node"], "left").withColumn("root", F.coalesce("root", "s")).drop("node")
     ids_ = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = classes.join(ids_, "root").select("s", "component_id")
     real = lambda c: F.nullif(c, F.lit(NO_ID))
-    return rows.join(named, "s", "left").select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+    return rows.join(named, "s", "left").select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"), "ka", "kb")
 
 
+@shielded
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one of least doc_id; all columns stay. Texts without shingles are
-    components of their own. Of rows that repeat the least doc_id all stay."""
-    gone = similar_components(docs).filter("component_id < doc_id OR doc_id IS NULL AND component_id IS NOT NULL").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__gone")).distinct()
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == gone["__gone"], "left_anti")
+    components of their own. Of rows that repeat the least doc_id, or of a component without any id, all stay. Rows go by
+    their own text: one without id, or that shares its id with another, doesn't take that along."""
+    gone = similar_components(docs).filter("component_id < doc_id OR doc_id IS NULL AND component_id IS NOT NULL")
+    gone = gone.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__gone"), F.col("ka").alias("__ka"), F.col("kb").alias("__kb")).distinct()
+    ka, kb = text_key("text")
+    return docs.join(gone, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == gone["__gone"]) & (ka == gone["__ka"]) & (kb == gone["__kb"]), "left_anti")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ka", "kb")
 
 
 #: Links by an index of all shingles of distinct sets; then the least id spreads over the links.
