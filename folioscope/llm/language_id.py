@@ -8,7 +8,8 @@ proportion, up to all; a document is done when no larger set can gain, as even a
 
 Training uses text and lang of rows whose crc32(doc_id as text) mod 4 is not 2. Defined cases: rows with a null doc_id
 aren't held out and aren't trained on; null or letterless texts are `und` with score 0; without any training row every
-text is. Ties go to the language that sorts first.
+text is. Ties go to the language that sorts first. Repeated rows count, and are judged, each. Columns named as those that
+with_languages adds are replaced, others stay. A single text of any length is handled whole. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -36,14 +37,18 @@ _FOLD[65:91] += U(32)
 _FOLD[GAP] = U(32)
 
 
-def trigrams(data: np.ndarray) -> np.ndarray:
-    """The bucket of the three bytes around each byte."""
+def trigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bucket of the three bytes around each byte; before and after a text is a gap."""
     b = _FOLD[data]
     x = b << U(8)
     x[1:] |= b[:-1] << U(16)
     x[:1] |= U(32 << 16)
     x[:-1] |= b[1:]
     x[-1:] |= U(32)
+    full = np.diff(offsets) > 0
+    heads, tails = offsets[:-1][full], offsets[1:][full] - 1
+    x[heads] = x[heads] & U(0xFFFF) | U(32 << 16)
+    x[tails] = x[tails] & U(0xFFFF00) | U(32)
     with np.errstate(over="ignore"):
         return ((x * U(0x9E3779B97F4A7C15)) >> U(48)).astype(np.int64)
 
@@ -62,7 +67,7 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             data, off = buffers(part.column(0))
             if not len(data):
                 continue
-            tri = trigrams(data)
+            tri = trigrams(data, off)
             names, which = np.unique(np.asarray(part.column(1).to_pylist(), object).astype(str), return_inverse=True)
             row = np.repeat(which, np.diff(off))
             use = ~GAP[data]
@@ -102,7 +107,7 @@ def proportions(data: np.ndarray, offsets: np.ndarray, logs: np.ndarray) -> np.n
         return out
     row = np.repeat(np.arange(len(rows)), w.counts[rows])
     heads = w.first[rows]
-    tri = trigrams(data)
+    tri = trigrams(data, offsets)
     ll = np.empty((len(w.starts), k), np.float32)
     for i in range(k):
         sums = np.append(0.0, np.cumsum(logs[i][tri], dtype=np.float64))
@@ -144,6 +149,7 @@ def proportions(data: np.ndarray, offsets: np.ndarray, logs: np.ndarray) -> np.n
 
 def with_languages(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
     """docs with __lang, __score (its share) and __langs (all languages found, by share); all columns stay."""
+    docs = docs.drop("__lang", "__score", "__langs")
     shared = docs.sparkSession.sparkContext.broadcast(logs)
     names = docs.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__lang string, __score double, __langs string"])
