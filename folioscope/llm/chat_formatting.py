@@ -12,7 +12,8 @@ the first turn that differs, and a join puts both together.
 
 Defined cases: a null turn is -1; null role and text are empty. Rows without conv_id are in no pair. Of rows that repeat
 a conversation's turn the least (role, text) stands. A conversation without partner differs from its first turn on. Pairs
-that are equal throughout have a prompt only.
+that are equal throughout have a prompt only. Conversations may have any number of turns; only two texts meet in a row. Other
+columns of turns are left out. An empty table gives none.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@ read: the windows come to them.
 
 Defined cases: null texts have no words and no windows. Benchmark items that repeat an id are one item of several texts; a
 null item_id counts as the string "null". Rows of documents that repeat an id are judged each. A null doc_id is returned
-as null. Without documents or items the result is empty, or free of hits. drop_contaminated passes other columns through
-(those starting with two underscores are reserved).
+as null. Without documents or items the result is empty, or free of hits. drop_contaminated passes other columns through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm._spark import broadcast_if_small, cut, is_small, text_key
+from folioscope.llm._spark import broadcast_if_small, cut, is_small, shielded, text_key
 from folioscope.llm._words import NO_ID
 
 WINDOW = 10
@@ -152,6 +152,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return both.select(*ROW, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), F.size(close).cast("long").alias("n_near_items"))
 
 
+@shielded
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those that have a window of the benchmark; all columns stay."""
     test = cut(anchored(docs, windows(benchmark, window)))

@@ -13,8 +13,8 @@ justify itself. A group with fewer than FEW documents is judged by its language,
 take all documents that pass the base rules.
 
 Defined cases: a null text has no words and fails the base rules. Null lang or source are groups of their own. Repeated
-rows are judged, and counted, each. A value at its fence is kept. Columns with other names are passed through by keep_good
-(those starting with two underscores are reserved). An empty table gives an empty result.
+rows are judged, and counted, each. A value at its fence is kept. Columns with other names are passed through by keep_good,
+whatever they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm._spark import broadcast_if_small, cut, small_batches
+from folioscope.llm._spark import broadcast_if_small, cut, shielded, small_batches
 from folioscope.llm._words import buffers, find_words, gram_hashes, gram_starts, mix, row_sums, slices, span_hashes, word_hashes
 
 U = np.uint64
@@ -206,6 +206,7 @@ def judged(docs: DataFrame) -> DataFrame:
     return verdicts(with_counts(docs), thresholds(with_counts(docs.select("text", "lang", "source"))))
 
 
+@shielded
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs that the rules keep; all columns stay."""
     return judged(docs).filter("__kept").select(*(F.col(f"`{c}`") for c in docs.columns))

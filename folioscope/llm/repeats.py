@@ -11,7 +11,7 @@ passes it by chance costs a row and changes no result.
 
 Defined cases: null texts have no words. Rows with a null doc_id count as one document that follows all others. Rows
 that repeat a doc_id are one document for the comparison of ids, and each is cut by its own text. Columns other than
-doc_id and text are passed through whatever their names (those starting with two underscores are reserved).
+doc_id and text are passed through whatever their names (remove gives `__removed` beside them).
 """
 
 from __future__ import annotations
@@ -29,8 +29,9 @@ from folioscope.llm._words import NO_ID, Words, buffers, find_words, gram_hashes
 
 WINDOW = 50
 GRAM = 8
-#: A minimiser with more occurrences is compared window by window through a Spark aggregation, never in one task.
-HOT = 1 << 16
+#: A minimiser with more occurrences is compared window by window through a Spark aggregation, never in one task: as many as a
+#: task sorts at once.
+HOT = 1 << 13
 
 
 def keyed(docs: DataFrame) -> DataFrame:

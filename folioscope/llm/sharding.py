@@ -11,8 +11,8 @@ there are so many buckets that one has about BUCKET different rows, whatever the
 and the buckets' sums, one row each, are cumulated apart. So no task sorts a whole shard.
 
 Defined cases: null text has size 1 and the crc of the empty text; null doc_ids are one key. Repeated rows have one shard
-and a slot each. An empty table gives an empty result. with_shards passes other columns through, whatever their names (those
-starting with two underscores are reserved).
+and a slot each. An empty table gives an empty result. with_shards passes other columns through; those
+named as its own (shard, __region, __rack) are replaced.
 """
 
 from __future__ import annotations

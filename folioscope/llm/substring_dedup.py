@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm import repeats as R
+from folioscope.llm._spark import shielded
 
 
 def removal_intervals(docs: DataFrame, window: int = R.WINDOW) -> DataFrame:
@@ -18,6 +19,7 @@ def removal_intervals(docs: DataFrame, window: int = R.WINDOW) -> DataFrame:
     return R.intervals(R.later_windows(R.windows(docs, R.wanted_by(many), window)), window)
 
 
+@shielded
 def dedup_substrings(docs: DataFrame, window: int = R.WINDOW) -> DataFrame:
     """docs without the words that repeat an earlier document's; all columns stay."""
     return R.remove(docs, removal_intervals(docs, window)).drop("__removed")

@@ -7,8 +7,9 @@ document exactly if some suffix of that document lies in the same run of the sor
 prefix reaches the window's end) and agrees to the left back to the window's start. Since equal windows have the same
 minimiser at the same place, this finds every repeated window: the result is the one defined in repeats.py.
 
-The suffixes of a minimiser with more than repeats.HOT occurrences don't meet in one task: their windows are compared by a
-Spark aggregation of window hashes, which gives the same result.
+The suffixes of a minimiser with more than repeats.HOT occurrences don't meet in one task. What a run of the sorted order
+and an equal left context tell together is the sequence of a window's words; for these minimisers Spark groups the windows by
+a hash of that sequence, in as many tasks as it likes, instead of sorting them in one. The result is the same.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import repeats as R
+from folioscope.llm._spark import shielded
 from folioscope.llm._words import buffers, find_words, ids, mix, slices, word_hashes
 
 U = np.uint64
@@ -129,6 +131,7 @@ def removal_intervals(docs: DataFrame, window: int = R.WINDOW, hot: int = R.HOT)
     return R.intervals(found, window)
 
 
+@shielded
 def dedup_suffixes(docs: DataFrame, window: int = R.WINDOW) -> DataFrame:
     """docs without the words that repeat an earlier document's; all columns stay. Documents with no word left go."""
     out = R.remove(docs, removal_intervals(docs, window))

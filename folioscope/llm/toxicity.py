@@ -13,6 +13,8 @@ folded are one. Every text is scored whole.
 
 Defined cases: null and empty texts have no hit and get the score of no hit; null labels aren't learned from; a doc_id
 with several labels is toxic if any says so; without labels of both classes the lexicon is empty and scores are 0.
+Rows without id are scored and not learned from; rows that repeat an id are learned from, and scored, each. A column named
+__score is replaced, others stay. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -329,6 +331,7 @@ def _calibrated(rows: DataFrame, patterns: list[str], weights: list[float], exce
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """docs with __score; all columns stay."""
+    docs = docs.drop("__score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__score double"])

@@ -123,7 +123,7 @@ def brute_components() -> list[tuple]:
 @pytest.mark.parametrize(("short", "load"), [(64, 1 << 21), (2, 1 << 21), (2, 3000), (1, 900)])
 def test_components(docs, short, load):
     """Whole units, and units dealt into parts."""
-    got = ngram_jaccard.similar_components(docs, short=short, load=load).collect()
+    got = ngram_jaccard.similar_components(docs, short=short, load=load).drop("ka", "kb").collect()
     assert sorted(map(tuple, got), key=str) == brute_components()
 
 
