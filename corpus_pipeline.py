@@ -16,27 +16,29 @@ from folioscope.llm.suffix_dedup import dedup_suffixes
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts go; null lang and source are groups of their own."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates, that of least id."""
+    """One document of each component of near duplicates, that of least id; rows that repeat that id all stay. A null id comes
+    after all others."""
     return keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 50 words or more that an earlier document has; n_chars follows the text."""
+    """Texts without passages of 50 words or more that a document of smaller id has; n_chars follows the text. Documents with no
+    word left go; rows that repeat an id are cut by their own texts."""
     return dedup_suffixes(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of the benchmark."""
+    """Documents without a window of the benchmark; without items all stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids."""
+    """Documents with their token ids; a column `ids` is replaced."""
     return encode(docs)
 
 
