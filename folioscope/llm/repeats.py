@@ -29,9 +29,9 @@ from folioscope.llm._words import NO_ID, Words, buffers, find_words, gram_hashes
 
 WINDOW = 50
 GRAM = 8
-#: A minimiser with more occurrences is compared window by window through a Spark aggregation, never in one task: as many as a
-#: task sorts at once.
-HOT = 1 << 13
+#: A minimiser with more occurrences is compared window by window through a Spark aggregation, never in one task: a bound on what
+#: a task sorts at once, of about 100 MB.
+HOT = 1 << 16
 
 
 def keyed(docs: DataFrame) -> DataFrame:
