@@ -28,8 +28,11 @@ def sure(cos: Column) -> Column:
 
 
 def near_vectors(queries: DataFrame, rows: DataFrame, row_key: str, least: float | None = None) -> DataFrame:
-    """Every row scored for each query (columns qid, qvec); rows has vector. least bounds the certainty."""
+    """Rows scored for each query (columns qid, qvec); rows has vector. With least, only those of that certainty and more: of a
+    small query set other pairs aren't written at all. Without it every pair is asked for, and given."""
     asked = queries.select("qid", "qvec")
+    if least is not None and fits(asked):
+        return near_in_blocks(queries, rows, row_key, None, least=least).withColumn("certainty", sure(F.col("cos")))
     small, q, v = fits(asked), F.col("qvec"), F.col("vector")
     # squares are taken once a vector, not once a pair
     both = rows.withColumn("__vv", dot(v, v)).join(broadcast_if(small, asked.withColumn("__qq", dot(q, q))))
@@ -158,9 +161,10 @@ def layered_hybrid(queries: DataFrame, parents: DataFrame, children: DataFrame,
     return of(near.withColumn("score", F.col("cos")), "vector").unionByName(of(fused, "hybrid"))
 
 
-def near_in_blocks(queries: DataFrame, rows: DataFrame, key: str, k: int, lowest: bool = False) -> DataFrame:
-    """(qid, columns of rows but vector, cos): of each Arrow batch of rows the k nearest of each query; queries are measured
-    to be small. One matrix product a batch. With lowest, also each query's least cosine in the batch, with null columns."""
+def near_in_blocks(queries: DataFrame, rows: DataFrame, key: str, k: int | None, lowest: bool = False, least: float = 0.0) -> DataFrame:
+    """(qid, columns of rows but vector, cos): of each Arrow batch of rows the k nearest (None: all) of each query of at least
+    that certainty; queries are measured to be small. One matrix product a batch. With lowest, also each query's least
+    cosine in the batch, with null columns."""
     stated = queries.select("qid", "qvec").filter(F.col("qvec").isNotNull()).toArrow()
     qid = stated["qid"].combine_chunks()
     q = np.array(stated["qvec"].to_pylist(), np.float64).reshape(len(qid), -1) if len(qid) else np.zeros((0, 0))
@@ -177,9 +181,12 @@ def near_in_blocks(queries: DataFrame, rows: DataFrame, key: str, k: int, lowest
             length = np.outer(qq, np.sqrt((v * v).sum(1)))
             cos = np.round(np.where(length > 0, q @ v.T / np.where(length > 0, length, 1), 0.0), 6)
             best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-            which = np.repeat(np.arange(len(q)), best.shape[1])
-            taken = batch.select(names).take(pa.array(best.ravel()))
-            yield pa.RecordBatch.from_arrays([qid.take(pa.array(which)), *taken.columns, pa.array(np.take_along_axis(cos, best, 1).ravel())], ["qid", *names, "cos"])
+            which, best = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
+            # in ten-millionths; a certainty is rounded to six digits, halves up
+            sure_enough = np.round(5e6 * (1 + cos[which, best])) >= np.round(1e7 * least) - 5
+            which, best = which[sure_enough], best[sure_enough]
+            taken = batch.select(names).take(pa.array(best))
+            yield pa.RecordBatch.from_arrays([qid.take(pa.array(which)), *taken.columns, pa.array(cos[which, best])], ["qid", *names, "cos"])
             if lowest:
                 yield pa.RecordBatch.from_arrays([qid, *(pa.nulls(len(qid), c.type) for c in taken.columns), pa.array(cos.min(1))], ["qid", *names, "cos"])
 
@@ -215,6 +222,9 @@ def layered(queries: DataFrame, parents: DataFrame, children: DataFrame, parent:
     parent."""
     small = fits(queries.select("qid"), BROADCAST_BYTES // (4 * k_parents))
     best = near_vector_topk(queries, parents, parent, k_parents).select("qid", parent)
-    pool = children.join(broadcast_if(small, best.select(parent).distinct()), parent, "left_semi")
-    scored = near_vectors(queries, pool, child).join(broadcast_if(small, best), ["qid", parent], "left_semi")
+    asked = queries.select("qid", "qvec")
+    # a child meets the queries of its parent only
+    pool = children.join(broadcast_if(small, best), parent).join(broadcast_if(fits(asked), asked), "qid")
+    q, v = F.col("qvec"), F.col("vector")
+    scored = pool.withColumn("cos", F.round(cosine_of(q, v, dot(q, q), dot(v, v)), 6)).drop("qvec", "vector").withColumn("certainty", sure(F.col("cos")))
     return top(scored, ["qid"], [F.desc("cos"), F.col(child)], k)

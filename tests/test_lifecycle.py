@@ -170,5 +170,8 @@ def test_nearest_in_blocks(spark):
     got = {(r["qid"], r["rank"]): r["id"] for r in search.near_vector_topk(asked, rows, "id", 3).collect()}
     assert got == {("q", 1): 0, ("q", 2): 3, ("q", 3): 9, ("z", 1): 0, ("z", 2): 1, ("z", 3): 2}
     assert search.near_vector_topk(asked.limit(0), rows, "id", 3).count() == 0
+    every = search.near_vectors(asked, rows, "id").filter("certainty >= 0.75").select("qid", "id", "cos", "certainty")
+    some = search.near_vectors(asked, rows, "id", least=0.75).select("qid", "id", "cos", "certainty")
+    assert sorted(map(tuple, every.filter("id != 5").collect())) == sorted(map(tuple, some.collect()))
     blank = spark.createDataFrame([("a", " "), ("b", None), ("c", "x")], "qid string, query string")
     assert [r["qid"] for r in search.asked(blank).collect()] == ["c"]
