@@ -136,15 +136,24 @@ def page(queries: DataFrame, rows: DataFrame, key: str, text: str, least: float
     text, vector. Of the rows whose text has like, case aside, those with enough certainty, the nearest k; blank queries
     have none. Words are looked for before vectors are compared."""
     some = asked(queries).select("qid", "qvec", F.lower("like").alias("__like"))
-    found = rows.join(broadcast_if(fits(some), some), F.contains(F.lower(text), F.col("__like")))
-    q, v = F.col("qvec"), F.col("vector")
-    scored = found.select("qid", key, F.round(cosine_of(q, v, dot(q, q), dot(v, v)), 6).alias("cos"))
+    words = some.select("qid", "__like")
+    found = rows.filter("vector IS NOT NULL").join(broadcast_if(fits(words), words), F.contains(F.lower(text), F.col("__like")))
+    scored = paired(some, found.select("qid", key, "vector"))
     scored = scored.withColumn("certainty", sure(F.col("cos"))).filter(F.col("certainty") >= least)
     best = top(scored, ["qid"], [F.desc("cos"), F.col(key)], k)
     told = F.format_string("distance %.3f, certainty %.3f", 1 - F.col("cos"), F.col("certainty"))
     return best.select("qid", key, "cos", "certainty", F.format_string("%.3f", "certainty").alias("score"), told.alias("explain"), "rank")
 
 
+def paired(queries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (qid, ..., vector) with cos, the cosine with their query, instead of vector."""
+    asked = queries.select("qid", "qvec")
+    if fits(asked):
+        return cosines(asked.filter("qvec IS NOT NULL"), pairs.join(F.broadcast(asked.filter("qvec IS NOT NULL").select("qid")), "qid", "left_semi"))
+    q, v = F.col("qvec"), F.col("vector")
+    return pairs.join(asked, "qid").withColumn("cos", F.round(cosine_of(q, v, dot(q, q), dot(v, v)), 6)).drop("qvec", "vector")
+
+
 def layered_hybrid(queries: DataFrame, parents: DataFrame, children: DataFrame, parent: str, child: str, text: str, k_parents: int = 10, k: int = 3, alpha: float = 0.25) -> DataFrame:
     """(mode, qid, parent, child, score, rank): within each query's best parents, the nearest children (mode vector) and the
     best by the fused score (mode hybrid). queries: qid, query, qvec; parents and children have vector, children also
@@ -152,9 +161,7 @@ def layered_hybrid(queries: DataFrame, parents: DataFrame, children: DataFrame,
     small = fits(queries.select("qid"), BROADCAST_BYTES // (4 * k_parents))
     best = near_vector_topk(queries, parents, parent, k_parents).select("qid", parent)
     pool = children.join(broadcast_if(small, best), parent)
-    near = pool.join(broadcast_if(fits(queries.select("qid", "qvec")), queries.select("qid", "qvec")), "qid")
-    q, v = F.col("qvec"), F.col("vector")
-    near = near.select("qid", parent, child, F.round(cosine_of(q, v, dot(q, q), dot(v, v)), 6).alias("cos"))
+    near = paired(queries, pool.filter("vector IS NOT NULL").select("qid", parent, child, "vector"))
     words = bm25(queries.select("qid", "query"), children, child, text).join(near.select("qid", child), ["qid", child], "left_semi")
     fused = fuse(near, words, child, alpha, queries).withColumn("score", F.round("score", 4)).join(near.select("qid", child, parent), ["qid", child])
     of = lambda rows, mode: top(rows.select("qid", parent, child, "score"), ["qid"], [F.desc("score"), F.col(child)], k).withColumn("mode", F.lit(mode))
