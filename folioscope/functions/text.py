@@ -32,13 +32,44 @@ def scrub(text: Column) -> Column:
     return F.translate(text, "/{}\\", "")
 
 
+# Escapes of literals and the characters that an IRI can't hold.
+ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"))
+NOT_IN_IRI = "\\ <>\"{}|^`\n\r\t"
+
+
 def literal(text: Column) -> Column:
     """A quoted literal of a triple, escaped."""
-    for raw, safe in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+    for raw, safe in ESCAPES:
         text = F.replace(text, F.lit(raw), F.lit(safe))
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 
+def unescaped(text: Column) -> Column:
+    """A literal's text as it was before literal."""
+
+    def plain(part: Column) -> Column:
+        for raw, safe in ESCAPES[1:]:
+            part = F.replace(part, F.lit(safe), F.lit(raw))
+        return part
+
+    # between two escaped backslashes, each other backslash starts an escape
+    return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
+
+
+def iri(text: Column) -> Column:
+    """An IRI in angle brackets; characters that it can't hold are written by their numbers."""
+    for c in NOT_IN_IRI:
+        text = F.replace(text, F.lit(c), F.lit(f"\\u{ord(c):04X}"))
+    return F.concat(F.lit("<"), text, F.lit(">"))
+
+
+def iri_text(text: Column) -> Column:
+    """What iri was given, from what stands between its brackets."""
+    for c in reversed(NOT_IN_IRI):
+        text = F.replace(text, F.lit(f"\\u{ord(c):04X}"), F.lit(c))
+    return text
+
+
 def longest_common(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence: one row of the table at a time, as a fold over a's characters."""
     x, y = F.split(a, ""), F.split(b, "")

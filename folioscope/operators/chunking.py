@@ -120,6 +120,24 @@ def merge_spans(spans: Column, limit: int) -> Column:
     return F.aggregate(spans, start, step, lambda s: F.when(s["now"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["now"]))))
 
 
+def semantic_spans(distances: Column, share: float = 0.95) -> Column:
+    """Structs of first and last sentence: a chunk ends where the distance to the next sentence exceeds the row's percentile of
+    distances. distances: an array with one element fewer than there are sentences."""
+    def cut(limit: Column) -> Column:
+        ends = F.filter(F.transform(distances, lambda d, i: F.when(d > limit, i)), lambda i: i.isNotNull())
+        firsts = F.concat(F.array(F.lit(0)), F.transform(ends, lambda i: i + 1))
+        lasts = F.concat(ends, F.array(F.size(distances)))
+        return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+
+    def percentile(ordered: Column) -> Column:
+        at = (F.size(ordered) - 1) * F.lit(share)
+        low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+        return F.round(low + (high - low) * (at - F.floor(at)), 9)
+
+    # as an array's one element, the percentile is found once and not for each sentence
+    return F.get(F.transform(F.array(percentile(F.array_sort(distances))), cut), F.lit(0))
+
+
 def percentile_breaks(df: DataFrame, key: str, distance: str, share: float = 0.95) -> DataFrame:
     """df with __limit, the group's percentile of the distances, and __break where a distance exceeds it."""
     limits = df.groupBy(key).agg(F.percentile(distance, F.lit(share)).alias("__limit"))

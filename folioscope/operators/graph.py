@@ -44,6 +44,6 @@ def hop(triples: DataFrame, starts: DataFrame, start: str, predicate: str, to: s
 
 def n_quads(triples: DataFrame) -> DataFrame:
     """One text column: the triples as lines; objects with a language are literals."""
-    obj = F.when(F.col("lang").isNotNull(), F.concat(X.literal(F.col("object")), F.lit("@"), F.col("lang"))).otherwise(F.concat(F.lit("<"), F.col("object"), F.lit(">")))
-    line = F.concat(F.lit("<"), "subject", F.lit("> <"), "predicate", F.lit("> "), obj, F.lit(" <"), "graph", F.lit("> ."))
+    obj = F.when(F.col("lang").isNotNull(), F.concat(X.literal(F.col("object")), F.lit("@"), F.col("lang"))).otherwise(X.iri(F.col("object")))
+    line = F.concat_ws(" ", X.iri(F.col("subject")), X.iri(F.col("predicate")), obj, X.iri(F.col("graph")), F.lit("."))
     return triples.select(line.alias("value"))

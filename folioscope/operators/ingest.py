@@ -87,6 +87,22 @@ def window_chunks(content: Column, settings: Settings, model: TokenModel = token
     return let(sentences(content, model), cut)
 
 
+def semantic_chunks(content: Column, share: float = 0.95, model: TokenModel = token_sums) -> Column:
+    """The chunks of one text, cut where neighbouring sentences are farther apart than the text's percentile: content,
+    n_sentences. A text without sentences has none."""
+
+    def described(items: Column, x: Column) -> Column:
+        size = x["last"] - x["first"] + 1
+        text = F.array_join(F.transform(F.slice(items, x["first"] + 1, size), lambda y: y["text"]), " ")
+        return F.struct(text.alias("content"), size.alias("n_sentences"))
+
+    def cut(items: Column) -> Column:
+        far = F.transform(F.slice(items, 2, F.size(items)), lambda y: F.round(1 - y["sim"], 6))
+        return F.when(F.size(items) > 0, let(chunking.semantic_spans(far, share), lambda spans: F.transform(spans, lambda x: described(items, x))))
+
+    return let(sentences(content, model), lambda items: let(with_similarity(items), cut))
+
+
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None, model: TokenModel = token_sums) -> DataFrame:
     """(key, window, chunk_order, content, n_sentences, start, stop, sums): the chunks of all documents. start and stop are
     tokens of the window; sums / (stop - start) is the chunk's vector. A null or blank text has none."""

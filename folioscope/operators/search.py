@@ -27,6 +27,16 @@ def sure(cos: Column) -> Column:
     return F.round(certainty(cos).cast("decimal(18,8)"), 6).cast("double")
 
 
+def results_page(hits: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, html): each query's hits (key, certainty, rank) as a list; names are escaped."""
+    name = F.col(key).cast("string")
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        name = F.replace(name, F.lit(raw), F.lit(safe))
+    item = F.concat(F.lit("<li>"), name, F.lit(" ("), F.format_string("%.3f", "certainty"), F.lit(")</li>"))
+    items = hits.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("x"))
+    return items.select(by, F.concat(F.lit("<ol>"), F.array_join("x.item", ""), F.lit("</ol>")).alias("html"))
+
+
 def near_vectors(queries: DataFrame, rows: DataFrame, row_key: str, least: float | None = None) -> DataFrame:
     """Rows scored for each query (columns qid, qvec); rows has vector. With least, only those of that certainty and more: of a
     small query set other pairs aren't written at all. Without it every pair is asked for, and given."""

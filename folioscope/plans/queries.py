@@ -464,7 +464,8 @@ def date_path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("year").between(1993, 1997))
 
 
-@query()
+@query(r"""WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '([.!?\n])[ ,]', '\1' || chr(1), 'g'), '[ ,]([A-ZÀ-Þ][\p{L}\p{N}_-]+( [A-ZÀ-Þ][\p{L}\p{N}_-]+)*)', 1))) AS text FROM documents)
+SELECT doc_id, text, CASE WHEN contains(text, ' ') THEN 'PER' ELSE 'LOC' END AS label FROM m""")
 def ner_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names found in each document by the default recogniser, with their kind."""
     return linking.mentions(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", models.capitalised_spans)

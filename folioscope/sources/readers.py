@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as X
+
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, year, month, date) of text files named .../{year}/{month}/{yyyy-mm-dd}.txt."""
@@ -34,7 +39,7 @@ PLACES = {
     "canton": ("graph, sub, identifier, name_de, name_fr, name_it", {"name_de": "name_de", "name_fr": "name_fr", "name_it": "name_it", "identifier": "identifier", "url": "sub"}),
     "district": ("graph, sub, identifier, name", {"name_de": "name", "identifier": "identifier", "url": "sub"}),
     "municipality": ("url, identifier, name", {"name_de": "name", "name_fr": "name", "name_it": "name", "identifier": "identifier", "url": "url"}),
-    "nation": ("country, identifier, name_de, name_fr, name_it, valid_from, wikidata", {"name_de": "name_de", "name_fr": "name_fr", "name_it": "name_it", "valid_from": "valid_from", "identifier": "identifier", "url": "country"}),
+    "nation": ("country, identifier, name_de, name_fr, name_it, validFrom, wikidata", {"name_de": "name_de", "name_fr": "name_fr", "name_it": "name_it", "valid_from": "validFrom", "identifier": "identifier", "url": "country"}),
 }
 
 
@@ -66,9 +71,12 @@ def years(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
 
 
 def gazetteer(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A places file in the places schema; type is the file's stem."""
+    """A places file in the places schema, by the names in its header, or by position if it has others; type is the file's
+    stem."""
     columns, taken = PLACES[kind]
-    rows = csv(spark, path, ", ".join(f"{c.strip()} string" for c in columns.split(",")))
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    if not set(taken.values()) <= set(rows.columns):
+        rows = csv(spark, path, ", ".join(f"{c.strip()} string" for c in columns.split(",")))
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
     return rows.select(*(F.col(v).alias(k) for k, v in taken.items()), stem.alias("type"))
 
@@ -78,11 +86,14 @@ def embedding_input(kind: Column, name: Column) -> Column:
 
 
 def n_triples(spark: SparkSession, path: str) -> DataFrame:
-    """(graph, subject, predicate, object, lang) of N-Triples or one-line Turtle files; the graph is the file's stem."""
-    line = r'^<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z-]+)|\^\^<[^>]*>)?)\s*\.'
+    """(graph, subject, predicate, object, lang) of N-Quads, N-Triples or one-line Turtle files; where a line tells no graph, it is
+    the file's stem. Literals of any length: the pattern is possessive, so that matching needs no stack."""
+    line = r'^<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]++|\\.)*+)"(?:@([A-Za-z-]+)|\^\^<[^>]*>)?)\s*(?:<([^>]*)>)?\s*\.'
     rows = spark.read.text(path).filter(F.col("value").rlike(line))
     part = lambda i: F.nullif(F.regexp_extract("value", line, i), F.lit(""))
-    return rows.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.(?:ttl|nt)$", 1).alias("graph"), part(1).alias("subject"), part(2).alias("predicate"), F.coalesce(part(3), F.regexp_extract("value", line, 4)).alias("object"), part(5).alias("lang"))
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]+)\.(?:ttl|nt)$", 1)
+    obj = F.coalesce(X.iri_text(part(3)), X.unescaped(F.regexp_extract("value", line, 4)))
+    return rows.select(F.coalesce(X.iri_text(part(6)), stem).alias("graph"), X.iri_text(part(1)).alias("subject"), X.iri_text(part(2)).alias("predicate"), obj.alias("object"), part(5).alias("lang"))
 
 
 def html_parts(html: Column) -> dict[str, Column]:
@@ -103,6 +114,44 @@ def table_rows(html: Column) -> Column:
     return F.filter(cells, lambda c: F.size(c) >= 3)
 
 
+def linked_rows(html: Column, box: str, number: str = r"/(\d+)\.json") -> Column:
+    """Rows of the table in the first element of a class, but its header: structs of the first cell's date, the number that the
+    second cell's link holds, and the third cell's signature. Rows without such a link or with fewer cells are left out."""
+    table = F.regexp_extract(html, rf"""(?s)class=["'](?:[^"']*\s)?{box}(?:\s[^"']*)?["'].*?<table[^>]*>(.*?)</table>""", 1)
+    rows = F.regexp_extract_all(table, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    plain = lambda cell: F.trim(F.regexp_replace(cell, "<[^>]*>", ""))
+
+    def described(row: Column) -> Column:
+        cells = F.regexp_extract_all(row, F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1))
+        link = F.regexp_extract(F.get(cells, F.lit(1)), r"""<a\s[^>]*href=["']([^"']*)["']""", 1)
+        return F.struct(plain(F.get(cells, F.lit(0))).alias("date"), F.regexp_extract(link, number, 1).alias("number"), plain(F.get(cells, F.lit(2))).alias("signature"))
+
+    found = F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), described)
+    return F.filter(found, lambda r: (r["number"] != "") & r["signature"].isNotNull())
+
+
+def labelled(html: Column, box: str, label: str) -> Column:
+    """The text that follows the last span of a class with this label; empty if there is none."""
+    span = rf"""(?s)<span[^>]*class=["'](?:[^"']*\s)?{box}(?:\s[^"']*)?["'][^>]*>\s*{label}\s*</span>([^<]*)"""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(span), F.lit(1))
+    return F.trim(F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit("")))
+
+
+def patient(get: Callable[[str], tuple[int, str | None]], tries: int, wait: float = 3.0) -> Callable[[str], tuple[int, str | None]]:
+    """get, asked again while it answers 503, so many times at most; any other answer stands."""
+
+    def ask(url: str) -> tuple[int, str | None]:
+        for i in range(tries):
+            status, body = get(url)
+            if status != 503:
+                break
+            if i + 1 < tries:
+                time.sleep(wait)
+        return status, body
+
+    return ask
+
+
 def fetched(urls: DataFrame, get, url: str = "url") -> DataFrame:
     """urls with status and body, by a function from a url to both; bounded retries are the function's. Failures have the
     status 0 and an error text for the dead letters."""

@@ -29,8 +29,8 @@ def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
 
 
 def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """With one header a file; appending adds files."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """With one header a file; appending adds files, which readers.csv reads as one table."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def manifest(rows: DataFrame, path: str) -> None:

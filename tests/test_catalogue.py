@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from folioscope.plans import lifecycle  # noqa: F401  adds to the catalogue
+from folioscope.plans import exchange, lifecycle  # noqa: F401  these add to the catalogue
 from folioscope.plans.queries import QUERIES, SQL
 from tests.differential import compare, connect
 
