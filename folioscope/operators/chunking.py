@@ -57,10 +57,13 @@ def greedy_numbers(items: Column, limit: int, threshold: float) -> Column:
 
 
 def greedy_chunks(df: DataFrame, key: str, order: str, count: str, sim: str, limit: int, threshold: float) -> DataFrame:
-    """(key, order, count, chunk): rows numbered by greedy_numbers within each key."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(count).alias("n"), F.col(sim).alias("sim"))))
-    grouped = df.groupBy(key).agg(items.alias("items")).withColumn("chunks", greedy_numbers(F.col("items"), limit, threshold))
-    return grouped.select(key, F.explode(F.arrays_zip("items", "chunks")).alias("x")).select(key, F.col("x.items.o").alias(order), F.col("x.items.n").alias(count), F.col("x.chunks").alias("chunk"))
+    """(key, order, count, chunk): rows numbered as by greedy_numbers within each key. The fold carries the chunk that is open, and
+    a row is numbered by the chunk that it lies in."""
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(count).cast("int").alias("n"), F.col(sim).alias("sim"), F.col(count).alias("count"))))
+    grouped = df.groupBy(key).agg(items.alias("items")).withColumn("spans", greedy_spans(F.col("items"), limit, threshold))
+    inside = lambda s: F.slice("items", s["first"] + 1, s["last"] - s["first"] + 1)
+    rows = F.flatten(F.transform("spans", lambda s, i: F.transform(inside(s), lambda x: F.struct(x["o"].alias(order), x["count"].alias(count), i.alias("chunk")))))
+    return grouped.select(key, F.explode(rows).alias("x")).select(key, "x.*")
 
 
 def merge_numbers(chunks: Column, limit: int) -> Column:

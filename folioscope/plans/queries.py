@@ -96,39 +96,40 @@ def layered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.unionByName(search.near_vector_topk(asked, rows, "vec_id").drop("certainty").withColumn("mode", F.lit("flat")))
 
 
-_SIM = "c AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (lag(embedding) OVER (PARTITION BY label ORDER BY vec_id))::DOUBLE[]), 6) AS sim FROM embeddings)"
+_SIM = "c AS (SELECT vec_id, doc, round(list_cosine_similarity(embedding::DOUBLE[], (lag(embedding) OVER (PARTITION BY doc ORDER BY vec_id))::DOUBLE[]), 6) AS sim FROM (SELECT *, vec_id // 40 AS doc FROM embeddings))"
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.consecutive_similarity(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding")
-    return rows.select("vec_id", "label", F.round("sim", 6).alias("sim"))
+    """Forty vectors in a row stand for the sentences of a document."""
+    rows = chunking.consecutive_similarity(table(spark, sf_dir, "embeddings").withColumn("doc", F.expr("vec_id div 40")), ["doc"], "vec_id", "embedding")
+    return rows.select("vec_id", "doc", F.round("sim", 6).alias("sim"))
 
 
-@query(f"WITH {_SIM} SELECT vec_id, label, sim FROM c")
+@query(f"WITH {_SIM} SELECT vec_id, doc, sim FROM c")
 def consecutive_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similar(spark, sf_dir)
 
 
-_FOLD = f"""WITH RECURSIVE {_SIM}, r AS (SELECT label, vec_id, 1 + vec_id % 40 AS n, sim, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM c),
-f AS (SELECT label, vec_id, n, i, 0 AS chunk, n AS tokens FROM r WHERE i = 1 UNION ALL
-  SELECT r.label, r.vec_id, r.n, r.i, f.chunk + (CASE WHEN f.tokens + r.n > 64 OR r.sim < 0.1 THEN 1 ELSE 0 END), CASE WHEN f.tokens + r.n > 64 OR r.sim < 0.1 THEN r.n ELSE f.tokens + r.n END FROM f JOIN r ON r.label = f.label AND r.i = f.i + 1)"""
+_FOLD = f"""WITH RECURSIVE {_SIM}, r AS (SELECT doc, vec_id, 1 + vec_id % 40 AS n, sim, row_number() OVER (PARTITION BY doc ORDER BY vec_id) AS i FROM c),
+f AS (SELECT doc, vec_id, n, i, 0 AS chunk, n AS tokens FROM r WHERE i = 1 UNION ALL
+  SELECT r.doc, r.vec_id, r.n, r.i, f.chunk + (CASE WHEN f.tokens + r.n > 64 OR r.sim < 0.1 THEN 1 ELSE 0 END), CASE WHEN f.tokens + r.n > 64 OR r.sim < 0.1 THEN r.n ELSE f.tokens + r.n END FROM f JOIN r ON r.doc = f.doc AND r.i = f.i + 1)"""
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.greedy_chunks(_similar(spark, sf_dir).withColumn("n", 1 + F.col("vec_id") % 40), "label", "vec_id", "n", "sim", 64, 0.1)
+    return chunking.greedy_chunks(_similar(spark, sf_dir).withColumn("n", 1 + F.col("vec_id") % 40), "doc", "vec_id", "n", "sim", 64, 0.1)
 
 
-@query(f"{_FOLD} SELECT label, vec_id, n, chunk::INT AS chunk FROM f")
+@query(f"{_FOLD} SELECT doc, vec_id, n, chunk::INT AS chunk FROM f")
 def semantic_chunk_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folded(spark, sf_dir)
 
 
-@query(f"""{_FOLD}, k AS (SELECT label, chunk, sum(n) AS n, count(*) AS size, row_number() OVER (PARTITION BY label ORDER BY chunk) AS i FROM f GROUP BY label, chunk),
-m AS (SELECT label, chunk, n, size, i, 0 AS merged, n AS tokens FROM k WHERE i = 1 UNION ALL
-  SELECT k.label, k.chunk, k.n, k.size, k.i, m.merged + (CASE WHEN k.size = 1 AND m.tokens + k.n <= 96 THEN 0 ELSE 1 END), CASE WHEN k.size = 1 AND m.tokens + k.n <= 96 THEN m.tokens + k.n ELSE k.n END FROM m JOIN k ON k.label = m.label AND k.i = m.i + 1)
-SELECT label, merged::INT AS merged, sum(n)::BIGINT AS n_tokens, sum(size)::BIGINT AS n_sentences, min(chunk)::INT AS first_chunk FROM m GROUP BY label, merged""")
+@query(f"""{_FOLD}, k AS (SELECT doc, chunk, sum(n) AS n, count(*) AS size, row_number() OVER (PARTITION BY doc ORDER BY chunk) AS i FROM f GROUP BY doc, chunk),
+m AS (SELECT doc, chunk, n, size, i, 0 AS merged, n AS tokens FROM k WHERE i = 1 UNION ALL
+  SELECT k.doc, k.chunk, k.n, k.size, k.i, m.merged + (CASE WHEN k.size = 1 AND m.tokens + k.n <= 96 THEN 0 ELSE 1 END), CASE WHEN k.size = 1 AND m.tokens + k.n <= 96 THEN m.tokens + k.n ELSE k.n END FROM m JOIN k ON k.doc = m.doc AND k.i = m.i + 1)
+SELECT doc, merged::INT AS merged, sum(n)::BIGINT AS n_tokens, sum(size)::BIGINT AS n_sentences, min(chunk)::INT AS first_chunk FROM m GROUP BY doc, merged""")
 def singleton_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.merged_chunks(_folded(spark, sf_dir), "label", "n", 96)
+    return chunking.merged_chunks(_folded(spark, sf_dir), "doc", "n", 96)
 
 
 @query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\r\f]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x != '') AS l FROM documents),
@@ -153,10 +154,10 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fixed_chunks(words, "w").select("doc_id", "k", "start", "stop", F.md5("content").alias("content_md5"))
 
 
-@query(f"WITH {_SIM}, d AS (SELECT *, round(1 - sim, 6) AS distance FROM c) SELECT vec_id, label, distance, coalesce(distance > quantile_cont(distance, 0.95) OVER (PARTITION BY label), false) AS breaks FROM d")
+@query(f"WITH {_SIM}, d AS (SELECT *, round(1 - sim, 6) AS distance FROM c) SELECT vec_id, doc, distance, coalesce(distance > quantile_cont(distance, 0.95) OVER (PARTITION BY doc), false) AS breaks FROM d")
 def percentile_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _similar(spark, sf_dir).withColumn("distance", F.round(1 - F.col("sim"), 6))
-    return chunking.percentile_breaks(rows, "label", "distance").select("vec_id", "label", "distance", F.col("__break").alias("breaks"))
+    return chunking.percentile_breaks(rows, "doc", "distance").select("vec_id", "doc", "distance", F.col("__break").alias("breaks"))
 
 
 _BM25 = f"""d AS MATERIALIZED (SELECT doc_id, {_TERMS.format('text')} AS w FROM documents),
