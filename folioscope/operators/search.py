@@ -147,7 +147,9 @@ def page(queries: DataFrame, rows: DataFrame, key: str, text: str, least: float
     have none. Words are looked for before vectors are compared."""
     some = asked(queries).select("qid", "qvec", F.lower("like").alias("__like"))
     words = some.select("qid", "__like")
-    found = rows.filter("vector IS NOT NULL").join(broadcast_if(fits(words), words), F.contains(F.lower(text), F.col("__like")))
+    # case is taken away once a row, not once a pair
+    lower = rows.filter("vector IS NOT NULL").select(key, "vector", F.lower(text).alias("__text"))
+    found = lower.join(broadcast_if(fits(words), words), F.contains("__text", F.col("__like")))
     scored = paired(some, found.select("qid", key, "vector"))
     scored = scored.withColumn("certainty", sure(F.col("cos"))).filter(F.col("certainty") >= least)
     best = top(scored, ["qid"], [F.desc("cos"), F.col(key)], k)
@@ -171,8 +173,9 @@ def layered_hybrid(queries: DataFrame, parents: DataFrame, children: DataFrame,
     small = fits(queries.select("qid"), BROADCAST_BYTES // (4 * k_parents))
     best = near_vector_topk(queries, parents, parent, k_parents).select("qid", parent)
     pool = children.join(broadcast_if(small, best), parent)
-    near = paired(queries, pool.filter("vector IS NOT NULL").select("qid", parent, child, "vector"))
-    words = bm25(queries.select("qid", "query"), children, child, text).join(near.select("qid", child), ["qid", child], "left_semi")
+    # both are used several times, and have rows of the best parents only
+    near = paired(queries, pool.filter("vector IS NOT NULL").select("qid", parent, child, "vector")).persist()
+    words = bm25(queries.select("qid", "query"), children, child, text).join(near.select("qid", child), ["qid", child], "left_semi").persist()
     fused = fuse(near, words, child, alpha, queries).withColumn("score", F.round("score", 4)).join(near.select("qid", child, parent), ["qid", child])
     of = lambda rows, mode: top(rows.select("qid", parent, child, "score"), ["qid"], [F.desc("score"), F.col(child)], k).withColumn("mode", F.lit(mode))
     return of(near.withColumn("score", F.col("cos")), "vector").unionByName(of(fused, "hybrid"))
