@@ -508,6 +508,25 @@ def test_toxicity_held_out(spark):
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.7)).all()
 
 
+LARGER = "/root/testdata/sf0.01"
+
+
+def test_toxicity_accuracy_on_held_out_labels(spark):
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").filter("toxic IS NOT NULL").select("doc_id", "toxic")
+    got = toxicity.op10_toxicity(spark, LARGER).filter("held_out").join(labels, "doc_id").toPandas()
+    bad, found = got.toxic == 1, got.predicted == 1
+    assert bad.sum() > 10
+    assert (bad & found).sum() >= 0.7 * bad.sum() and (bad & found).sum() >= 0.9 * found.sum()
+    worse = got.score[bad].to_numpy()[:, None] - got.score[~bad].to_numpy()
+    assert (worse > 0).mean() + (worse == 0).mean() / 2 >= 0.85
+
+
+def test_language_accuracy_on_held_out_rows(spark):
+    known = spark.read.parquet(f"{LARGER}/documents.parquet").filter("lang IS NOT NULL AND text RLIKE '[a-z]'").select("doc_id", "lang")
+    got = language_id.op9_language_id(spark, LARGER).filter("held_out").join(known, "doc_id").toPandas()
+    assert len(got) > 200 and (got.lang == got.lang_pred).mean() >= 0.98
+
+
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "yo"), (0, 2, "user", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "b"), (1, 3, "assistant", "end"), (2, 0, None, None), (3, 0, "", ""), (4, None, "user", "alone"), (None, 0, "user", "lost"), (0, 0, "user", "hi")]
     got = chat_formatting.preference_segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(1))).collect()
