@@ -106,7 +106,7 @@ def semantic_chunks(content: Column, share: float = 0.95, model: TokenModel = to
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None, model: TokenModel = token_sums) -> DataFrame:
     """(key, window, chunk_order, content, n_sentences, start, stop, sums): the chunks of all documents. start and stop are
     tokens of the window; sums / (stop - start) is the chunk's vector. A null or blank text has none."""
-    settings = settings or Settings()
+    settings = settings or Settings.from_environment()
     each = windows(docs, key, text, settings).select(key, "window", F.posexplode(window_chunks(F.col("content"), settings, model)).alias("i", "x"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("window", "i")) - 1
     return each.select(key, "window", number.alias("chunk_order"), "x.*")
@@ -114,7 +114,7 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: S
 
 def document_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None, model: TokenModel = token_sums) -> DataFrame:
     """(key, dim, mean): the mean of the tokens' vectors; of a document with several windows the mean of the windows' means."""
-    each = windows(docs, key, text, settings or Settings()).select(key, "tokens", model(X.tokens(F.col("content"))).alias("v"))
+    each = windows(docs, key, text, settings or Settings.from_environment()).select(key, "tokens", model(X.tokens(F.col("content"))).alias("v"))
     means = each.select(key, F.transform("v", lambda x: x / F.col("tokens")).alias("v"))
     return V.mean_vectors(means, [key], "v")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 from folioscope.operators import chunking, ingest
+from folioscope.session import Settings
 from folioscope.sources import readers, sinks
 
 AWKWARD = ["", "\\", '\\"', 'a\\nb"\n\r\\\\', "\\\\\\", "x" * 200_000 + '"\\', "\\u0020 <é>", "{}|^`\t"]
@@ -61,3 +62,13 @@ def test_semantic_spans(spark, distances, want):
 def test_semantic_chunks_of_no_text(spark):
     rows = spark.createDataFrame([(None,), ("",), ("  ",), ("One.",)], "t string")
     assert [len(r["x"] or []) for r in rows.select(ingest.semantic_chunks(F.col("t")).alias("x")).collect()] == [0, 0, 0, 1]
+
+
+def test_settings_come_from_the_environment(spark, monkeypatch):
+    docs = spark.createDataFrame([("1", "One two. Three four. Five six.")], "doc_id string, text string")
+    monkeypatch.setenv("FOLIOSCOPE_CHUNK_LIMIT", "2")
+    monkeypatch.setenv("FOLIOSCOPE_SIMILARITY", "-1")
+    assert Settings.from_environment().chunk_limit == 2 and Settings.from_environment().similarity == -1.0
+    assert ingest.chunks(docs).count() == 3
+    monkeypatch.setenv("FOLIOSCOPE_CHUNK_LIMIT", "4")
+    assert [r["content"] for r in ingest.chunks(docs).orderBy("chunk_order").collect()] == ["One two. Three four.", "Five six."]
