@@ -4,16 +4,18 @@ meet it in blocks, one pair of partitions a task, or by a shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 from folioscope.functions.vector import certainty, cosine_of, dot
+from folioscope.operators import kernels as K
 from folioscope.operators.sizes import BROADCAST_BYTES, broadcast_if, fits
 
 
@@ -22,6 +24,14 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded as SQL does: its product with a power of ten, halves away from zero. Spark's round goes by the shortest
+    decimal, and so takes 0.79485 elsewhere."""
+    y = F.abs(x * 10.0**digits)
+    value = (F.floor(y) + F.when(y - F.floor(y) >= 0.5, 1).otherwise(0)) / F.lit(10.0**digits)
+    return F.when(x < 0, -value).otherwise(value)
+
+
 def sure(cos: Column) -> Column:
     """The certainty of a cosine of six digits, to six digits: rounded as a decimal, so that halves go up."""
     return F.round(certainty(cos).cast("decimal(18,8)"), 6).cast("double")
@@ -46,7 +56,7 @@ def near_vectors(queries: DataFrame, rows: DataFrame, row_key: str, least: float
     small, q, v = fits(asked), F.col("qvec"), F.col("vector")
     # squares are taken once a vector, not once a pair
     both = rows.withColumn("__vv", dot(v, v)).join(broadcast_if(small, asked.withColumn("__qq", dot(q, q))))
-    scored = both.withColumn("cos", F.round(cosine_of(q, v, F.col("__qq"), F.col("__vv")), 6)).drop("qvec", "vector", "__qq", "__vv")
+    scored = both.withColumn("cos", rounded(cosine_of(q, v, F.col("__qq"), F.col("__vv")), 6)).drop("qvec", "vector", "__qq", "__vv")
     scored = scored.withColumn("certainty", sure(F.col("cos")))
     return scored if least is None else scored.filter(F.col("certainty") >= least)
 
@@ -83,6 +93,65 @@ def hybrid_topk(queries: DataFrame, rows: DataFrame, key: str, text: str, k: int
     return top(both.select("qid", key, score.alias("score")), ["qid"], [F.desc("score"), F.col(key)], k)
 
 
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    found = column.combine_chunks()
+    return found if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks)
+
+
+def vocabulary(queries: DataFrame) -> K.Words:
+    """The terms of queries (qid, query) that are measured to be small."""
+    asked = queries.select("qid", X.terms(F.col("query")).alias("w")).toArrow()
+    return K.words_of(_flat(asked["qid"]), asked["w"].to_pylist())
+
+
+def indexed(docs: DataFrame, key: str, text: str, words: K.Words, other: list[str], k1: float = 1.2, b: float = 0.75, kept: bool = False, repeats: bool | None = None) -> tuple[DataFrame, K.Bm25]:
+    """(key, other, n, ids, tfs, lens): documents with their length and the postings of the terms in words, and what weighs them by
+    the statistics of all documents. Nothing but counts is shuffled, unless documents share a key: their postings are brought
+    together as those of one, with the lengths of their texts in lens. kept: on disk, for several uses. repeats: whether documents share a key, if
+    that is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *K.postings(batch.column(batch.num_columns - 1), words)], [*batch.schema.names[:-1], "n", "ids", "tfs"])
+
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (key, *other)), "n int, ids array<int>, tfs array<int>"])
+    each = docs.select(key, *other, X.terms(F.col(text)).alias("w")).mapInArrow(run, schema)
+    if kept:
+        each = each.persist(StorageLevel.DISK_ONLY)
+    twice = docs.groupBy(F.col(key).alias("__key")).count().filter("count > 1").select("__key")
+    none = F.lit(None).cast("array<int>")
+    single, groups = each, None
+    if repeats or (repeats is None and twice.head(1)):
+        shared = broadcast_if(fits(twice), twice)
+        same = F.col(key).eqNullSafe(F.col("__key"))
+        single, several = each.join(shared, same, "left_anti"), each.join(shared, same, "left_semi")
+        groups = several.select(F.col(key).alias("__key"), "n", F.explode(F.arrays_zip("ids", "tfs")).alias("x")).groupBy("__key", "n", F.col("x.ids").alias("id")).agg(F.sum("x.tfs").cast("int").alias("tf"))
+        sizes = several.select(F.explode(F.array(F.struct(F.lit(-2).alias("id"), F.lit(1).cast("long").alias("n")), F.struct(F.lit(-1).alias("id"), F.col("n").cast("long").alias("n")))).alias("x")).select("x.id", "x.n")
+    rows = single.withColumn("lens", none)
+    if groups is not None:
+        listed = groups.groupBy("__key").agg(F.collect_list(F.struct("id", "tf", "n")).alias("x")).select("__key", F.col("x.id").alias("ids"), F.col("x.tf").alias("tfs"), F.col("x.n").alias("lens"))
+        # without other columns, documents of one key are one row
+        several = several.select(key, *other, "n") if other else several.groupBy(key).agg(F.max("n").alias("n"))
+        rows = rows.unionByName(several.join(listed, same, "left").select(key, *other, "n", "ids", "tfs", "lens"))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(words.terms), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            df += np.bincount(batch.column(1).flatten().to_numpy(zero_copy_only=False), minlength=len(df))[: len(df)]
+            n += (batch.num_rows, pc.sum(batch.column(0)).as_py() or 0)
+        used = np.concatenate(([0, 1], 2 + np.flatnonzero(df)))
+        yield pa.RecordBatch.from_arrays([pa.array(used - 2, pa.int32()), pa.array(np.concatenate((n, df))[used])], ["id", "n"])
+
+    found = single.select("n", "ids").mapInArrow(counts, "id int, n long")
+    if groups is not None:
+        found = found.unionByName(groups.groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+        found = found.unionByName(sizes)
+    sums = {r["id"]: r["n"] for r in found.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    df, total = np.array([sums.get(i, 0) for i in range(len(words.terms))], np.float64), sums.get(-2) or 0
+    return rows, K.Bm25(np.log(1 + (total - df + 0.5) / (df + 0.5)), (sums.get(-1) or 0) / total if total else 1.0, k1, b)
+
+
 def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
     """(key, term, tf, length): an inverted index with the documents' lengths; of the terms in only, if it is given."""
     words = docs.select(key, X.terms(F.col(text)).alias("w"))
@@ -92,18 +161,33 @@ def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None
     return each.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, key: str, text: str, k1: float = 1.2, b: float = 0.75, pairs: DataFrame | None = None, repeats: bool | None = None) -> DataFrame:
     """(qid, key, bm25) for documents with a term of the query (columns qid, query). Other terms than the queries' are gone
-    before anything is counted or shuffled; corpus statistics are of all documents."""
+    before anything is counted or shuffled; corpus statistics are of all documents. pairs (qid, key, text), if given, are the
+    only ones that are scored, and of other documents nothing is shuffled but counts of terms. repeats: whether documents
+    share a key, if that is known; texts are then looked for in docs again."""
     asked = queries.select("qid", F.explode(F.array_distinct(X.terms(F.col("query")))).alias("term"))
     small = fits(asked)
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
+    if pairs is not None and small:
+        words = vocabulary(queries)
+        _, model = indexed(docs, key, text, words, [], k1, b, repeats=repeats)
+        known = docs.sparkSession.createDataFrame(pa.table({"term": words.terms, "idf": model.idf}), "term string, idf double")
+        weights = asked.join(F.broadcast(known), "term").withColumn("avgdl", F.lit(float(model.avgdl)))
+        texts = pairs.select(key, text).dropDuplicates([key])
+        if repeats is not False:
+            names = texts.select(key)
+            texts = docs.join(broadcast_if(fits(names), names), key, "left_semi")
+        used = postings(texts, key, text, F.broadcast(known.select("term")))
+        met = used.join(pairs.select("qid", key).distinct(), key).join(F.broadcast(weights), ["qid", "term"])
+        return met.groupBy("qid", key).agg(rounded(F.sum(part), 6).alias("bm25"))
     used = postings(docs, key, text, broadcast_if(small, asked.select("term").distinct()))
     stats = docs.select(F.size(X.terms(F.col(text))).alias("n")).agg(F.count(F.lit(1)).alias("N"), F.avg("n").alias("avgdl"))
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "term").join(F.broadcast(stats)).withColumn("idf", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
     # weights has no more rows than asked, stats has one
-    return used.join(broadcast_if(small, weights.drop("df", "N")), "term").groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("bm25"))
+    found = used.join(broadcast_if(small, weights.drop("df", "N")), "term").groupBy("qid", key).agg(rounded(F.sum(part), 6).alias("bm25"))
+    return found if pairs is None else found.join(pairs.select("qid", key), ["qid", key], "left_semi")
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, key: str, alpha: float = 0.25, queries: DataFrame | None = None) -> DataFrame:
@@ -118,7 +202,7 @@ def fuse(vector: DataFrame, keyword: DataFrame, key: str, alpha: float = 0.25, q
         return df.join(broadcast_if(small, bounds), "qid").select("qid", key, value.alias(c))
 
     both = scaled(vector, "cos").join(scaled(keyword, "bm25"), ["qid", key], "full")
-    return both.select("qid", key, F.round(alpha * F.coalesce("cos", F.lit(0.0)) + (1 - alpha) * F.coalesce("bm25", F.lit(0.0)), 6).alias("score"))
+    return both.select("qid", key, rounded(alpha * F.coalesce("cos", F.lit(0.0)) + (1 - alpha) * F.coalesce("bm25", F.lit(0.0)), 6).alias("score"))
 
 
 def keyword(docs: DataFrame, text: str, words: str) -> DataFrame:
@@ -158,29 +242,39 @@ def page(queries: DataFrame, rows: DataFrame, key: str, text: str, least: float
 
 
 def paired(queries: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (qid, ..., vector) with cos, the cosine with their query, instead of vector."""
+    """pairs (qid, ..., vector) with cos, the cosine with their query, instead of vector; none without a vector."""
     asked = queries.select("qid", "qvec")
     if fits(asked):
         return cosines(asked.filter("qvec IS NOT NULL"), pairs.join(F.broadcast(asked.filter("qvec IS NOT NULL").select("qid")), "qid", "left_semi"))
     q, v = F.col("qvec"), F.col("vector")
-    return pairs.join(asked, "qid").withColumn("cos", F.round(cosine_of(q, v, dot(q, q), dot(v, v)), 6)).drop("qvec", "vector")
+    return pairs.filter("vector IS NOT NULL").join(asked, "qid").withColumn("cos", rounded(cosine_of(q, v, dot(q, q), dot(v, v)), 6)).drop("qvec", "vector")
 
 
-def layered_hybrid(queries: DataFrame, parents: DataFrame, children: DataFrame, parent: str, child: str, text: str, k_parents: int = 10, k: int = 3, alpha: float = 0.25) -> DataFrame:
+def layered_hybrid(queries: DataFrame, parents: DataFrame, children: DataFrame, parent: str, child: str, text: str, k_parents: int = 10, k: int = 3, alpha: float = 0.25, embed: Callable[[Column], Column] | None = None, repeats: bool | None = None) -> DataFrame:
     """(mode, qid, parent, child, score, rank): within each query's best parents, the nearest children (mode vector) and the
     best by the fused score (mode hybrid). queries: qid, query, qvec; parents and children have vector, children also
-    parent and text. Children are filtered before they are scored; BM25's statistics are those of all children."""
+    parent and text. Children are filtered before they are scored, and before embed, if it is given, makes their vectors of
+    their text; BM25's statistics are those of all children. repeats: whether children share a name, if that is known."""
     small = fits(queries.select("qid"), BROADCAST_BYTES // (4 * k_parents))
     best = near_vector_topk(queries, parents, parent, k_parents).select("qid", parent)
     pool = children.join(broadcast_if(small, best), parent)
+    pool = pool.withColumn("vector", embed(F.col(text))) if embed else pool
     # both are used several times, and have rows of the best parents only
-    near = paired(queries, pool.filter("vector IS NOT NULL").select("qid", parent, child, "vector")).persist()
-    words = bm25(queries.select("qid", "query"), children, child, text).join(near.select("qid", child), ["qid", child], "left_semi").persist()
-    fused = fuse(near, words, child, alpha, queries).withColumn("score", F.round("score", 4)).join(near.select("qid", child, parent), ["qid", child])
+    met = paired(queries, pool.select("qid", parent, child, text, "vector")).persist()
+    near = met.drop(text)
+    words = bm25(queries.select("qid", "query"), children.select(child, text), child, text, pairs=met.select("qid", child, text), repeats=repeats).persist()
+    fused = fuse(near, words, child, alpha, queries).withColumn("score", rounded(F.col("score"), 4)).join(near.select("qid", child, parent), ["qid", child])
     of = lambda rows, mode: top(rows.select("qid", parent, child, "score"), ["qid"], [F.desc("score"), F.col(child)], k).withColumn("mode", F.lit(mode))
     return of(near.withColumn("score", F.col("cos")), "vector").unionByName(of(fused, "hybrid"))
 
 
+def stated(queries: DataFrame) -> tuple[pa.Array, np.ndarray]:
+    """The names and vectors of queries that are measured to be small; those without a vector are left out."""
+    rows = queries.select("qid", "qvec").filter(F.col("qvec").isNotNull()).toArrow()
+    qid = rows["qid"].combine_chunks()
+    return qid, np.array(rows["qvec"].to_pylist(), np.float64).reshape(len(qid), -1) if len(qid) else np.zeros((0, 0))
+
+
 def near_in_blocks(queries: DataFrame, rows: DataFrame, key: str, k: int | None, lowest: bool = False, least: float = 0.0) -> DataFrame:
     """(qid, columns of rows but vector, cos): of each Arrow batch of rows the k nearest (None: all) of each query of at least
     that certainty; queries are measured to be small. One matrix product a batch. With lowest, also each query's least
@@ -217,23 +311,22 @@ def near_in_blocks(queries: DataFrame, rows: DataFrame, key: str, k: int | None,
 
 def cosines(queries: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (qid, ..., vector) with cos instead of vector; queries are measured to be small."""
-    stated = queries.select("qid", "qvec").toArrow()
-    of = {x: i for i, x in enumerate(stated["qid"].to_pylist())}
-    q = np.array(stated["qvec"].to_pylist(), np.float64).reshape(len(of), -1) if of else np.zeros((0, 0))
-    names = [c for c in pairs.columns if c != "vector"]
+    qid, q = stated(queries)
+    of = {x: i for i, x in enumerate(qid.to_pylist())}
+    names = ["qid", *(c for c in pairs.columns if c not in ("qid", "vector"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(len(names)).is_valid())
             if batch.num_rows:
                 at = batch.column(0).dictionary_encode()
                 a = q[np.array([of[x] for x in at.dictionary.to_pylist()])[at.indices.to_numpy()]]
-                v = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                length = np.sqrt((a * a).sum(1) * (v * v).sum(1))
-                cos = np.round(np.where(length > 0, (a * v).sum(1) / np.where(length > 0, length, 1), 0.0), 6)
+                v = K.matrix(batch.column(len(names)), batch.num_rows)
+                length = np.sqrt(K.squares(a) * K.squares(v))
+                cos = K.rounded(np.divide((a * v).sum(1), length, out=np.zeros_like(length), where=length > 0), 6)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cos)], [*names, "cos"])
 
     kinds = dict(pairs.dtypes)
-    names = ["qid", *(c for c in names if c != "qid")]
     return pairs.select(*names, "vector").mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "cos double"]))
 
 

@@ -112,12 +112,16 @@ SELECT mode, qid, doc_id, part, score, row_number() OVER (PARTITION BY mode, qid
 def layered_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-level search: the ten nearest documents, and in them the three best parts by vector and by both scores."""
     docs = table(spark, sf_dir, "documents")
-    words = docs.select("doc_id", X.tokens(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    # a text with a word; the words themselves are found once
+    words = docs.filter(F.col("text").rlike(r"[^ \t\n\r\f]")).select("doc_id", X.tokens(F.col("text")).alias("w"))
     parts = words.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.size("w") / 64).cast("int") - 1), lambda k: F.array_join(F.slice("w", k * 64 + 1, F.lit(64)), " "))).alias("k", "text"))
     name = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.lpad(F.col("k").cast("string"), 6, "0"))
-    parts = parts.select("doc_id", name.alias("part"), "text", V.hashed(X.terms(F.col("text"))).alias("vector"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), V.hashed(X.terms(F.col("text"))).alias("qvec"))
-    return search.layered_hybrid(asked, docs.select("doc_id", V.hashed(X.terms(F.col("text"))).alias("vector")), parts, "doc_id", "part", "text")
+    parts = parts.select("doc_id", name.alias("part"), "text")
+    # parts of documents that share an id, or have none, share names
+    repeats = bool(docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").head(1))
+    vector = lambda text: V.hashed(X.terms(text))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), vector(F.col("text")).alias("qvec"))
+    return search.layered_hybrid(asked, docs.select("doc_id", vector(F.col("text")).alias("vector")), parts, "doc_id", "part", "text", embed=vector, repeats=repeats)
 
 
 _KIND = "(CASE {0} % 3 WHEN 0 THEN 'PER' WHEN 1 THEN 'ORG' ELSE 'LOC' END)"
