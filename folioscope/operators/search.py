@@ -37,6 +37,12 @@ def sure(cos: Column) -> Column:
     return F.round(certainty(cos).cast("decimal(18,8)"), 6).cast("double")
 
 
+def fixed(number: Column) -> Column:
+    """A number to three digits as C prints it: by its exact binary value. Java's format goes by the shortest decimal instead, and
+    so takes halves such as 0.0045 elsewhere."""
+    return F.when(number.isNotNull(), F.pandas_udf(lambda x: x.map("{:.3f}".format), "string")(number))
+
+
 def results_page(hits: DataFrame, by: str, key: str) -> DataFrame:
     """(by, html): each query's hits (key, certainty, rank) as a list; names are escaped."""
     name = F.col(key).cast("string")
@@ -232,13 +238,13 @@ def page(queries: DataFrame, rows: DataFrame, key: str, text: str, least: float
     some = asked(queries).select("qid", "qvec", F.lower("like").alias("__like"))
     words = some.select("qid", "__like")
     # case is taken away once a row, not once a pair
-    lower = rows.filter("vector IS NOT NULL").select(key, "vector", F.lower(text).alias("__text"))
+    lower = rows.select(key, "vector", F.lower(text).alias("__text"))
     found = lower.join(broadcast_if(fits(words), words), F.contains("__text", F.col("__like")))
     scored = paired(some, found.select("qid", key, "vector"))
     scored = scored.withColumn("certainty", sure(F.col("cos"))).filter(F.col("certainty") >= least)
     best = top(scored, ["qid"], [F.desc("cos"), F.col(key)], k)
-    told = F.format_string("distance %.3f, certainty %.3f", 1 - F.col("cos"), F.col("certainty"))
-    return best.select("qid", key, "cos", "certainty", F.format_string("%.3f", "certainty").alias("score"), told.alias("explain"), "rank")
+    told = F.concat(F.lit("distance "), fixed(1 - F.col("cos")), F.lit(", certainty "), fixed(F.col("certainty")))
+    return best.select("qid", key, "cos", "certainty", fixed(F.col("certainty")).alias("score"), told.alias("explain"), "rank")
 
 
 def paired(queries: DataFrame, pairs: DataFrame) -> DataFrame:
