@@ -48,7 +48,7 @@ def results_page(hits: DataFrame, by: str, key: str) -> DataFrame:
     name = F.col(key).cast("string")
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         name = F.replace(name, F.lit(raw), F.lit(safe))
-    item = F.concat(F.lit("<li>"), name, F.lit(" ("), F.format_string("%.3f", "certainty"), F.lit(")</li>"))
+    item = F.concat(F.lit("<li>"), name, F.lit(" ("), fixed(F.col("certainty")), F.lit(")</li>"))
     items = hits.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("item")))).alias("x"))
     return items.select(by, F.concat(F.lit("<ol>"), F.array_join("x.item", ""), F.lit("</ol>")).alias("html"))
 
