@@ -82,21 +82,54 @@ def hybrid_topk(queries: DataFrame, rows: DataFrame, key: str, text: str, k: int
     """(qid, key, score, rank): the best rows by the fused score. queries: qid, query, qvec (measured to be small); rows: key,
     text, vector.
 
-    Not every pair is written: one pass over batches finds each query's cosine bounds and its k nearest rows. A row without
-    a term of the query has the score of its cosine alone, which is no more than that of any row nearer, so it can be
-    among the best only if it is one of these. The others come from the inverted index, and get their cosines there."""
-    words = bm25(queries.select("qid", "query"), rows.select(key, text), key, text).persist()
-    near = near_in_blocks(queries, rows.select(key, "vector"), key, k, lowest=True).persist()
-    bounds = near.groupBy("qid").agg(F.min("cos").alias("lo"), F.max("cos").alias("hi"))
-    limits = words.groupBy("qid").agg(F.min("bm25").alias("lo_b"), F.max("bm25").alias("hi_b"))
-    best = top(near.filter(F.col(key).isNotNull()), ["qid"], [F.desc("cos"), F.col(key)], k).select("qid", key, "cos")
-    other = best.join(words.select("qid", key), ["qid", key], "left_anti").withColumn("bm25", F.lit(None).cast("double"))
-    met = cosines(queries, words.join(rows.select(key, "vector"), key).select("qid", key, "bm25", "vector"))
-    # a row for each query, of which there are few
-    both = met.unionByName(other).join(F.broadcast(bounds), "qid").join(F.broadcast(limits), "qid", "left")
-    scaled = lambda c, lo, hi: F.when(F.col(c).isNull(), 0.0).when(F.col(hi) > F.col(lo), (F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(1.0)
-    score = F.round(F.round(alpha * scaled("cos", "lo", "hi") + (1 - alpha) * scaled("bm25", "lo_b", "hi_b"), 6), 4)
-    return top(both.select("qid", key, score.alias("score")), ["qid"], [F.desc("score"), F.col(key)], k)
+    No pair is written: texts are read once, into the postings of the queries' terms, which are kept on disk; from these a
+    task finds each query's bounds, and then its k best rows by both scores."""
+    asked = queries.select("qid", "qvec", X.terms(F.col("query")).alias("w")).toArrow().combine_chunks()
+    words, size = K.words_of(_flat(asked["qid"]), asked["w"].to_pylist()), max((len(x) for x in asked["qvec"].to_pylist() if x is not None), default=0)
+    q = np.array([[np.nan] * size if x is None else x for x in asked["qvec"].to_pylist()], np.float64).reshape(len(words.qid), size)
+    index, model = indexed(rows, key, text, words, ["vector"], kept=True)
+    names = [key, "vector", "n", "ids", "tfs", "lens"]
+
+    def scored(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """From which row on, and (queries, rows) of cosines and of keyword scores; NaN without one."""
+        valid = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        v = np.full((batch.num_rows, size), np.nan)
+        if valid.any():
+            v[valid] = K.matrix(batch.column(1).filter(pa.array(valid)), valid.sum())
+        none = np.isnan(q).any(1)
+        for at, to, found in K.keyword_scores(batch.num_rows, *model.weights(*(batch.column(i) for i in range(2, 6))), words):
+            cos = K.cosines(q, v[at:to])
+            cos[none], cos[:, ~valid[at:to]] = np.nan, np.nan
+            yield at, cos, np.where(np.isfinite(found), found, np.nan).T
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.full((2, len(q)), np.inf), np.full((2, len(q)), -np.inf)
+        for batch in batches:
+            for _, *both in scored(batch):
+                for i, x in enumerate(both):
+                    low[i], high[i] = np.fmin(low[i], np.fmin.reduce(x, axis=1)), np.fmax(high[i], np.fmax.reduce(x, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.arange(len(q), dtype=np.int32), *low, *high)], ["q", "a", "b", "c", "d"])
+
+    found = index.select(*names).mapInArrow(bounds, "q int, a double, b double, c double, d double").groupBy("q").agg(F.min("a"), F.min("b"), F.max("c"), F.max("d")).collect()
+    limits = np.array([tuple(r)[1:] for r in sorted(found)], np.float64).reshape(len(found), 4)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = K.Best(k, len(q))
+        for batch in batches:
+            batch = K.ordered(batch.filter(batch.column(0).is_valid()), key)
+            for at, *both in scored(batch):
+                total = np.zeros(both[0].shape)
+                for i, (x, share) in enumerate(zip(both, (alpha, 1 - alpha), strict=True)):
+                    low, high = limits[:, i, None], limits[:, i + 2, None]
+                    value = np.divide(x - low, high - low, out=np.ones_like(x), where=high > low)
+                    total += share * np.where(np.isnan(x), 0.0, value)
+                total = np.where(np.isnan(both[0]) & np.isnan(both[1]), -np.inf, K.rounded(total, 4))
+                which, place = K.best_cells(total, k)
+                kept.add(which, batch.select([key]).take(pa.array(at + place)), total[which, place])
+        yield from kept.rows(words.qid, "score")
+
+    nearest = index.select(*names).mapInArrow(best, f"qid {dict(queries.dtypes)['qid']}, `{key}` {dict(rows.dtypes)[key]}, score double")
+    return top(nearest, ["qid"], [F.desc("score"), F.col(key)], k)
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
