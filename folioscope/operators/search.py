@@ -314,34 +314,59 @@ def stated(queries: DataFrame) -> tuple[pa.Array, np.ndarray]:
     return qid, np.array(rows["qvec"].to_pylist(), np.float64).reshape(len(qid), -1) if len(qid) else np.zeros((0, 0))
 
 
-def near_in_blocks(queries: DataFrame, rows: DataFrame, key: str, k: int | None, lowest: bool = False, least: float = 0.0) -> DataFrame:
-    """(qid, columns of rows but vector, cos): of each Arrow batch of rows the k nearest (None: all) of each query of at least
-    that certainty; queries are measured to be small. One matrix product a batch. With lowest, also each query's least
-    cosine in the batch, with null columns."""
-    stated = queries.select("qid", "qvec").filter(F.col("qvec").isNotNull()).toArrow()
-    qid = stated["qid"].combine_chunks()
-    q = np.array(stated["qvec"].to_pylist(), np.float64).reshape(len(qid), -1) if len(qid) else np.zeros((0, 0))
+def near_in_blocks(queries: DataFrame, rows: DataFrame, key: str, k: int | None, least: float = 0.0, within: tuple[str, dict] | None = None) -> DataFrame:
+    """(qid, columns of rows but vector, cos): the k nearest rows that a task sees of each query (None: all), of at least that
+    certainty; queries are measured to be small. One matrix product for a block of queries and rows. within: a column of
+    rows, and for each of its values the names of the queries that meet its rows; the others meet none."""
+    qid, q = stated(queries)
     names = [key, *(c for c in rows.columns if c not in (key, "vector"))]
+    by, meets = within or (None, {})
+    if within:
+        of: dict = {}
+        for i, x in enumerate(qid.to_pylist()):
+            of.setdefault(x, []).append(i)
+        meets = {v: np.array([i for x in xs for i in of.get(x, [])], np.int64) for v, xs in meets.items()}
+
+    def shared(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Numbers of queries and of rows that meet."""
+        if by is None:
+            yield np.arange(len(q)), np.arange(batch.num_rows)
+            return
+        group = batch.column(batch.schema.get_field_index(by)).dictionary_encode()
+        at = pc.fill_null(group.indices, -1).to_numpy(zero_copy_only=False)
+        order = np.argsort(at, kind="stable")
+        for i, value in enumerate(group.dictionary.to_pylist()):
+            if len(meets.get(value, ())):
+                yield meets[value], order[slice(*np.searchsorted(at[order], [i, i + 1]))]
+
+    def found(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers of queries and of rows of a batch, and their cosines."""
+        v = K.matrix(batch.column(len(names)), batch.num_rows)
+        for which, at in shared(batch):
+            for s, r in K.blocks(len(which), len(at)):
+                cos = K.cosines(q[which[s]], v[at[r]])
+                # in ten-millionths; a certainty is rounded to six digits, halves up
+                score = cos if least <= 0 else np.where(np.round(5e6 * (1 + cos)) >= np.round(1e7 * least) - 5, cos, -np.inf)
+                a, b = K.best_cells(score, k) if k is not None else np.nonzero(score > -np.inf)
+                yield which[s][a], at[r][b], cos[a, b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qq = np.sqrt((q * q).sum(1))
+        best = K.Best(k, len(q)) if k is not None else None
         for batch in batches:
             batch = batch.filter(batch.column(len(names)).is_valid())
             if not batch.num_rows or not len(q):
                 continue
-            batch = batch.take(pc.sort_indices(batch, [(key, "ascending")]))  # ties go to the least key
-            v = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            length = np.outer(qq, np.sqrt((v * v).sum(1)))
-            cos = np.round(np.where(length > 0, q @ v.T / np.where(length > 0, length, 1), 0.0), 6)
-            best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-            which, best = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
-            # in ten-millionths; a certainty is rounded to six digits, halves up
-            sure_enough = np.round(5e6 * (1 + cos[which, best])) >= np.round(1e7 * least) - 5
-            which, best = which[sure_enough], best[sure_enough]
-            taken = batch.select(names).take(pa.array(best))
-            yield pa.RecordBatch.from_arrays([qid.take(pa.array(which)), *taken.columns, pa.array(cos[which, best])], ["qid", *names, "cos"])
-            if lowest:
-                yield pa.RecordBatch.from_arrays([qid, *(pa.nulls(len(qid), c.type) for c in taken.columns), pa.array(cos.min(1))], ["qid", *names, "cos"])
+            batch = K.ordered(batch, key)
+            plain = batch.select(names)
+            for which, at, cos in found(batch):
+                if best:
+                    best.add(which, plain.take(pa.array(at)), cos)
+                    continue
+                for i in range(0, len(which), 1 << 16):
+                    s = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([qid.take(pa.array(which[s])), *plain.take(pa.array(at[s])).columns, pa.array(cos[s])], ["qid", *names, "cos"])
+        if best:
+            yield from best.rows(qid, "cos")
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"qid {dict(queries.dtypes)['qid']}", *(f"`{c}` {kinds[c]}" for c in names), "cos double"])
@@ -375,8 +400,14 @@ def layered(queries: DataFrame, parents: DataFrame, children: DataFrame, parent:
     small = fits(queries.select("qid"), BROADCAST_BYTES // (4 * k_parents))
     best = near_vector_topk(queries, parents, parent, k_parents).select("qid", parent)
     asked = queries.select("qid", "qvec")
+    if small and fits(asked):
+        meets: dict = {}
+        for r in best.collect():  # k_parents rows a query
+            meets.setdefault(r[parent], []).append(r["qid"])
+        near = near_in_blocks(queries, children, child, k, within=(parent, meets)).withColumn("certainty", sure(F.col("cos")))
+        return top(near, ["qid"], [F.desc("cos"), F.col(child)], k)
     # a child meets the queries of its parent only
     pool = children.join(broadcast_if(small, best), parent).join(broadcast_if(fits(asked), asked), "qid")
     q, v = F.col("qvec"), F.col("vector")
-    scored = pool.withColumn("cos", F.round(cosine_of(q, v, dot(q, q), dot(v, v)), 6)).drop("qvec", "vector").withColumn("certainty", sure(F.col("cos")))
+    scored = pool.withColumn("cos", rounded(cosine_of(q, v, dot(q, q), dot(v, v)), 6)).drop("qvec", "vector").withColumn("certainty", sure(F.col("cos")))
     return top(scored, ["qid"], [F.desc("cos"), F.col(child)], k)
