@@ -191,6 +191,28 @@ def indexed(docs: DataFrame, key: str, text: str, words: K.Words, other: list[st
     return rows, K.Bm25(np.log(1 + (total - df + 0.5) / (df + 0.5)), (sums.get(-1) or 0) / total if total else 1.0, k1, b)
 
 
+def bm25_topk(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int = 5, digits: int = 4) -> DataFrame:
+    """(qid, key, bm25, rank): the best documents by BM25 of so many digits. Queries measured to be small are scored where the
+    documents lie, and a task gives only the k best of each."""
+    if not fits(queries.select("qid", "query")):
+        return top(bm25(queries, docs, key, text).withColumn("bm25", rounded(F.col("bm25"), digits)), ["qid"], [F.desc("bm25"), F.col(key)], k)
+    words = vocabulary(queries)
+    index, model = indexed(docs, key, text, words, [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = K.Best(k, len(words.qid))
+        for batch in batches:
+            batch = K.ordered(batch, key)
+            for at, _, found in K.keyword_scores(batch.num_rows, *model.weights(*(batch.column(i) for i in range(1, 5))), words):
+                score = np.where(np.isfinite(found), K.rounded(found, digits), -np.inf).T
+                which, place = K.best_cells(score, k)
+                best.add(which, batch.select([key]).take(pa.array(at + place)), score[which, place])
+        yield from best.rows(words.qid, "bm25")
+
+    found = index.select(key, "n", "ids", "tfs", "lens").mapInArrow(run, f"qid {dict(queries.dtypes)['qid']}, `{key}` {dict(docs.dtypes)[key]}, bm25 double")
+    return top(found, ["qid"], [F.desc("bm25"), F.col(key)], k)
+
+
 def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
     """(key, term, tf, length): an inverted index with the documents' lengths; of the terms in only, if it is given."""
     words = docs.select(key, X.terms(F.col(text)).alias("w"))

@@ -172,13 +172,9 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(_questions(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 @query(f"WITH {_BM25} SELECT qid, doc_id, round(bm25, 4) AS bm25, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 4) DESC, doc_id)::INT AS rank FROM k QUALIFY rank <= 5")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top(_bm25(spark, sf_dir).withColumn("bm25", F.round("bm25", 4)), ["qid"], [F.desc("bm25"), F.col("doc_id")], 5)
+    return search.bm25_topk(_questions(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text", 5)
 
 
 _HASHED = "list_transform(range(16), lambda i: len(list_filter({0}, lambda t: ('0x' || substr(md5(t), 1, 8))::UBIGINT % 16 = i))::DOUBLE)"
