@@ -67,6 +67,33 @@ def near_vectors(queries: DataFrame, rows: DataFrame, row_key: str, least: float
     return scored if least is None else scored.filter(F.col("certainty") >= least)
 
 
+def certainty_report(queries: DataFrame, rows: DataFrame, row_key: str, above: float) -> DataFrame:
+    """(qid, n, best, least): how many rows have more than that certainty, and their greatest and least cosine, as text; queries
+    without any are left out. Pairs of a small query set aren't written: a task gives a row for each query."""
+    if fits(queries.select("qid", "qvec")):
+        qid, q = stated(queries)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, most, fewest = np.zeros(len(q), np.int64), np.full(len(q), -np.inf), np.full(len(q), np.inf)
+            for batch in batches:
+                batch = batch.filter(batch.column(0).is_valid())
+                v = K.matrix(batch.column(0), batch.num_rows) if batch.num_rows else None
+                for s, r in K.blocks(len(q), batch.num_rows):
+                    cos = K.cosines(q[s], v[r])
+                    more = K.millionths(cos) > round(1e6 * above)
+                    n[s] += more.sum(1)
+                    most[s] = np.maximum(most[s], np.where(more, cos, -np.inf).max(1))
+                    fewest[s] = np.minimum(fewest[s], np.where(more, cos, np.inf).min(1))
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(n > 0)) for x in (qid, pa.array(n), pa.array(most), pa.array(fewest))], ["qid", "n", "most", "fewest"])
+
+        each = rows.select("vector").mapInArrow(run, f"qid {dict(queries.dtypes)['qid']}, n long, most double, fewest double")
+    else:
+        found = near_vectors(queries, rows, row_key, above).filter(F.col("certainty") > above)
+        each = found.select("qid", F.lit(1).cast("long").alias("n"), F.col("cos").alias("most"), F.col("cos").alias("fewest"))
+    summed = each.groupBy("qid").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("fewest").alias("fewest"))
+    return summed.select("qid", "n", fixed(F.col("most")).alias("best"), fixed(F.col("fewest")).alias("least"))
+
+
 def near_vector_topk(queries: DataFrame, rows: DataFrame, row_key: str, k: int = 3, least: float | None = None) -> DataFrame:
     """(qid, columns of rows but vector, cos, certainty, rank). Queries measured to be small are compared batch by batch, and
     only the k nearest of a batch leave it; larger sets meet the rows pair by pair."""

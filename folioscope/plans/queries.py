@@ -64,8 +64,7 @@ def near_vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SCORED} SELECT qid, count(*) AS n, format('{{:.3f}}', max(cos)) AS best, format('{{:.3f}}', min(cos)) AS least FROM s WHERE round(((1 + cos) / 2)::DECIMAL(18, 8), 6)::DOUBLE > 0.6 GROUP BY qid")
 def certainty_threshold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.near_vectors(*vectors(spark, sf_dir), "vec_id", least=0.6).filter("certainty > 0.6")
-    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.format_string("%.3f", F.max("cos")).alias("best"), F.format_string("%.3f", F.min("cos")).alias("least"))
+    return search.certainty_report(*vectors(spark, sf_dir), "vec_id", 0.6)
 
 
 @query("SELECT label, dim::INT - 1 AS dim, round(avg(x::DOUBLE), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS dim FROM embeddings) GROUP BY label, dim")
