@@ -26,10 +26,15 @@ def certainty(similarity: Column) -> Column:
 
 def hashed(terms: Column, size: int = 16) -> Column:
     """A text's vector by feature hashing: how many terms fall into each of the buckets that md5 gives."""
+    # as an array's one element, the buckets are found once and not once for each i
+    each = lambda of, value: F.get(F.transform(F.array(value), of), F.lit(0))
+    if size == 16:  # the eighth digit is the bucket: digits in one string are counted without a call for each term
+        digits = F.array_join(F.transform(terms, lambda t: F.substring(F.md5(t), 8, 1)), "")
+        count = lambda found: F.array(*((F.length(found) - F.length(F.replace(found, F.lit(f"{i:x}"), F.lit("")))).cast("double") for i in range(16)))
+        return each(count, digits)
     bucket = lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(size))
     count = lambda found: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double"))
-    # as an array's one element, the buckets are found once and not once for each i
-    return F.get(F.transform(F.array(F.transform(terms, bucket)), count), F.lit(0))
+    return each(count, F.transform(terms, bucket))
 
 
 def pooled(tokens: Column, size: int = 16, limit: int = 8192) -> Column:
