@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pairs that are compared at once, and rows of a batch that leaves: 8 MB of doubles each.
+#: Pairs of rows and queries whose words are weighed at once: 8 MB of doubles.
 CELLS = 1 << 20
+#: Pairs of vectors that are compared at once: 1 MB of doubles, and some ten of these are held; larger blocks aren't faster.
+PAIRS = 1 << 17
 
 
 def rounded(x: np.ndarray, digits: int) -> np.ndarray:
@@ -43,10 +45,10 @@ def millionths(cos: np.ndarray) -> np.ndarray:
 
 
 def blocks(n_queries: int, n_rows: int) -> Iterator[tuple[slice, slice]]:
-    """Slices of queries and of rows with CELLS pairs at most."""
-    width = max(1, min(n_rows, 8192))
+    """Slices of queries and of rows with PAIRS pairs at most."""
+    width = max(1, min(n_rows, 2048))
     for r in range(0, n_rows, width):
-        height = max(1, CELLS // width)
+        height = max(1, PAIRS // width)
         for s in range(0, n_queries, height):
             yield slice(s, min(s + height, n_queries)), slice(r, min(r + width, n_rows))
 
